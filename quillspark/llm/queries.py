@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe
+from . import bpe, tokenfile
 
 QUERIES = {
     "op3_byte_bpe": bpe.query,
+    "op5_token_file": tokenfile.query,
 }
 
 ORACLE_SQL: dict[str, str] = {}
