@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, tokenfile
+from . import bpe, jpeg, tokenfile, urlfilter
 
 QUERIES = {
+    "op2_url_filter": urlfilter.query,
     "op3_byte_bpe": bpe.query,
     "op5_token_file": tokenfile.query,
+    "op7_jpeg_media": jpeg.query,
 }
 
 ORACLE_SQL: dict[str, str] = {}
