@@ -11,9 +11,11 @@ A reader fetches the tail, then only the frames it wants, and checks each agains
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +39,11 @@ ENTRY = np.dtype([("packed", "<u4"), ("size", "<u4"), ("checksum", "<u4")])
 DOC = np.dtype([("doc_id", "<i8"), ("known", "u1")])
 
 LEVEL = 1
-CACHED_WORDS = 500_000  # words a worker remembers; memory only, results don't depend on it
+CACHED_WORDS = 300_000  # words, and pieces, that a worker remembers; memory only, results don't depend on it
 CACHED_LENGTH = 64
+MARK = "\x01"  # a piece of its own wherever white space surrounds it
+LEARNT_AT_ONCE = 5_000  # new pieces that are encoded together
+TWO_PIECES = re.compile("([A-Za-zÀ-ÖØ-öø-įı-ɏ]+)([!-&(-/:-@\\[-`{-~]*)").fullmatch  # letters without İ, then punctuation without '
 
 
 class ShardWriter:
@@ -95,9 +100,17 @@ class ShardReader:
         return ids
 
 
+def _halve(cache: dict) -> None:
+    """Forgets the half that was learnt first."""
+    for k in list(islice(cache, len(cache) // 2)):
+        del cache[k]
+
+
 class _Words(dict):
     """Packed ids by word. Both normaliser and splitter of the vocabulary treat white space as a boundary, so a text's ids
-    are those of its space- or newline-separated parts in a row."""
+    are those of its space- or newline-separated parts in a row. A word of Latin letters and then ASCII punctuation is two
+    pieces, its letters in lower case. Pieces not seen before are encoded together, with MARK between them, which is a piece
+    of its own with one id."""
 
     def __init__(self, path: str):
         super().__init__({"": b""})
@@ -106,28 +119,53 @@ class _Words(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # in a text their strings are ordinary text
-
-    def fill(self, words: Iterable[str]) -> None:
-        if len(self) > CACHED_WORDS:
-            self.clear()
-            self[""] = b""
-        new = [w for w in set(words) if w not in self]
-        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self[w] = np.array(e.ids, "<u4").tobytes()
-
-    def encode(self, text: str) -> bytes:
-        words = text.replace("\n", " ").split(" ")
-        try:
-            return b"".join(map(self.__getitem__, words))
-        except KeyError:
-            pass
-        self.fill(words)
-        ids = b"".join(map(self.__getitem__, words))
-        if len(text) > 100_000:  # a text with endless words leaves none of them behind
-            for w in words:
-                if len(w) > CACHED_LENGTH:
-                    self.pop(w, None)
-        return ids
+        self.pieces: dict[str, bytes] = {"": b""}
+        (self.mark,) = self._ids(MARK)
+
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
+    def _learn(self, new: list[str]) -> None:
+        ids = np.array(self._ids(f" {MARK} ".join(new)), "<u4")
+        ends = np.flatnonzero(ids == self.mark) if len(new) > 1 else np.zeros(0, int)
+        if len(ends) != len(new) - 1:
+            raise ValueError("the vocabulary doesn't keep marked pieces apart")
+        packed, start = ids.tobytes(), 0
+        for w, end in zip(new, [*(ends * 4).tolist(), len(packed)], strict=True):
+            self.pieces[w] = packed[start:end]
+            start = end + 4
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers."""
+        parts = [t.replace("\n", " ").split(" ") for t in texts]
+        found = [list(map(self.get, p)) for p in parts]
+        new = {}
+        for p, f in zip(parts, found, strict=True):
+            if None in f:
+                new.update(dict.fromkeys([w for w, v in zip(p, f, strict=True) if v is None]))
+        for w in new:
+            m = TWO_PIECES(w)
+            new[w] = (m[1].lower(), m[2]) if m else (w, "")
+        unseen = list(dict.fromkeys(x for pair in new.values() for x in pair if x not in self.pieces))
+        plain = [w for w in unseen if MARK not in w]
+        for w in unseen if len(plain) < len(unseen) else ():
+            if MARK in w:
+                self.pieces[w] = np.array(self._ids(w), "<u4").tobytes()
+        for i in range(0, len(plain), LEARNT_AT_ONCE):
+            self._learn(plain[i : i + LEARNT_AT_ONCE])
+        for w, (x, y) in new.items():
+            new[w] = ids = self.pieces[x] + self.pieces[y]
+            if len(w) <= CACHED_LENGTH:
+                self[w] = ids
+        out = [b"".join([new[w] if v is None else v for w, v in zip(p, f, strict=True)] if None in f else f) for p, f in zip(parts, found, strict=True)]
+        for w in unseen:
+            if len(w) > CACHED_LENGTH:
+                del self.pieces[w]
+        for cache in (self, self.pieces):
+            if len(cache) > CACHED_WORDS:
+                _halve(cache)
+                cache[""] = b""
+        return out
 
 
 _LOADED: dict[str, _Words] = {}
@@ -156,12 +194,10 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int, folder: str) -> l
         writer, n_docs, n_tokens = None, 0, 0
         for batch in batches:
             texts = [t.as_py() or "" for t in batch.column(1)]
-            vocabulary.fill(w for t in texts for w in t.replace("\n", " ").split(" "))
-            for doc_id, text in zip(batch.column(0).to_pylist(), texts, strict=True):
+            for doc_id, ids in zip(batch.column(0).to_pylist(), vocabulary.encode(texts), strict=True):
                 writer = writer or ShardWriter(fs.open_output_stream(own, compression=None))
-                ids = vocabulary.encode(text) + end
-                writer.add(doc_id, ids)
-                n_docs, n_tokens = n_docs + 1, n_tokens + len(ids) // 4
+                writer.add(doc_id, ids + end)
+                n_docs, n_tokens = n_docs + 1, n_tokens + len(ids) // 4 + 1
         if writer:
             writer.close()
             fs.move(own, path)
