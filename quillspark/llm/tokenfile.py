@@ -39,11 +39,19 @@ ENTRY = np.dtype([("packed", "<u4"), ("size", "<u4"), ("checksum", "<u4")])
 DOC = np.dtype([("doc_id", "<i8"), ("known", "u1")])
 
 LEVEL = 1
-CACHED_WORDS = 300_000  # words, and pieces, that a worker remembers; memory only, results don't depend on it
+CACHED_PIECES = 400_000  # pieces a worker remembers; memory only, results don't depend on it
 CACHED_LENGTH = 64
-MARK = "\x01"  # a piece of its own wherever white space surrounds it
+ENCODED_AT_ONCE = 1_800_000
 LEARNT_AT_ONCE = 5_000  # new pieces that are encoded together
-TWO_PIECES = re.compile("([A-Za-zÀ-ÖØ-öø-įı-ɏ]+)([!-&(-/:-@\\[-`{-~]*)").fullmatch  # letters without İ, then punctuation without '
+MARK = "\x01"  # a piece of its own wherever white space surrounds it
+WORD_END = "</w>"
+BASE = 0x9E3779B97F4A7C15  # odd; of the hash that tells pieces apart
+EXOTIC = re.compile("[İɐ-\U0010ffff]").search  # beyond Latin letters, or with an unusual lower case
+LETTER, SIGN, OTHER = 0, 1, 2
+#: Of a byte of lower-case Latin text; the apostrophe, digits and U+0080 to U+00BF (first byte C2) are neither.
+KINDS = np.full(256, OTHER, np.uint8)
+KINDS[[*range(97, 123), *range(0x80, 0xC0), *range(0xC3, 0x100)]] = LETTER
+KINDS[[b for b in range(33, 127) if not chr(b).isalnum() and chr(b) != "'"]] = SIGN
 
 
 class ShardWriter:
@@ -100,72 +108,139 @@ class ShardReader:
         return ids
 
 
-def _halve(cache: dict) -> None:
-    """Forgets the half that was learnt first."""
-    for k in list(islice(cache, len(cache) // 2)):
-        del cache[k]
-
-
 class _Words(dict):
-    """Packed ids by word. Both normaliser and splitter of the vocabulary treat white space as a boundary, so a text's ids
-    are those of its space- or newline-separated parts in a row. A word of Latin letters and then ASCII punctuation is two
-    pieces, its letters in lower case. Pieces not seen before are encoded together, with MARK between them, which is a piece
-    of its own with one id."""
+    """Packed ids by piece of text.
+
+    Both normaliser and splitter of the vocabulary treat white space as a boundary, so a text's ids are those of its space-
+    or newline-separated words in a row. In a text of Latin letters (put into lower case first, as the normaliser would) a
+    word of letters and then ASCII punctuation is two pieces. The library encodes pieces not seen before, many at once: a
+    piece that is all letters or all punctuation ends where a token with the end-of-word mark does; others stand between MARKs.
+    """
 
     def __init__(self, path: str):
-        super().__init__({"": b""})
+        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # in a text their strings are ordinary text
-        self.pieces: dict[str, bytes] = {"": b""}
         (self.mark,) = self._ids(MARK)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith(WORD_END)]] = True
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
-    def _learn(self, new: list[str]) -> None:
-        ids = np.array(self._ids(f" {MARK} ".join(new)), "<u4")
-        ends = np.flatnonzero(ids == self.mark) if len(new) > 1 else np.zeros(0, int)
+    def _learn(self, new: list[bytes], pure: bool) -> list[bytes]:
+        between = b" " if pure else f" {MARK} ".encode()
+        ids = np.array(self._ids(between.join(new).decode()), "<u4")
+        ends = np.flatnonzero(self.ends[ids])[:-1] + 1 if pure else np.flatnonzero(ids == self.mark) if len(new) > 1 else np.zeros(0, int)
         if len(ends) != len(new) - 1:
-            raise ValueError("the vocabulary doesn't keep marked pieces apart")
-        packed, start = ids.tobytes(), 0
-        for w, end in zip(new, [*(ends * 4).tolist(), len(packed)], strict=True):
-            self.pieces[w] = packed[start:end]
-            start = end + 4
+            raise ValueError("the vocabulary doesn't keep pieces apart")
+        packed, cuts = ids.tobytes(), [0, *(ends * 4).tolist(), 4 * len(ids)]
+        skip = 0 if pure else 4
+        return [packed[a + skip * (k > 0) : b] for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
+
+    def _fill(self, pieces: list[bytes], pure: list[bool]) -> list[bytes]:
+        """Packed ids of each distinct piece."""
+        found = list(map(self.get, pieces))
+        if None in found:
+            missing = [k for k, v in enumerate(found) if v is None]
+            for kind in (True, False):
+                some = [k for k in missing if pure[k] == kind]
+                odd = [] if kind else [k for k in some if MARK.encode() in pieces[k]]
+                for k in odd:
+                    found[k] = np.array(self._ids(pieces[k].decode()), "<u4").tobytes()
+                some = [k for k in some if found[k] is None]
+                for i in range(0, len(some), LEARNT_AT_ONCE):
+                    part = some[i : i + LEARNT_AT_ONCE]
+                    for k, ids in zip(part, self._learn([pieces[k] for k in part], kind), strict=True):
+                        found[k] = ids
+            self.update((pieces[k], found[k]) for k in missing if len(pieces[k]) <= CACHED_LENGTH)
+            if len(self) > CACHED_PIECES:
+                for k in list(islice(self, len(self) // 2)):  # those learnt first
+                    del self[k]
+        return found
+
+    def encode_all(self, texts: list[str]) -> Iterator[bytes]:
+        """encode() on ENCODED_AT_ONCE characters or one text at a time."""
+        some, size = [], 0
+        for t in texts:
+            if some and size + len(t) > ENCODED_AT_ONCE:
+                yield from self.encode(some)
+                some, size = [], 0
+            some.append(t)
+            size += len(t)
+        if some:
+            yield from self.encode(some)
+
+    def _plainly(self, text: str) -> bytes:
+        words = text.encode().replace(b"\n", b" ").split(b" ")
+        own = list(dict.fromkeys(words))
+        ids = dict(zip(own, self._fill(own, [False] * len(own)), strict=True))
+        return b"".join(map(ids.__getitem__, words))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        parts = [t.replace("\n", " ").split(" ") for t in texts]
-        found = [list(map(self.get, p)) for p in parts]
-        new = {}
-        for p, f in zip(parts, found, strict=True):
-            if None in f:
-                new.update(dict.fromkeys([w for w, v in zip(p, f, strict=True) if v is None]))
-        for w in new:
-            m = TWO_PIECES(w)
-            new[w] = (m[1].lower(), m[2]) if m else (w, "")
-        unseen = list(dict.fromkeys(x for pair in new.values() for x in pair if x not in self.pieces))
-        plain = [w for w in unseen if MARK not in w]
-        for w in unseen if len(plain) < len(unseen) else ():
-            if MARK in w:
-                self.pieces[w] = np.array(self._ids(w), "<u4").tobytes()
-        for i in range(0, len(plain), LEARNT_AT_ONCE):
-            self._learn(plain[i : i + LEARNT_AT_ONCE])
-        for w, (x, y) in new.items():
-            new[w] = ids = self.pieces[x] + self.pieces[y]
-            if len(w) <= CACHED_LENGTH:
-                self[w] = ids
-        out = [b"".join([new[w] if v is None else v for w, v in zip(p, f, strict=True)] if None in f else f) for p, f in zip(parts, found, strict=True)]
-        for w in unseen:
-            if len(w) > CACHED_LENGTH:
-                del self.pieces[w]
-        for cache in (self, self.pieces):
-            if len(cache) > CACHED_WORDS:
-                _halve(cache)
-                cache[""] = b""
-        return out
+        """Ids of each text as little-endian unsigned 32-bit integers.
+
+        Pieces are told apart by a 64-bit hash, so that each distinct one is looked up once; all are then compared with
+        the ones found for them, so a clash of hashes can't go unnoticed."""
+        exotic = [bool(EXOTIC(t)) for t in texts]
+        if any(exotic):
+            latin = iter(self.encode([t for t, e in zip(texts, exotic, strict=True) if not e]))
+            return [self._plainly(t) if e else next(latin) for t, e in zip(texts, exotic, strict=True)]
+        if not texts:
+            return []
+        raw = [t.lower().encode() for t in texts]
+        data = np.frombuffer(b" ".join([*raw, b""]), np.uint8)
+        ends = np.flatnonzero((data == 32) | (data == 10))
+        starts = np.concatenate([[0], ends[:-1] + 1])
+        kind = KINDS[data]
+        kind[1:][(data[:-1] == 0xC3) & ((data[1:] == 0x97) | (data[1:] == 0xB7))] = OTHER  # the signs of multiplication and division
+        stops = np.flatnonzero(kind != LETTER)
+        stop = stops[np.searchsorted(stops, starts)]  # after a word's letters
+        signs = np.concatenate([[0], np.cumsum(kind == SIGN)])
+        pure = signs[ends] - signs[stop] == ends - stop  # letters, then nothing but punctuation
+        two = pure & (stop > starts) & (stop < ends)
+        order = np.arange(len(starts)) + np.cumsum(two) - two
+        starts2, ends2, pure2 = (np.zeros(len(starts) + int(two.sum()), x) for x in (np.int64, np.int64, bool))
+        starts2[order], ends2[order], pure2[order] = starts, np.where(two, stop, ends), pure & (ends > starts)
+        starts2[order[two] + 1], ends2[order[two] + 1], pure2[order[two] + 1] = stop[two], ends[two], True
+        lengths = ends2 - starts2
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers(BASE, len(data)))])
+        hashes = (sums[ends2] - sums[starts2]) * _powers(pow(BASE, -1, 1 << 64), len(data))[starts2]
+        _, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+        here = (starts2 - (np.cumsum(lengths) - lengths)).repeat(lengths) + np.arange(lengths.sum())
+        there = here + (starts2[first][which] - starts2).repeat(lengths)
+        if not ((lengths[first][which] == lengths).all() and (data[here] == data[there]).all()):
+            return [self._plainly(t) for t in texts]
+        everything = data.tobytes()
+        found = self._fill([everything[a:b] for a, b in zip(starts2[first].tolist(), ends2[first].tolist(), strict=True)], pure2[first].tolist())
+        ids, n = np.frombuffer(b"".join(found), "<u4"), np.array(list(map(len, found)), np.int64) >> 2
+        each = n[which]
+        upto = np.cumsum(each)
+        out = ids[((np.cumsum(n) - n)[which] - (upto - each)).repeat(each) + np.arange(upto[-1])]
+        last = np.searchsorted(ends, np.cumsum([len(t) + 1 for t in raw]) - 1)
+        cuts = [0, *(upto[order[last] + two[last]] * 4).tolist()]
+        packed = out.astype("<u4", copy=False).tobytes()
+        return [packed[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
+_POWERS: dict[int, np.ndarray] = {}
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    """base ** i modulo 2 ** 64 for i below n."""
+    kept = _POWERS.get(base)
+    if kept is None or len(kept) < n:
+        size = max(1 << 21, n)
+        kept = np.full(size, base, np.uint64)
+        kept[0] = 1
+        kept = np.cumprod(kept)
+        if n <= 1 << 21:
+            _POWERS[base] = kept
+    return kept[:n]
 
 
 _LOADED: dict[str, _Words] = {}
@@ -194,7 +269,7 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int, folder: str) -> l
         writer, n_docs, n_tokens = None, 0, 0
         for batch in batches:
             texts = [t.as_py() or "" for t in batch.column(1)]
-            for doc_id, ids in zip(batch.column(0).to_pylist(), vocabulary.encode(texts), strict=True):
+            for doc_id, ids in zip(batch.column(0).to_pylist(), vocabulary.encode_all(texts), strict=True):
                 writer = writer or ShardWriter(fs.open_output_stream(own, compression=None))
                 writer.add(doc_id, ids + end)
                 n_docs, n_tokens = n_docs + 1, n_tokens + len(ids) // 4 + 1
