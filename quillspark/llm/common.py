@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows of an Arrow batch that goes to Python; bounds a worker's memory when documents are long.
 BATCH_ROWS = 500
@@ -41,3 +42,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def labelled(docs: DataFrame, labels: DataFrame, label: str, per_class: int, allowed: Column | None = None) -> DataFrame:
+    """doc_id, text and label of a bounded sample: for each value of the label, 0 and 1, the per_class ids that hash lowest.
+
+    Rows without a doc_id or label are left out; of an id's several texts or labels the smallest text and largest label
+    count. Only ids, at most 2 * per_class, are broadcast.
+    """
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))
+    known = known.where("doc_id is not null and label in (0, 1)")
+    if allowed is not None:
+        known = known.where(allowed)
+    known = known.groupBy("doc_id").agg(F.max("label").alias("label"))
+    ids = [known.where(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for k in (0, 1)]
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return texts.join(F.broadcast(ids[0].unionByName(ids[1])), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").alias("label"))

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import bpe, jpeg, tokenfile, urlfilter
+from . import bpe, jpeg, quality, tokenfile, toxicity, urlfilter
 
 QUERIES = {
     "op2_url_filter": urlfilter.query,
     "op3_byte_bpe": bpe.query,
     "op5_token_file": tokenfile.query,
     "op7_jpeg_media": jpeg.query,
+    "op8_toxicity": toxicity.query,
+    "op10_compression_quality": quality.query,
 }
 
 ORACLE_SQL: dict[str, str] = {}
