@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, jpeg, quality, tokenfile, toxicity, urlfilter
+from . import bpe, fingerprint, jpeg, quality, tokenfile, toxicity, urlfilter
 
 QUERIES = {
     "op2_url_filter": urlfilter.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_token_file": tokenfile.query,
     "op7_jpeg_media": jpeg.query,
     "op8_toxicity": toxicity.query,
+    "op9_fingerprint": fingerprint.query,
     "op10_compression_quality": quality.query,
 }
 
