@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, fingerprint, jpeg, quality, tokenfile, toxicity, urlfilter
+from . import bpe, fingerprint, jpeg, mixing, quality, tokenfile, toxicity, urlfilter
 
 QUERIES = {
     "op2_url_filter": urlfilter.query,
     "op3_byte_bpe": bpe.query,
     "op5_token_file": tokenfile.query,
+    "op6_mixing": mixing.query,
     "op7_jpeg_media": jpeg.query,
     "op8_toxicity": toxicity.query,
     "op9_fingerprint": fingerprint.query,
