@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, fingerprint, jpeg, mixing, quality, tokenfile, toxicity, urlfilter
+from . import bpe, fingerprint, jpeg, mixing, neardup, quality, tokenfile, toxicity, urlfilter
 
 QUERIES = {
     "op2_url_filter": urlfilter.query,
     "op3_byte_bpe": bpe.query,
+    "op4_bagminhash": neardup.query,
     "op5_token_file": tokenfile.query,
     "op6_mixing": mixing.query,
     "op7_jpeg_media": jpeg.query,
