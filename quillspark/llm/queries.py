@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, fingerprint, jpeg, mixing, neardup, quality, tokenfile, toxicity, urlfilter
+from . import bpe, fingerprint, jpeg, mixing, neardup, quality, repeats, tokenfile, toxicity, urlfilter
 
 QUERIES = {
+    "op1_suffix_array": repeats.query,
     "op2_url_filter": urlfilter.query,
     "op3_byte_bpe": bpe.query,
     "op4_bagminhash": neardup.query,
