@@ -8,10 +8,12 @@ of the weights that they share, and a component is equal with probability sum of
 processes stop once their time passes the largest component, which after the first few shingles is almost at once.
 
 Texts that are equal are one node. Nodes that agree on a whole band of components are candidates, and those are decided by
-the exact overlap of their multisets. In a bucket the node that is most popular (sum of the sizes of all its buckets) leads:
-the others are compared with it. Where that leaves a bucket in several components, the nodes outside the largest are compared
-with all of the bucket, the most popular RIVALS of them at a time, until every pair has been compared or is connected. So no
-link between candidates is lost, and a bucket of n near copies costs n comparisons, not n squared.
+the exact overlap of their multisets. In a bucket the node that is most popular (sum of the sizes of all its buckets) leads
+and the others are compared with it; PROBES times more, what is still apart in a bucket is compared with another node of the
+bucket's largest component. Each of these rounds costs a comparison per node, and where copies are near each other little
+is left. The nodes that are left outside of the largest component of a bucket are then a query set: in blocks, they are
+compared with every node that they are connected with through such buckets, by an inverted index of the block's shingles. So
+every pair of candidates has been compared or is connected, and no group meets in one task.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
@@ -30,7 +32,9 @@ from .graph import components
 SHINGLE = 5  # words
 ALIKE = 0.8  # weighted Jaccard similarity from which texts are near-duplicates
 BANDS, ROWS = 24, 4  # at a similarity of 0.8 all bands differ with probability 3e-6
-RIVALS = 64
+PROBES = 2
+BLOCK = 64  # nodes of the query set in an index
+STREAM = 2_000  # about so many nodes are compared with a block in one task
 TEXT_AT_ONCE = 2_000_000  # bytes
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -193,9 +197,38 @@ def verified(pairs: DataFrame, texts: DataFrame, alike: float) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
 
 
-def ordered_pairs(df: DataFrame, x: str, y: str) -> DataFrame:
-    """Distinct pairs with a the smaller node."""
-    return df.where(F.col(x) != F.col(y)).select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
+def in_blocks(rows: DataFrame, texts: DataFrame, alike: float) -> DataFrame:
+    """Links (a, b) of the nodes in rows (group, node, label, asks) that ask, with any node of their group of another label."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, asking, index = None, [], {}
+        for batch in batches:
+            out: list[tuple[bytes, bytes]] = []
+            for key, asks, node_, label, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if key != block:
+                    block, asking, index = key, [], {}
+                own = multiset(text)
+                if asks:
+                    for s, n in own.items():
+                        index.setdefault(s, []).append((len(asking), n))
+                    asking.append((node_, label, own.total()))
+                    continue
+                both = Counter()
+                for s, n in own.items():
+                    for k, m in index.get(s, ()):
+                        both[k] += min(n, m)
+                total = own.total()
+                out += [(asking[k][0], node_) for k, n in both.items() if asking[k][1] != label and n >= alike * (asking[k][2] + total - n)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.binary()) for k in (0, 1)], ["a", "b"])
+
+    size = rows.groupBy("group").agg(F.count("*").alias("n"), F.count_if("asks").alias("n_ask"))
+    rows = rows.join(size, "group").withColumns({"blocks": F.ceil(F.col("n_ask") / BLOCK).cast("int"), "streams": F.ceil(F.col("n") / STREAM).cast("int")})
+    own = F.pmod(F.xxhash64("node"), F.lit(1 << 30))
+    asking = rows.where("asks").select("group", "node", "label", F.lit(True).alias("asks"), (own % F.col("blocks")).cast("int").alias("block"), F.explode(F.expr("sequence(0, streams - 1)")).alias("stream"))
+    asked = rows.select("group", "node", "label", F.lit(False).alias("asks"), F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"), F.pmod(F.xxhash64("node", F.lit(1)), F.col("streams")).cast("int").alias("stream"))
+    both = asking.unionByName(asked).join(texts, "node").select(F.struct("group", "block", "stream").alias("key"), F.expr("not asks").alias("order"), "asks", "node", "label", "text")
+    dealt = both.repartition("key").sortWithinPartitions("key", "order")
+    return dealt.select(F.xxhash64("key").alias("key"), "asks", "node", "label", "text").mapInArrow(run, "a binary, b binary")
 
 
 def linked(buckets: DataFrame, texts: DataFrame, alike: float) -> DataFrame | None:
@@ -206,31 +239,34 @@ def linked(buckets: DataFrame, texts: DataFrame, alike: float) -> DataFrame | No
     if rows.isEmpty():
         return None
     leaders = rows.groupBy("key").agg(F.max_by("node", F.struct("fame", "node")).alias("leader"))
-    pairs = common.written(rows.join(leaders, "key").where("node != leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct(), "pairs")
-    tested = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    edges = common.written(verified(pairs, texts, alike), "links")
-    rows = common.written(rows.join(leaders.select("key", F.col("leader").alias("node")), ["key", "node"], "left_anti"), "open")
-    while True:
+    asked, edges, tested = rows.withColumn("label", F.col("node")), None, None
+    for probe in range(PROBES + 1):
+        pairs = asked.join(leaders, "key").where("node != leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
+        if tested is not None:
+            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+        pairs = common.written(pairs, "pairs")
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        new = common.written(verified(pairs, texts, alike), "links")
+        edges = new if edges is None else edges.unionByName(new)
         labels = components(edges)
-        # a bucket is done when all that remain in it are connected with each other
+        # a leader has been compared with all of its bucket that it isn't connected with
+        rows = rows.join(leaders.select("key", F.col("leader").alias("node")), ["key", "node"], "left_anti")
         marked = rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        undecided = marked.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("key")
-        marked = common.written(marked.join(undecided, "key", "left_semi"), "open")
+        apart = marked.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("key")
+        marked = common.written(marked.join(apart, "key", "left_semi"), "open")
         if marked.isEmpty():
             return labels
-        weight = marked.groupBy("key", "label").agg(F.count("*").alias("n"))
-        main = weight.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main"))
-        rest = marked.join(main, "key").where("label != main")
-        place = Window.partitionBy("key").orderBy(F.desc("fame"), "node")
-        rivals = rest.withColumn("place", F.row_number().over(place)).where(F.col("place") <= RIVALS)
-        rivals = common.written(rivals.select("key", F.col("node").alias("rival"), F.col("label").alias("own")), "rivals")
-        crossed = marked.join(rivals, "key").where("label != own")
-        new = common.written(ordered_pairs(crossed, "node", "rival").join(tested, ["a", "b"], "left_anti"), "pairs")
-        tested = tested.unionByName(new)
-        found = common.written(verified(new, texts, alike), "links")
-        edges = edges.unionByName(found)
-        rows = marked.select("node", "key", "fame").join(rivals.select("key", F.col("rival").alias("node")), ["key", "node"], "left_anti").select("node", "key", "fame")
-        rows = common.written(rows, "open")
+        rows = marked.drop("label")
+        weight = marked.groupBy("key", "label").agg(F.count("*").alias("n"), F.max_by("node", F.struct(F.xxhash64("node", F.lit(probe)), "node")).alias("one"))
+        main = common.written(weight.groupBy("key").agg(F.max_by(F.struct("label", "one"), F.struct("n", "label")).alias("main")).select("key", F.col("main.label").alias("main"), F.col("main.one").alias("leader")), "main")
+        leaders = main.select("key", "leader")
+        asked = marked.join(main.select("key", "main"), "key").where("label != main").drop("main")
+    hubs = marked.groupBy("key").agg(F.min("node").alias("hub"))
+    groups = components(marked.join(hubs, "key").where("node != hub").select(F.col("node").alias("a"), F.col("hub").alias("b")))
+    asking = asked.select("node", F.lit(True).alias("asks")).distinct()
+    query_set = marked.select("node", "label").distinct().join(asking, "node", "left").join(groups.select("node", F.col("label").alias("group")), "node")
+    query_set = common.written(query_set.withColumn("asks", F.coalesce("asks", F.lit(False))), "query")
+    return components(edges.unionByName(common.written(in_blocks(query_set, texts, alike), "links")))
 
 
 def classes(docs: DataFrame, alike: float = ALIKE) -> DataFrame:

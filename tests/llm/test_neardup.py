@@ -2,6 +2,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from quillspark.llm import neardup as nd
 from quillspark.llm.graph import components
@@ -97,12 +98,19 @@ def test_against_brute_force(spark):
     assert Counter(r.doc_id for r in kept.collect() if r.doc_id not in empty) == Counter({i: 1 for i in expected if i not in empty})
 
 
-def test_rivals_in_turns(spark, monkeypatch):
-    monkeypatch.setattr(nd, "RIVALS", 1)
+@pytest.mark.parametrize("probes", [0, 1])
+def test_blocks_find_what_probes_leave(spark, monkeypatch, probes):
+    monkeypatch.setattr(nd, "PROBES", probes)
+    monkeypatch.setattr(nd, "BLOCK", 3)
+    monkeypatch.setattr(nd, "STREAM", 8)
     rng = random.Random(6)
-    rows = list(enumerate(family(rng)))
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    assert Counter((r.doc_id, r.class_id) for r in nd.classes(docs).collect()) == brute(rows)
+    texts = [t for _ in range(3) for t in family(rng)]
+    drift = doc(rng, 150)
+    for _ in range(60):  # copies of copies: near their neighbours, far from the ends
+        drift = change(rng, drift, rng.randrange(3))
+        texts.append(drift)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert Counter((r.doc_id, r.class_id) for r in nd.classes(docs).collect()) == brute(list(enumerate(texts)))
 
 
 def test_empty(spark):
