@@ -32,8 +32,9 @@ from .graph import components
 SHINGLE = 5  # words
 ALIKE = 0.8  # weighted Jaccard similarity from which texts are near-duplicates
 BANDS, ROWS = 24, 4  # at a similarity of 0.8 all bands differ with probability 3e-6
-PROBES = 2
-BLOCK = 64  # nodes of the query set in an index
+PROBES = 1
+BLOCK = 256  # nodes of the query set in an index
+COMPARED_AT_ONCE = 64
 STREAM = 2_000  # about so many nodes are compared with a block in one task
 TEXT_AT_ONCE = 2_000_000  # bytes
 
@@ -197,28 +198,68 @@ def verified(pairs: DataFrame, texts: DataFrame, alike: float) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
 
 
+def _elements(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Text number and hash of every element of the texts' multisets: a shingle and how many of it came before."""
+    text, value, times = shingles([t.encode() for t in texts])
+    before = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+    text, value = np.repeat(text, times), np.repeat(value, times)
+    return text, np.where(before == 0, value, _mix(value + before.astype(np.uint64) * _ODD))
+
+
+class _Block:
+    """An inverted index of the elements of some texts."""
+
+    def __init__(self, nodes: list[bytes], labels: list[bytes], texts: list[str]):
+        self.nodes, self.labels = nodes, np.array(labels, object)
+        text, element = _elements(texts)
+        order = np.argsort(element, kind="stable")
+        self.held = text[order]
+        self.elements, self.first, self.many = np.unique(element[order], return_index=True, return_counts=True)
+        self.sizes = np.bincount(text, minlength=len(texts))
+
+    def near(self, nodes: list[bytes], labels: list[bytes], texts: list[str], alike: float) -> Iterator[tuple[bytes, bytes]]:
+        """Pairs of a text of the block and one of these, of different labels, that share enough elements."""
+        for at in range(0, len(texts), COMPARED_AT_ONCE):
+            some = texts[at : at + COMPARED_AT_ONCE]
+            text, element = _elements(some)
+            place = np.minimum(np.searchsorted(self.elements, element), len(self.elements) - 1)
+            known = self.elements[place] == element
+            place, owner = place[known], text[known]
+            many = self.many[place]
+            steps = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            pair = np.repeat(owner, many) * len(self.nodes) + self.held[np.repeat(self.first[place], many) + steps]
+            both = np.bincount(pair, minlength=len(some) * len(self.nodes)).reshape(len(some), -1)
+            sizes = np.bincount(text, minlength=len(some))
+            own = np.array(labels[at : at + COMPARED_AT_ONCE], object)
+            good = (both >= alike * (sizes[:, None] + self.sizes[None, :] - both)) & (both > 0) & (own[:, None] != self.labels[None, :])
+            for k, j in zip(*np.nonzero(good), strict=True):
+                yield self.nodes[j], nodes[at + k]
+
+
 def in_blocks(rows: DataFrame, texts: DataFrame, alike: float) -> DataFrame:
-    """Links (a, b) of the nodes in rows (group, node, label, asks) that ask, with any node of their group of another label."""
+    """Pairs (a, b) of the nodes in rows (group, node, label, asks) that ask, with any node of their group of another label,
+    that are alike by hashes of their shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, asking, index = None, [], {}
+        key, asking, block = None, ([], [], []), None
         for batch in batches:
+            keys, asks, *values = (c.to_pylist() for c in batch.columns)
             out: list[tuple[bytes, bytes]] = []
-            for key, asks, node_, label, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if key != block:
-                    block, asking, index = key, [], {}
-                own = multiset(text)
-                if asks:
-                    for s, n in own.items():
-                        index.setdefault(s, []).append((len(asking), n))
-                    asking.append((node_, label, own.total()))
-                    continue
-                both = Counter()
-                for s, n in own.items():
-                    for k, m in index.get(s, ()):
-                        both[k] += min(n, m)
-                total = own.total()
-                out += [(asking[k][0], node_) for k, n in both.items() if asking[k][1] != label and n >= alike * (asking[k][2] + total - n)]
+            at = 0
+            while at < len(keys):
+                end = at
+                while end < len(keys) and keys[end] == keys[at] and asks[end] == asks[at]:
+                    end += 1
+                if keys[at] != key:
+                    key, asking, block = keys[at], ([], [], []), None
+                part = [v[at:end] for v in values]
+                if asks[at]:
+                    for kept, v in zip(asking, part, strict=True):
+                        kept += v
+                elif asking[0]:
+                    block = block or _Block(*asking)
+                    out += block.near(*part, alike)
+                at = end
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.binary()) for k in (0, 1)], ["a", "b"])
 
     size = rows.groupBy("group").agg(F.count("*").alias("n"), F.count_if("asks").alias("n_ask"))
@@ -261,12 +302,15 @@ def linked(buckets: DataFrame, texts: DataFrame, alike: float) -> DataFrame | No
         main = common.written(weight.groupBy("key").agg(F.max_by(F.struct("label", "one"), F.struct("n", "label")).alias("main")).select("key", F.col("main.label").alias("main"), F.col("main.one").alias("leader")), "main")
         leaders = main.select("key", "leader")
         asked = marked.join(main.select("key", "main"), "key").where("label != main").drop("main")
-    hubs = marked.groupBy("key").agg(F.min("node").alias("hub"))
-    groups = components(marked.join(hubs, "key").where("node != hub").select(F.col("node").alias("a"), F.col("hub").alias("b")))
+    # groups: the labels that buckets still tie together
+    hubs = marked.groupBy("key").agg(F.min("label").alias("hub"))
+    ties = marked.join(hubs, "key").where("label != hub").select(F.col("label").alias("a"), F.col("hub").alias("b")).distinct()
+    groups = components(ties).withColumnRenamed("node", "tied")
     asking = asked.select("node", F.lit(True).alias("asks")).distinct()
-    query_set = marked.select("node", "label").distinct().join(asking, "node", "left").join(groups.select("node", F.col("label").alias("group")), "node")
+    query_set = marked.select("node", "label").distinct().join(asking, "node", "left").join(groups.select("tied", F.col("label").alias("group")), F.col("label") == F.col("tied")).drop("tied")
     query_set = common.written(query_set.withColumn("asks", F.coalesce("asks", F.lit(False))), "query")
-    return components(edges.unionByName(common.written(in_blocks(query_set, texts, alike), "links")))
+    found = common.written(in_blocks(query_set, texts, alike).distinct(), "pairs")
+    return components(edges.unionByName(common.written(verified(found, texts, alike), "links")))
 
 
 def classes(docs: DataFrame, alike: float = ALIKE) -> DataFrame:
