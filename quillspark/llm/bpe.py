@@ -14,46 +14,19 @@ import hashlib
 import sys
 from array import array
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-LEAF = 256  # ranks that one leaf of the bitmap covers
-CACHED_PIECES = 500_000  # pieces a worker remembers; memory only, results don't depend on it
+LEAF_BITS = 8  # a leaf of the bitmap covers 256 ranks
+LEAF_MASK = (1 << LEAF_BITS) - 1
+BIT = [1 << k for k in range(4096)]  # by place in a leaf and by leaf; ranks stay below 2**20
+CACHED_PIECES = 1_000_000  # pieces a worker remembers; memory only, results don't depend on it
 CACHED_LENGTH = 64  # characters; longer pieces are not remembered
 
 
-class RankQueue:
-    """Buckets of positions by rank; a leaf bitmap per LEAF ranks and a root bitmap over the leaves."""
-
-    def __init__(self, ranks: int):
-        self.leaves, self.root, self.buckets = [0] * (ranks // LEAF + 1), 0, {}
-
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is not None:
-            bucket.append(position)
-            return
-        self.buckets[rank] = [position]
-        leaf = rank // LEAF
-        self.leaves[leaf] |= 1 << rank % LEAF
-        self.root |= 1 << leaf
-
-    def pop(self) -> tuple[int, list[int]]:
-        """The smallest rank and its positions from left to right."""
-        leaf = (self.root & -self.root).bit_length() - 1
-        bits = self.leaves[leaf]
-        rank = leaf * LEAF + (bits & -bits).bit_length() - 1
-        bits &= bits - 1
-        self.leaves[leaf] = bits
-        if not bits:
-            self.root &= self.root - 1
-        bucket = self.buckets.pop(rank)
-        bucket.sort()
-        return rank, bucket
-
-
 class _Pieces(dict):
     """Packed ids of pieces already seen."""
 
@@ -68,7 +41,8 @@ class _Pieces(dict):
         packed = ids.tobytes()
         if len(piece) <= CACHED_LENGTH:
             if len(self) >= CACHED_PIECES:
-                self.clear()
+                for k in list(islice(self, len(self) // 2)):  # those learnt first
+                    del self[k]
             self[piece] = packed
         return packed
 
@@ -81,53 +55,88 @@ class Bpe:
             self.ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in lines if x.strip())}
         self.tokens = {b: a for a, b in self.ranks.items()}
         self.split = regex.compile(pattern).findall
-        self.queue = RankQueue(max(self.ranks.values()) + 1)
+        self.leaves = [0] * ((max(self.ranks.values()) >> LEAF_BITS) + 1)
         self.pieces = _Pieces(self)
 
     def merge(self, piece: bytes) -> list[int]:
-        """Ids of one piece."""
+        """Ids of one piece. The queue is written out here: leaves has a bit per rank, root one per leaf, buckets the
+        positions by rank; all are empty again at the end."""
         get = self.ranks.get
         whole = get(piece)
         if whole is not None:
             return [whole]
-        n, queue = len(piece), self.queue
+        n, leaves, root, buckets = len(piece), self.leaves, 0, {}
         following, before, current = list(range(1, n + 1)), list(range(-1, n - 1)), [-1] * n
-        push = queue.push
         for i in range(n - 1):
-            rank = get(piece[i : i + 2])
-            if rank is not None:
-                current[i] = rank
-                push(rank, i)
-        while queue.root:
-            rank, bucket = queue.pop()
+            new = get(piece[i : i + 2])
+            if new is not None:
+                current[i] = new
+                if new in buckets:
+                    buckets[new].append(i)
+                else:
+                    buckets[new] = [i]
+                    leaf = new >> LEAF_BITS
+                    leaves[leaf] |= BIT[new & LEAF_MASK]
+                    root |= BIT[leaf]
+        while root:
+            leaf = (root & -root).bit_length() - 1
+            bits = leaves[leaf]
+            lowest = bits & -bits
+            rank = (leaf << LEAF_BITS) + lowest.bit_length() - 1
+            bits ^= lowest
+            leaves[leaf] = bits
+            if not bits:
+                root ^= BIT[leaf]
+            bucket = buckets.pop(rank)
+            if len(bucket) > 1:
+                bucket.sort()
             for k, p in enumerate(bucket):
                 if current[p] != rank:
                     continue  # stale: the pair at p has changed
                 q = following[p]
                 end = following[q]
-                following[p], current[q], current[p], lowest = end, -1, -1, rank
+                following[p], current[q], current[p], least = end, -1, -1, rank
                 if end < n:
                     before[end] = p
                     new = get(piece[p : following[end]])
                     if new is not None:
                         current[p] = new
-                        push(new, p)
-                        lowest = min(lowest, new)
-                o = before[p]
-                if o >= 0:
-                    new = get(piece[o:end])
-                    current[o] = -1 if new is None else new
-                    if new is not None:
-                        push(new, o)
-                        lowest = min(lowest, new)
-                if lowest < rank:  # a smaller rank has come up: the rest of this bucket waits
-                    for rest in bucket[k + 1 :]:
-                        push(rank, rest)
+                        if new < least:
+                            least = new
+                        if new in buckets:
+                            buckets[new].append(p)
+                        else:
+                            buckets[new] = [p]
+                            leaf = new >> LEAF_BITS
+                            leaves[leaf] |= BIT[new & LEAF_MASK]
+                            root |= BIT[leaf]
+                p = before[p]
+                if p >= 0:
+                    new = get(piece[p:end])
+                    if new is None:
+                        current[p] = -1
+                    else:
+                        current[p] = new
+                        if new < least:
+                            least = new
+                        if new in buckets:
+                            buckets[new].append(p)
+                        else:
+                            buckets[new] = [p]
+                            leaf = new >> LEAF_BITS
+                            leaves[leaf] |= BIT[new & LEAF_MASK]
+                            root |= BIT[leaf]
+                if least < rank and k + 1 < len(bucket):  # a smaller rank has come up: the rest of this bucket waits
+                    buckets[rank] = bucket[k + 1 :]
+                    leaf = rank >> LEAF_BITS
+                    leaves[leaf] |= BIT[rank & LEAF_MASK]
+                    root |= BIT[leaf]
                     break
         out, p = [], 0
         while p < n:
-            out.append(self.ranks[piece[p : following[p]]])
-            p = following[p]
+            end = following[p]
+            out.append(self.ranks[piece[p:end]])
+            p = end
         return out
 
     def encode(self, text: str) -> bytes:

@@ -32,11 +32,28 @@ def test_long_pieces():
         assert ids(text) == THEIRS.encode_ordinary(text)
 
 
-def test_bucket_waits_for_a_smaller_rank():
-    q = bpe.RankQueue(1000)
-    for r, p in ((900, 3), (900, 1), (5, 7), (256, 0)):
-        q.push(r, p)
-    assert [q.pop() for _ in range(3)] == [(5, [7]), (256, [0]), (900, [1, 3])] and not q.root
+def plain(piece, ranks):
+    """The leftmost pair of least rank is merged again and again."""
+    parts = [piece[i : i + 1] for i in range(len(piece))]
+    if piece in ranks:
+        return [ranks[piece]]
+    while True:
+        best = min(((ranks[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)) if a + b in ranks), default=None)
+        if best is None:
+            return [ranks[p] for p in parts]
+        parts[best[1] : best[1] + 2] = [parts[best[1]] + parts[best[1] + 1]]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text("abc", min_size=2, max_size=5), unique=True, max_size=25), st.text("abc", max_size=40), st.randoms(use_true_random=False))
+def test_any_ranks_even_out_of_order(tmp_path_factory, tokens, text, rng):
+    """Also where a longer token's rank is smaller than those of its parts, so that a bucket has to wait."""
+    rng.shuffle(tokens)
+    ranks = {t.encode(): i * 97 for i, t in enumerate(["a", "b", "c", *tokens])}
+    path = tmp_path_factory.mktemp("ranks") / "ranks"
+    path.write_text("".join(f"{base64.b64encode(t).decode()} {r}\n" for t, r in ranks.items()))
+    if text:
+        assert bpe.Bpe(str(path), ".+").merge(text.encode()) == plain(text.encode(), ranks)
 
 
 def test_rows(spark):
