@@ -17,7 +17,7 @@ def test_features(spark):
     df = spark.createDataFrame([(1, "\n".join([INTRO, BODY, END])), (2, ""), (3, None)], "id int, text string")
     rows = {r.id: r for r in dc.of_texts(df).collect()}
     a = rows[1]
-    assert a.chainLength == 8 / 3 and a.counterPerParagraph == 1 / 3 and a.evidencePerClaim == 0.5 and a.summaryShare == 0
+    assert a.chainLength == 3 and a.counterPerParagraph == 1 / 3 and a.evidencePerClaim == 0.5 and a.summaryShare == 0
     assert abs(a.quotesPer100 - 100 / a._n) < 1e-9 and a.meanQuoteLength is None and a.concreteShare + a.abstractShare <= 100
     assert rows[2].abstractionIndex is None and rows[2].evidenceTypeDiversity == 0 == rows[3].evidenceTypeDiversity
 
