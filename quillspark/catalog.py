@@ -1,14 +1,250 @@
-"""The named queries of the engine and their SQL."""
+"""The named queries of the engine over the provided tables, and their SQL where SQL can express them.
+
+Documents stand for writing samples: source is the writer, doc_id the order in time, lang the genre, and each source's last
+document the piece; texts that need an edit log get a derived one (operators.replay.log_of). Rates are rounded to six places.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from . import oracle
+from .functions import text as tx
+from .functions.lexicon import ADVANCED_VERBS, BASIC_VERBS
+from .operators import discourse, process, replay, style
+from .operators.features import DISCOURSE, PROCESS, STYLE
+from .plans import analysis, profile
+from .plans.config import Config
+from .streaming import live
+
+CFG = Config()
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+
+
+def _value(name: str) -> list:
+    return ["doc_id", F.round(name, 6).alias("value")]
+
+
+def _style(name: str) -> Query:
+    return lambda spark, d: style.of_texts(docs(spark, d), only=[name]).select(*_value(name))
+
+
+def _discourse(name: str) -> Query:
+    return lambda spark, d: discourse.of_texts(docs(spark, d), only=[name]).select(*_value(name))
+
+
+def _documented(*columns) -> Query:
+    return lambda spark, d: tx.documented(docs(spark, d)).select(*columns)
+
+
+def _distinct_words(column: str, make) -> Query:
+    def run(spark, d):
+        words = tx.documented(docs(spark, d)).select(F.explode("_words").alias("word")).distinct()
+        return words.select("word", make(F.col("word")).alias(column))
+
+    return run
+
+
+def _sentences(spark: SparkSession, d: str) -> DataFrame:
+    rows = tx.documented(docs(spark, d)).withColumn("l", F.transform("_sents", lambda s: F.size(s["w"]))).where(F.size("l") > 0)
+    return rows.select("doc_id", F.size("l").cast("long").alias("n_sentences"), F.array_max("l").cast("long").alias("longest"))
+
+
+def _p90(spark: SparkSession, d: str) -> DataFrame:
+    rows = tx.documented(docs(spark, d)).withColumn("l", F.array_sort(F.transform("_sents", lambda s: F.size(s["w"]))))
+    n = F.size("l")
+    return rows.where(n >= 10).select("doc_id", F.get("l", F.least(n - 1, F.floor(n * 0.9).cast("int"))).cast("long").alias("p90"))
+
+
+def _moves(spark: SparkSession, d: str) -> DataFrame:
+    rows = discourse.moves(tx.documented(docs(spark, d))).select("doc_id", F.explode("_moves").alias("s"))
+    return rows.groupBy("doc_id", F.col("s.p").cast("long").alias("paragraph"), F.col("s.move").alias("move"), F.col("s.level").alias("level")).agg(F.count("*").alias("n"))
+
+
+def _flow(spark: SparkSession, d: str) -> DataFrame:
+    rows = discourse.moves(tx.documented(docs(spark, d)))
+    rows = rows.withColumns({"typical_chain": discourse.typical_chain(F.col("_chains")), "ends": discourse.conclusion_strategy(F.col("_flow"))})
+    return rows.select("doc_id", F.explode("_flow").alias("p"), "typical_chain", "ends").select("doc_id", "p.index", "p.role", discourse.pattern(F.col("p.sequence")).alias("pattern"), "p.distinct", "typical_chain", "ends")
+
+
+def _writers(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as samples of writers, with their mean sentence length."""
+    rows = style.of_texts(docs(spark, d), only=["meanSentenceLength"])
+    last = F.max("doc_id").over(Window.partitionBy("source"))
+    none = lambda t: F.lit(None).cast(t)
+    return rows.select(
+        F.col("doc_id").alias("sample_id"), F.col("source").alias("writer_id"), F.when(F.col("doc_id") == last, "current").otherwise("baseline").alias("role"), none("boolean").alias("include"), none("boolean").alias("authentic"),
+        F.lpad(F.col("doc_id").cast("string"), 20, "0").alias("ts"), F.col("lang").alias("genre"), none("string").alias("subject"), none("string").alias("assignment_type"), none("boolean").alias("timed"),
+        F.col("_n").alias("word_count"), none("boolean").alias("has_process"), "meanSentenceLength",
+    )
+
+
+def _pairs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    samples = _writers(spark, d).persist()
+    current = samples.where("role = 'current'")
+    return profile.baseline_pairs(samples, current, CFG, ["meanSentenceLength"]), current
+
+
+def _profiled(make) -> Query:
+    return lambda spark, d: make(*_pairs(spark, d))
+
+
+def _statistics(pairs: DataFrame, _: DataFrame) -> DataFrame:
+    return profile.statistics(pairs, CFG, ["meanSentenceLength"])
+
+
+def _deviation(pairs: DataFrame, current: DataFrame) -> DataFrame:
+    rows = _statistics(pairs, current).join(current.select(F.col("sample_id").alias("piece_id"), "meanSentenceLength"), "piece_id")
+    spread = F.greatest("sd", CFG.baseline.relative_spread * F.abs("mean"), F.lit(2.5))
+    return rows.where("meanSentenceLength is not null").select("piece_id", F.round((F.col("meanSentenceLength") - F.col("mean")) / spread, 6).alias("raw_z"))
+
+
+def _verb_counts(spark: SparkSession, d: str) -> DataFrame:
+    words = tx.documented(docs(spark, d)).select("source", F.explode("_words").alias("verb"))
+    return words.where(F.col("verb").isin(*BASIC_VERBS, *ADVANCED_VERBS)).groupBy("source", "verb").agg(F.count("*").alias("n"))
+
+
+def _first_seen(spark: SparkSession, d: str) -> DataFrame:
+    """Long words of a writer's last document that no earlier one has: an anti join on writer and word."""
+    rows = tx.documented(docs(spark, d)).withColumn("last", F.max("doc_id").over(Window.partitionBy("source"))).select("source", "doc_id", "last", F.explode(F.array_distinct("_words")).alias("word"))
+    new, old = rows.where("doc_id = last and length(word) >= 8").select("source", "word").distinct(), rows.where("doc_id < last").select("source", "word").distinct()
+    return new.join(old, ["source", "word"], "left_anti").groupBy("source").agg(F.count("*").alias("n_new"))
+
+
+def analysed(spark: SparkSession, d: str) -> analysis.Result:
+    """The whole analysis of the documents, without process data."""
+    last = F.max("doc_id").over(Window.partitionBy("source"))
+    rows = docs(spark, d).select(F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("sample_id"), F.col("source").alias("writer_id"), F.when(F.col("doc_id") == last, "current").otherwise("baseline").alias("role"), F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("ts"), F.col("lang").alias("genre"), "text")
+    return analysis.analyze(analysis.featured(rows))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents per language, until the flagship query is in place."""
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("lang").agg(F.count("*").alias("n"))
+    """From texts to the priority of each writer's latest document."""
+    return analysed(spark, sf_dir).priorities
+
+
+def _analysed(make) -> Query:
+    return lambda spark, d: make(analysed(spark, d))
+
+
+# Events: a user is a sample, value its inserted words; pauses are hours, as the table's events lie far apart.
+HOURS12 = 12 * 3_600_000
+
+
+def _events(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events").select("user_id", "event_type", "value", F.unix_millis(F.col("ts").cast("timestamp")).alias("t"), "ts")
+
+
+def _by_user() -> Window:
+    return Window.partitionBy("user_id").orderBy("t")
+
+
+def _ev_sessions(spark: SparkSession, d: str) -> DataFrame:
+    rows = _events(spark, d).groupBy("user_id", F.session_window(F.col("ts").cast("timestamp"), "12 hours")).agg(F.count("*").alias("n"))
+    return rows.groupBy("user_id").agg(F.count("*").alias("sessions"), F.max("n").alias("longest"))
+
+
+def _ev_active(spark: SparkSession, d: str) -> DataFrame:
+    rows = _events(spark, d).withColumn("gap", F.col("t") - F.lag("t").over(_by_user()))
+    return rows.groupBy("user_id").agg(F.coalesce(F.sum(F.when(F.col("gap") <= HOURS12, F.col("gap"))), F.lit(0)).alias("active_ms"))
+
+
+def _ev_window(spark: SparkSession, d: str) -> DataFrame:
+    rows = _events(spark, d).withColumn("s", F.sum("value").over(_by_user().rangeBetween(0, 86_400_000)))
+    return rows.groupBy("user_id").agg(F.round(F.max("s"), 4).alias("largest"))
+
+
+def _ev_islands(spark: SparkSession, d: str) -> DataFrame:
+    w = _by_user()
+    before = F.lag("event_type").over(w)
+    new = (F.col("event_type") == "error") | before.isNull() | (before == "error") | (F.col("t") - F.lag("t").over(w) > HOURS12)
+    rows = _events(spark, d).withColumn("island", F.sum(F.coalesce(new, F.lit(True)).cast("int")).over(w))
+    return rows.groupBy("user_id", "island").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
+def _ev_growth(spark: SparkSession, d: str) -> DataFrame:
+    w = Window.partitionBy("user_id")
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    rows = _events(spark, d).withColumn("u", us).withColumns({"s": F.min("u").over(w), "e": F.max("u").over(w)})
+    half = F.sum(F.when(F.col("u") - F.col("s") <= F.expr("(e - s) div 2"), F.col("value")))
+    return rows.groupBy("user_id").agg(F.sum("value").alias("all"), half.alias("half")).where("`all` > 0").select("user_id", F.round(F.col("half") * 100.0 / F.col("all"), 4).alias("at_half"))
+
+
+def _replayed(spark: SparkSession, d: str) -> DataFrame:
+    return replay.replayed(replay.normalized(replay.log_of(docs(spark, d)))[0])
+
+
+def _roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    return _replayed(spark, d).where("final_text is not null").select("sample_id", F.md5("final_text").alias("text_md5"), F.length("final_text").cast("long").alias("chars"))
+
+
+def _process(name: str) -> Query:
+    return lambda spark, d: process.log_features(_replayed(spark, d)).select("sample_id", F.round(name, 6).alias("value"))
+
+
+QUERIES: dict[str, Query] = {
+    "words": _documented("doc_id", F.col("_n").cast("long").alias("n_words"), F.size(F.array_distinct("_words")).cast("long").alias("n_distinct")),
+    "sentences": _sentences,
+    "paragraphs": _documented("doc_id", F.size("_paras").cast("long").alias("n_paragraphs")),
+    "quotes": _documented("doc_id", F.size("_quotes").cast("long").alias("n_quotes")),
+    "syllables": _distinct_words("n", tx.syllables),
+    "stems": _distinct_words("stem", tx.stem),
+    "p90_sentence": _p90,
+    "discourse_moves": _moves,
+    "paragraph_patterns": _flow,
+    **{f"style_{f.id}": _style(f.id) for f in STYLE},
+    **{f"discourse_{f.id}": _discourse(f.id) for f in DISCOURSE},
+    "similarity_weight": _profiled(lambda p, c: p.select("piece_id", F.col("sample_id").alias("doc_id"), "weight")),
+    "n_eff": _profiled(lambda p, c: profile.summary(p, c, CFG).where("n > 0").select("piece_id", "n", F.round("n_eff", 6).alias("n_eff"), "genres")),
+    "sufficiency": _profiled(lambda p, c: profile.summary(p, c, CFG).where("n > 0").select("piece_id", "sufficiency")),
+    "weighted_profile": _profiled(lambda p, c: _statistics(p, c).select("piece_id", *[F.round(k, 6).alias(a) for k, a in (("mean", "mean"), ("sd", "sd"), ("min", "lo"), ("max", "hi"))], "n")),
+    "trend": _profiled(lambda p, c: _statistics(p, c).where("n >= 4").select("piece_id", *[F.round(k, 6).alias(k) for k in ("slope", "r2", "next")])),
+    "deviation": _profiled(_deviation),
+    "verb_counts": _verb_counts,
+    "genre_counts": lambda spark, d: table(spark, d, "documents").groupBy(F.lower("lang").alias("genre")).agg(F.count("*").alias("n")),
+    "first_seen_words": _first_seen,
+    "compare": _analysed(lambda r: r.rows.select("piece_id", "feature_id", "value", "z", "deviation", "strength", "quality", "trend", "outside", "pct_change")),
+    "explanations": _analysed(lambda r: analysis.anomalies(r.rows)),
+    "category": _analysed(lambda r: r.categories.drop("notable")),
+    "priority": flagship,
+    "strongest": _analysed(lambda r: r.strongest.select("piece_id", "rank", "feature_id", "z", "weight")),
+    "composites": _analysed(lambda r: r.composites),
+    "new_vocabulary": _analysed(lambda r: r.new_vocabulary),
+    "verb_repertoire": _analysed(lambda r: r.verbs),
+    "summaries": _analysed(analysis.summaries),
+    "followups": _analysed(analysis.follow_ups),
+    "report_text": _analysed(analysis.report_text),
+    "class_dashboard": _analysed(analysis.dashboard),
+    "ev_sessions": _ev_sessions,
+    "ev_active": _ev_active,
+    "ev_window": _ev_window,
+    "ev_islands": _ev_islands,
+    "ev_growth": _ev_growth,
+    "replay_roundtrip": _roundtrip,
+    **{f"process_{f.id}": _process(f.id) for f in PROCESS},
+    "activity_segments": lambda spark, d: process.activity_segments(_replayed(spark, d)),
+    "draft_growth": lambda spark, d: process.growth(_replayed(spark, d)),
+    "log_sessions": lambda spark, d: live.sessions(replay.log_of(docs(spark, d)).withColumn("source", F.col("source").cast("int"))),
+    "merged_keystrokes": lambda spark, d: live.merged_keystrokes(replay.log_of(docs(spark, d))),
+}
+
+ORACLE_SQL: dict[str, str] = {
+    **oracle.PRIMITIVES,
+    "discourse_moves": oracle.moves(),
+    **{f"style_{f.id}": q for f in STYLE if (q := oracle.style(f.id))},
+    **{f"discourse_{f.id}": oracle.discourse(f.id) for f in DISCOURSE},
+    **oracle.PROFILE,
+    **oracle.EVENTS,
+    **oracle.LOG,
+}
