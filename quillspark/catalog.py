@@ -18,6 +18,7 @@ from .operators import discourse, process, replay, style
 from .operators.features import DISCOURSE, PROCESS, STYLE
 from .plans import analysis, profile
 from .plans.config import Config
+from .sources.store import stored
 from .streaming import live
 
 CFG = Config()
@@ -91,7 +92,7 @@ def _writers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _pairs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    samples = _writers(spark, d).persist()
+    samples = stored(_writers(spark, d), "writers")
     current = samples.where("role = 'current'")
     return profile.baseline_pairs(samples, current, CFG, ["meanSentenceLength"]), current
 
@@ -126,7 +127,7 @@ def analysed(spark: SparkSession, d: str) -> analysis.Result:
     """The whole analysis of the documents, without process data."""
     last = F.max("doc_id").over(Window.partitionBy("source"))
     rows = docs(spark, d).select(F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("sample_id"), F.col("source").alias("writer_id"), F.when(F.col("doc_id") == last, "current").otherwise("baseline").alias("role"), F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("ts"), F.col("lang").alias("genre"), "text")
-    return analysis.analyze(analysis.featured(rows))
+    return analysis.analyze(stored(analysis.featured(rows), "features"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,9 +55,8 @@ class Result:
 
 
 def analyze(table: DataFrame, writers: DataFrame | None = None, assignments: DataFrame | None = None, dismissed: DataFrame | None = None, cfg: Config = Config()) -> Result:
-    """table: featured() samples. writers: writer_id and their flags. assignments: assignment_id and theirs, taught_terms as
+    """table: featured() samples, stored as a table (sources.store.stored), as it is read several times. writers: writer_id and their flags. assignments: assignment_id and theirs, taught_terms as
     an array. dismissed: sample_id and feature_id of findings that a teacher has set aside. Pieces are samples of role current."""
-    table = table.persist(StorageLevel.MEMORY_AND_DISK)
     ids = [f.id for f in ALL]
     current = table.where("role = 'current'")
     pairs = profile.baseline_pairs(table, current, cfg, ids)

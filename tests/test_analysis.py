@@ -5,6 +5,7 @@ import pytest
 from quillspark.operators.features import ALL
 from quillspark.plans import analysis, compare, profile, wording
 from quillspark.plans.config import Config
+from quillspark.sources.store import stored
 from pyspark.sql import functions as F
 
 CFG = Config()
@@ -28,7 +29,7 @@ def result(spark):
         rows.append((f"{writer}-now", writer, "current", "2024-12-01", "Essay", last))
     rows.append(("abrupt-later", "abrupt", "baseline", "2025-01-01", "Essay", ornate(rng, 3)))
     samples = spark.createDataFrame(rows, "sample_id string, writer_id string, role string, ts string, genre string, text string")
-    return analysis.analyze(analysis.featured(samples))
+    return analysis.analyze(stored(analysis.featured(samples), "features"))
 
 
 def test_classes(result):
@@ -61,6 +62,7 @@ def test_context_and_dismissal(spark, result):
     samples = result.pieces.select(F.col("piece_id").alias("sample_id"), *[c for c in result.pieces.columns if c != "piece_id"])
     table = samples.unionByName(samples.withColumns({"sample_id": F.concat("sample_id", F.lit("x")), "role": F.lit("baseline"), "ts": F.lit("2023-01-01")}).crossJoin(spark.range(5)).drop("id").withColumn("sample_id", F.concat("sample_id", F.monotonically_increasing_id().cast("string"))))
     table = table.withColumn("hedgingRate", F.when(F.col("role") == "current", 90.0).otherwise(F.col("hedgingRate")))
+    table = stored(table, "changed")
     one = analysis.analyze(table)
     two = analysis.analyze(table, writers=spark.createDataFrame([("steady", True)], "writer_id string, ell boolean"), dismissed=spark.createDataFrame([("steady-now", "hedgingRate")], "sample_id string, feature_id string"))
     z = lambda r: r.rows.where("piece_id = 'steady-now' and feature_id = 'hedgingRate'").first()
