@@ -2,7 +2,8 @@ r"""Patterns with ASCII word boundaries and Unicode white space, compiled for Sp
 
 In the dialect \b and \w are about ASCII letters, digits and the underscore, \s is any Unicode white space, ^ and $ are the
 ends of the whole input. Java's \b follows Unicode letters, its \s is ASCII and its $ stops before a final newline, so the
-three are spelled out.
+three are spelled out. A \b always stands beside something that begins or ends with a word character: at the start of a
+pattern or branch, or before a letter, \w or a group, it asks that none comes before; elsewhere that none follows.
 """
 
 from __future__ import annotations
@@ -13,14 +14,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SPACES = r" \t\n\x0B\f\r\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF"
-BOUNDARY = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
+BEFORE, AFTER = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
 _TOKEN = re.compile(r"\\.|\[\^?|\]|\$|[^\\\[\]$]+")
 
 
 def java(pattern: str, case: bool = True) -> str:
     """For Spark's rlike, regexp_count and their kind."""
     out, inside = [], False
-    for t in _TOKEN.findall(pattern):
+    tokens = _TOKEN.findall(pattern)
+    for k, t in enumerate(tokens):
         if t.startswith("["):
             inside = True
             out.append(t)
@@ -28,7 +30,8 @@ def java(pattern: str, case: bool = True) -> str:
             inside = False
             out.append(t)
         elif t == r"\b" and not inside:
-            out.append(BOUNDARY)
+            opens = not k or tokens[k - 1].endswith(("|", "(", ":", "!", "=", "<"))
+            out.append(BEFORE if opens or (k + 1 < len(tokens) and (tokens[k + 1] == r"\w" or tokens[k + 1][0].isalnum() or tokens[k + 1][0] == "(")) else AFTER)
         elif t == r"\s":
             out.append(SPACES if inside else f"[{SPACES}]")
         elif t == r"\S" and not inside:

@@ -99,6 +99,14 @@ def unmarked(text: Column) -> Column:
 QUOTED = f"[{OPEN}{CURLY_OPEN}][^{OPEN}{CLOSE}{CURLY_OPEN}{CURLY_CLOSE}]*[{CLOSE}{CURLY_CLOSE}]"
 
 
+def settled(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """df with columns that are worked out once a row. Projections above may refer to them within lambdas: a generator of
+    one row stands between, across which the optimizer doesn't copy expressions into each other, where a lambda would
+    repeat them for every element."""
+    kept = [c for c in df.columns if c not in columns]
+    return df.select(*kept, F.inline(F.array(F.struct(*[c.alias(k) for k, c in columns.items()]))))
+
+
 def documented(df: DataFrame, text: str = "text", taught: str | None = None) -> DataFrame:
     """df with the structure of its texts (null: empty):
 
@@ -108,15 +116,14 @@ def documented(df: DataFrame, text: str = "text", taught: str | None = None) ->
     """
     t = F.coalesce(F.col(text), F.lit(""))
     terms = taught_terms(F.col(taught)) if taught else F.array().cast("array<string>")
-    df = df.withColumns({"_t": t, "_taught": terms, "_gaps": F.split(t, java(lx.QUOTE), -1), "_quotes": matches(t, lx.QUOTE), "_words": F.transform(words(t), F.lower)})
+    df = settled(df, {"_t": t, "_taught": terms, "_gaps": F.split(t, java(lx.QUOTE), -1), "_quotes": matches(t, lx.QUOTE), "_words": F.transform(words(t), F.lower)})
     pairs = F.zip_with("_gaps", "_quotes", lambda g, q: F.concat(F.coalesce(g, F.lit("")), F.coalesce(_marked_quote(q), F.lit(""))))
     hollow = F.zip_with("_gaps", "_quotes", lambda g, q: F.concat(F.coalesce(g, F.lit("")), F.when(q.isNotNull(), F.lit('""')).otherwise("")))
-    df = df.withColumns({"_n": F.size("_words"), "_marked": F.array_join(pairs, ""), "_hollow": F.array_join(hollow, "")})
-    df = df.withColumn("_paras", paragraphs(F.col("_marked")))
+    df = settled(df, {"_n": F.size("_words"), "_paras": paragraphs(F.array_join(pairs, "")), "_hollow": F.array_join(hollow, "")})
     nested = F.transform("_paras", lambda p, k: F.struct(k.alias("p"), sentences(p).alias("s")))
-    df = df.withColumn("_nested", nested)
+    df = settled(df, {"_nested": nested})
     flat = F.flatten(F.transform("_nested", lambda x: F.transform(x["s"], lambda s, k: F.struct(s.alias("t"), x["p"].alias("p"), k.alias("i"), F.size(x["s"]).alias("m"), F.transform(words(s), F.lower).alias("w")))))
     seen = F.filter(matches(F.col("_hollow"), VOCABULARY, 1), lambda w: w != "")
     vocab = F.filter(seen, lambda w: ~(F.array_contains("_taught", F.lower(w)) | F.array_contains("_taught", stem(w))))
     plain = F.when(F.size("_taught") == 0, seen).otherwise(vocab)
-    return df.withColumns({"_sents": flat, "_vocab": plain}).drop("_nested", "_hollow", "_marked")
+    return settled(df, {"_sents": flat, "_vocab": plain}).drop("_nested", "_hollow")

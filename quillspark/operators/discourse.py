@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon as lx
 from ..functions.patterns import count, has
-from ..functions.text import QUOTED, content_words, documented, jaccard, space_parts, unmarked
+from ..functions.text import QUOTED, content_words, documented, jaccard, settled, space_parts, unmarked
 from .features import DISCOURSE
 from .style import counted, mean
 
@@ -85,15 +85,16 @@ def _chain(s: Column, k: Column) -> Column:
 def moves(docs: DataFrame) -> DataFrame:
     """docs, on which documented() was called, with _moves (array of move, level, t, p, i, tags, technique, quote, citation),
     _flow (per paragraph its role, run of moves and number of distinct ones) and _chains (steps after each evidence)."""
-    docs = docs.withColumn("_moves", F.transform("_sents", _observed))
-    docs = docs.withColumn("_moves", F.transform("_moves", _tagged)).withColumn("_moves", F.transform("_moves", _moved))
-    docs = docs.withColumn("_byp", F.transform("_paras", lambda _, p: F.transform(F.filter("_moves", lambda s: s["p"] == p), lambda s: s["move"])))
+    docs = settled(docs, {"_moves": F.transform("_sents", _observed)})
+    docs = settled(docs, {"_moves": F.transform("_moves", _tagged)})
+    docs = settled(docs, {"_moves": F.transform("_moves", _moved)})
+    docs = settled(docs, {"_byp": F.transform("_paras", lambda _, p: F.transform(F.filter("_moves", lambda s: s["p"] == p), lambda s: s["move"]))})
     paras = F.size("_paras")
     role = lambda p: F.when((paras >= 3) & (p == 0), "introduction").when((paras >= 3) & (p == paras - 1), "conclusion").otherwise("body")
     run = lambda m: F.filter(m, lambda x, k: (k == 0) | (x != F.coalesce(F.get(m, k - 1), F.lit(""))))
     flow = F.transform("_byp", lambda m, p: F.struct(p.alias("index"), role(p).alias("role"), run(m).alias("sequence"), F.size(F.array_distinct(m)).alias("distinct")))
     marked = F.transform("_moves", lambda s, k: F.when(s["move"] == "evidence", _chain(s, k)))
-    return docs.withColumns({"_flow": flow, "_chains": F.filter(marked, lambda c: c.isNotNull())}).drop("_byp")
+    return settled(docs, {"_flow": flow, "_chains": F.filter(marked, lambda c: c.isNotNull())}).drop("_byp")
 
 
 def _same(x: Column, others: Column, k: Column) -> Column:
@@ -145,7 +146,7 @@ def discourse_features(docs: DataFrame, only: list[str] | None = None) -> DataFr
     """docs, on which moves() was called, with a column for each feature (or for those in only)."""
     thesis = F.get(F.filter("_moves", lambda x: x["move"] == "thesis"), 0)["t"]
     claims = F.transform(F.filter("_moves", lambda x: x["move"] == "claim"), lambda x: content_words(x["t"]))
-    docs = docs.withColumns({"_claims": claims, "_thesis": content_words(F.coalesce(thesis, F.lit("")))})
+    docs = settled(docs, {"_claims": claims, "_thesis": content_words(F.coalesce(thesis, F.lit("")))})
     columns = _columns()
     return docs.withColumns({f.id: columns[f.id].cast("double") for f in DISCOURSE if only is None or f.id in only}).drop("_claims", "_thesis")
 

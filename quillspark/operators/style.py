@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon as lx
 from ..functions.patterns import count, has, java
-from ..functions.text import documented, lemma_in, space_parts, stem, syllables
+from ..functions.text import documented, lemma_in, settled, space_parts, stem, syllables
 from .features import STYLE
 
 WINDOW = 50
@@ -52,14 +52,17 @@ def _markers(s: Column) -> Column:
     return F.struct(sub.alias("sub"), rel.alias("rel"), count(s["t"], r",\s+(?:and|but|or|so|yet)\s", case=False).alias("coord"), count(s["t"], r",\s+\w+ing\b").alias("ing"))
 
 
-def _mattr(w: Column, back: Column, n: Column) -> Column:
+def _mattr(w: Column, sorted_: Column, n: Column) -> Column:
     """Mean share of distinct words in windows of 50. A word is distinct in a window where it comes first, that is in those
-    that begin after its last occurrence before; that one is looked for in the 49 words before, so no window is built."""
-    # how far back the same word last stood, 0 if not within 49 words
-    gap = F.transform(w, lambda x, k: F.array_position(F.slice(back, n - k + 1, WINDOW - 1), x).cast("int"))
-    firsts = F.transform(gap, lambda d, k: F.greatest(F.lit(0), F.least(k, n - WINDOW) - F.greatest(F.lit(0), k - (WINDOW - 1), F.when(d > 0, k - d + 1).otherwise(0)) + 1))
+    that begin after its last occurrence before; sorted by word and place, that one is the neighbour. No window is built."""
+
+    def firsts(e, j):
+        before = F.get(sorted_, j - 1)
+        last = F.when((j > 0) & (before["x"] == e["x"]), before["k"]).otherwise(-1)
+        return F.greatest(F.lit(0), F.least(e["k"], n - WINDOW) - F.greatest(F.lit(0), e["k"] - (WINDOW - 1), last + 1) + 1)
+
     whole = F.try_divide(F.size(F.array_distinct(w)).cast("double"), n)
-    return F.when(n <= WINDOW, whole).otherwise(_sum(firsts) / (WINDOW * (n - WINDOW + 1)))
+    return F.when(n <= WINDOW, whole).otherwise(_sum(F.transform(sorted_, firsts)) / (WINDOW * (n - WINDOW + 1)))
 
 
 def _repeated(s: Column) -> Column:
@@ -67,6 +70,12 @@ def _repeated(s: Column) -> Column:
     return counted(s, lambda x, k: (x == F.get(s, k - 1)) & F.coalesce(x != F.get(s, k - 2), F.lit(True)))
 
 
+def _phrase(p: str) -> str:
+    """A whole phrase, its first word first, so that Java searches for that."""
+    head, *rest = p.split(" ")
+    return head + f"(?<![A-Za-z0-9_]{head})" + java("".join(rf"\s+{r}" for r in rest)) + "(?![A-Za-z0-9_])"
+
+
 def _steps() -> Column:
     """Texts around quotations and quotations in turn."""
     return F.flatten(F.zip_with("_gaps", "_quotes", lambda g, q: F.array(F.coalesce(g, F.lit("")), F.coalesce(q, F.lit("")))))
@@ -95,7 +104,7 @@ def _columns(lexicon: lx.Lexicon) -> dict[str, Column]:
     of_vocab = lambda test: per(counted(vocab, test), F.size(vocab), 100)
     after = F.slice(paras, 2, F.greatest(F.lit(0), F.size(paras) - 1))
     basic, advanced = listed(lx.BASIC_VERBS), listed(lx.ADVANCED_VERBS)
-    transitions = sum((count(F.lower(t), rf"\b{p.replace(' ', r'\s+')}\b") for p in lx.TRANSITIONS), F.lit(0))
+    transitions = sum((F.regexp_count("_low", F.lit(_phrase(p))) for p in lx.TRANSITIONS), F.lit(0))
     opener = java("^(?:" + "|".join(lx.TRANSITIONS) + ")[ ,]")
     first = lambda s: F.coalesce(F.get(s["w"], 0), F.lit(""))
     comma_early = lambda s: F.array_join(F.slice(F.split(s["t"], java(r"\s+")), 1, 14), " ").contains(",")
@@ -112,7 +121,7 @@ def _columns(lexicon: lx.Lexicon) -> dict[str, Column]:
         "rhetoricalQuestionRate": share(lambda s: has(s["t"], r"\?\s*$")),
         "openerVariety": per(F.size(F.array_distinct(F.transform(sents, first))), n_s, 100),
         "patternRepetition": per(n_s - F.size(F.array_distinct(F.transform(sents, lambda s: F.array_join(F.slice(s["w"], 1, 2), " ")))), n_s, 100),
-        "mattr": _mattr(w, F.col("_back"), n),
+        "mattr": _mattr(w, F.col("_placed"), n),
         "ttr300": F.try_divide(F.size(F.array_distinct(F.slice(w, 1, 300))).cast("double"), F.least(n, F.lit(300))),
         "rareWordRate": of_vocab(lambda x: (F.length(x) >= 7) & ~lemma_in(F.lower(x), lexicon.everyday)),
         "academicRate": of_vocab(lambda x: lemma_in(F.lower(x), lexicon.academic)),
@@ -155,12 +164,12 @@ def style_features(docs: DataFrame, only: list[str] | None = None, lexicon: lx.L
     """docs, on which documented() was called, with a column for each feature (or for those in only)."""
     # what lambdas refer to has a column of its own; within a lambda it would be worked out for every element
     sents, w, n = F.col("_sents"), F.col("_words"), F.col("_n")
-    three = F.transform(F.sequence(F.lit(1), F.greatest(n - 2, F.lit(1))), lambda k: F.array_join(F.slice(w, k, 3), " "))
+    three = F.transform(F.sequence(F.lit(0), F.greatest(n - 3, F.lit(0))), lambda k: F.concat_ws(" ", F.get(w, k), F.get(w, k + 1), F.get(w, k + 2)))
     trigrams = F.when(n >= 3, F.array_sort(three)).otherwise(F.array().cast("array<string>"))
-    docs = docs.withColumns({"_lengths": F.transform(sents, lambda s: F.size(s["w"])), "_marks": F.transform(sents, _markers), "_steps": _steps(), "_back": F.reverse(w), "_trigrams": trigrams})
-    docs = docs.withColumns({"_quoting": _quotes(), "_centre": mean(F.col("_lengths"))})
+    docs = settled(docs, {"_lengths": F.transform(sents, lambda s: F.size(s["w"])), "_marks": F.transform(sents, _markers), "_steps": _steps(), "_low": F.lower("_t"), "_placed": F.array_sort(F.transform(w, lambda x, k: F.struct(x.alias("x"), k.alias("k")))), "_trigrams": trigrams})
+    docs = settled(docs, {"_quoting": _quotes(), "_centre": mean(F.col("_lengths"))})
     columns = _columns(lexicon or lx.Lexicon())
-    return docs.withColumns({k: columns[k] for k in only or columns}).drop("_lengths", "_marks", "_steps", "_back", "_trigrams", "_quoting", "_centre")
+    return docs.withColumns({k: columns[k] for k in only or columns}).drop("_lengths", "_marks", "_steps", "_placed", "_low", "_trigrams", "_quoting", "_centre")
 
 
 def vocabulary_details(docs: DataFrame, lexicon: lx.Lexicon | None = None) -> DataFrame:
@@ -171,7 +180,7 @@ def vocabulary_details(docs: DataFrame, lexicon: lx.Lexicon | None = None) -> Da
     strong = lambda x: lemma_in(F.lower(x), lexicon.academic) | (syllables(x) >= 3) | F.lower(x).isin(*lx.ADVANCED_VERBS)
     rare = F.filter("_vocab", lambda x: known(x) & strong(x))
     pairs = F.transform(rare, lambda x: F.struct(stem(x).alias("k"), F.lower(x).alias("v")))
-    docs = docs.withColumns({"_stems": F.array_distinct(F.transform("_words", stem)), "_pairs": pairs, "_verb": F.filter("_words", lambda x: x.isin(*lx.BASIC_VERBS, *lx.ADVANCED_VERBS))})
+    docs = settled(docs, {"_stems": F.array_distinct(F.transform("_words", stem)), "_pairs": pairs, "_verb": F.filter("_words", lambda x: x.isin(*lx.BASIC_VERBS, *lx.ADVANCED_VERBS))})
     last = F.filter("_pairs", lambda x, k: ~F.exists(F.slice("_pairs", k + 2, F.size("_pairs")), lambda y: y["k"] == x["k"]))
     verbs = F.transform(F.array_distinct("_verb"), lambda v: F.struct(v.alias("k"), counted(F.col("_verb"), lambda x: x == v).alias("v")))
     return docs.withColumns({"_rare": F.map_from_entries(last), "_verbs": F.map_from_entries(verbs)}).drop("_pairs", "_verb")
