@@ -45,8 +45,8 @@ def _discourse(name: str) -> Query:
     return lambda spark, d: discourse.of_texts(docs(spark, d), only=[name]).select(*_value(name))
 
 
-def _documented(*columns) -> Query:
-    return lambda spark, d: tx.documented(docs(spark, d)).select(*columns)
+def _documented(columns: Callable[[], list]) -> Query:
+    return lambda spark, d: tx.documented(docs(spark, d)).select("doc_id", *columns())
 
 
 def _distinct_words(column: str, make) -> Query:
@@ -195,10 +195,10 @@ def _process(name: str) -> Query:
 
 
 QUERIES: dict[str, Query] = {
-    "words": _documented("doc_id", F.col("_n").cast("long").alias("n_words"), F.size(F.array_distinct("_words")).cast("long").alias("n_distinct")),
+    "words": _documented(lambda: [F.col("_n").cast("long").alias("n_words"), F.size(F.array_distinct("_words")).cast("long").alias("n_distinct")]),
     "sentences": _sentences,
-    "paragraphs": _documented("doc_id", F.size("_paras").cast("long").alias("n_paragraphs")),
-    "quotes": _documented("doc_id", F.size("_quotes").cast("long").alias("n_quotes")),
+    "paragraphs": _documented(lambda: [F.size("_paras").cast("long").alias("n_paragraphs")]),
+    "quotes": _documented(lambda: [F.size("_quotes").cast("long").alias("n_quotes")]),
     "syllables": _distinct_words("n", tx.syllables),
     "stems": _distinct_words("stem", tx.stem),
     "p90_sentence": _p90,
