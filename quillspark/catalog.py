@@ -157,8 +157,9 @@ def _ev_sessions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _ev_active(spark: SparkSession, d: str) -> DataFrame:
-    rows = _events(spark, d).withColumn("gap", F.col("t") - F.lag("t").over(_by_user()))
-    return rows.groupBy("user_id").agg(F.coalesce(F.sum(F.when(F.col("gap") <= HOURS12, F.col("gap"))), F.lit(0)).alias("active_ms"))
+    rows = _events(spark, d).withColumn("u", F.unix_micros(F.col("ts").cast("timestamp")))
+    rows = rows.withColumn("gap", F.col("u") - F.lag("u").over(Window.partitionBy("user_id").orderBy("u")))
+    return rows.groupBy("user_id").agg(F.coalesce(F.sum(F.when(F.col("gap") <= HOURS12 * 1000, F.col("gap"))), F.lit(0)).alias("active_us"))
 
 
 def _ev_window(spark: SparkSession, d: str) -> DataFrame:

@@ -248,7 +248,7 @@ PROFILE = {
 # Events: a user is a sample, value stands for inserted words; pauses are days and hours, as the table's events are far apart.
 EVENTS = {
     "ev_sessions": "select user_id, count(*) as sessions, max(n) as longest from (select user_id, g, count(*) as n from (select user_id, sum(brk) over (partition by user_id order by ts) as g from (select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) > interval 12 hours then 1 else 0 end as brk from events)) group by user_id, g) group by user_id",
-    "ev_active": "select user_id, cast(coalesce(sum(gap) filter (gap <= 43200000), 0) as bigint) as active_ms from (select user_id, epoch_ms(ts) - lag(epoch_ms(ts)) over (partition by user_id order by ts) as gap from events) group by user_id",
+    "ev_active": "select user_id, cast(coalesce(sum(gap) filter (gap <= 43200000000), 0) as bigint) as active_us from (select user_id, epoch_us(ts) - lag(epoch_us(ts)) over (partition by user_id order by ts) as gap from events) group by user_id",
     "ev_window": "select user_id, round(max(s), 4) as largest from (select user_id, sum(value) over (partition by user_id order by ts range between current row and interval 1 day following) as s from events) group by user_id",
     "ev_islands": "select user_id, g as island, count(*) as n, round(sum(value), 4) as total from (select user_id, value, sum(brk) over (partition by user_id order by ts) as g from (select user_id, ts, value, case when event_type = 'error' or lag(event_type) over (partition by user_id order by ts) is null or lag(event_type) over (partition by user_id order by ts) = 'error' or ts - lag(ts) over (partition by user_id order by ts) > interval 12 hours then 1 else 0 end as brk, event_type from events) where true) group by user_id, g",
     "ev_growth": "select user_id, round(sum(value) filter (ts <= s + (e - s) / 2) * 100.0 / sum(value), 4) as at_half from (select user_id, ts, value, min(ts) over (partition by user_id) as s, max(ts) over (partition by user_id) as e from events) group by user_id having sum(value) > 0",
