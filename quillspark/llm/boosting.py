@@ -16,12 +16,14 @@ class BoostedTrees:
     def _binned(self, x: np.ndarray) -> np.ndarray:
         return np.stack([np.searchsorted(c, x[:, j], side="right") for j, c in enumerate(self.cuts)], axis=1) if len(self.cuts) else np.zeros((len(x), 0), int)
 
-    def fit(self, x: np.ndarray, y: np.ndarray) -> BoostedTrees:
-        """With no rows or one class the model gives that class's share (0.5 without rows)."""
+    def fit(self, x: np.ndarray, y: np.ndarray, weights: np.ndarray | None = None) -> BoostedTrees:
+        """With no rows or one class the model gives that class's share (0.5 without rows). Rows count by their weights (1 each
+        by default)."""
         x, y = np.asarray(x, float), np.asarray(y, float)
         if not len(y):
             return self
-        share = (y.sum() + 0.5) / (len(y) + 1)
+        each = np.ones(len(y)) if weights is None else np.asarray(weights, float) * len(y) / np.sum(weights)
+        share = ((each * y).sum() + 0.5) / (len(y) + 1)
         self.base = float(np.log(share / (1 - share)))
         if y.min() == y.max():
             return self
@@ -30,7 +32,7 @@ class BoostedTrees:
         b, score = self._binned(x), np.full(len(y), self.base)
         for _ in range(self.rounds):
             p = 1 / (1 + np.exp(-score))
-            tree, leaf_of = self._tree(b, p - y, p * (1 - p))
+            tree, leaf_of = self._tree(b, each * (p - y), each * p * (1 - p))
             self.trees.append(tree)
             score += tree[2][leaf_of]
         return self

@@ -45,7 +45,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, per_class: int, allowed: Column | None = None) -> DataFrame:
-    """doc_id, text and label of a bounded sample: for each value of the label, 0 and 1, the per_class ids that hash lowest.
+    """doc_id, text, label and weight of a bounded sample: for each value of the label, 0 and 1, the per_class ids that hash
+    lowest. The weight is the number of ids with the label for each one taken, so that weighted classes are to each other
+    as in the whole table; it is 1 where all are taken.
 
     Rows without a doc_id or label are left out; of an id's several texts or labels the smallest text and largest label
     count. Only ids, at most 2 * per_class, are broadcast.
@@ -55,6 +57,9 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, per_class: int, all
     if allowed is not None:
         known = known.where(allowed)
     known = known.groupBy("doc_id").agg(F.max("label").alias("label"))
+    n = {r.label: r["count"] for r in known.groupBy("label").count().collect()}
+    weight = F.when(F.col("label") == 1, max(1.0, n.get(1, 0) / per_class)).otherwise(max(1.0, n.get(0, 0) / per_class))
     ids = [known.where(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for k in (0, 1)]
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return texts.join(F.broadcast(ids[0].unionByName(ids[1])), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").alias("label"))
+    taken = texts.join(F.broadcast(ids[0].unionByName(ids[1])), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").alias("label"))
+    return taken.withColumn("weight", weight)

@@ -63,15 +63,16 @@ class CompressionModel:
         n, (good, bad) = max(1, len(raw)), self.sizes(raw)
         return [(bad - good) / n, (bad - good) / (bad + good + 1), (good + bad) / 2 / n, np.log1p(len(raw))]
 
-    def calibrate(self, raws: list[bytes], labels: list[int]) -> None:
-        """Logistic regression by Newton's method; each class weighs as in the sample, with a light ridge."""
+    def calibrate(self, raws: list[bytes], labels: list[int], weights: list[float] | None = None) -> None:
+        """Logistic regression by Newton's method, with a light ridge; rows count by their weights (1 each by default)."""
         x, y = np.array([self.features(r) for r in raws]).reshape(-1, 4), np.array(labels, float)
+        each = np.ones(len(y)) if weights is None else np.array(weights, float) * len(y) / sum(weights)
         self.scale = (x.mean(axis=0), x.std(axis=0) + 1e-9) if len(y) else self.scale
         x = np.column_stack([(x - self.scale[0]) / self.scale[1], np.ones(len(y))])
         w, ridge = np.zeros(5), np.diag([1e-2] * 4 + [1e-6])
         for _ in range(30):
             p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-            step = np.linalg.solve((x * (p * (1 - p) + 1e-6)[:, None]).T @ x + ridge, x.T @ (y - p) - ridge @ w)
+            step = np.linalg.solve((x * (each * (p * (1 - p) + 1e-6))[:, None]).T @ x + ridge, x.T @ (each * (y - p)) - ridge @ w)
             w += step
             if abs(step).max() < 1e-8:
                 break
@@ -82,18 +83,20 @@ class CompressionModel:
         return float(1 / (1 + np.exp(-np.clip(x @ self.weights[:4] + self.weights[4], -30, 30))))
 
 
-def fit(texts: list[str | None], labels: list[int]) -> CompressionModel:
+def fit(texts: list[str | None], labels: list[int], weights: list[float] | None = None) -> CompressionModel:
     """Dictionaries from every second text of each class, calibration on the others, then the same with the halves'
-    roles kept; without one of the classes every score is the smoothed share of good ones."""
+    roles kept; without one of the classes every score is the smoothed share of good ones. A text of a label stands for as
+    many as its weight says (one by default), the same for all texts of the label."""
     rows = sorted({(zlib.crc32((t or "").encode()), (t or "").encode(), y) for t, y in zip(texts, labels, strict=True)})
     held = {y: [r for _, r, k in rows if k == y] for y in (0, 1)}
+    weight = dict(zip(labels, weights, strict=True)) if weights else {0: 1.0, 1: 1.0}
     if not held[0] or not held[1]:
         model, share = CompressionModel(b"", b""), (len(held[1]) + 0.5) / (len(rows) + 1)
         model.weights = np.array([0, 0, 0, 0, np.log(share / (1 - share))])
         return model
     model = CompressionModel(*(dictionary(held[y][::2]) for y in (1, 0)))
     rest = {y: held[y][1::2] or held[y] for y in (0, 1)}
-    model.calibrate(rest[1] + rest[0], [1] * len(rest[1]) + [0] * len(rest[0]))
+    model.calibrate(rest[1] + rest[0], [1] * len(rest[1]) + [0] * len(rest[0]), [weight[1]] * len(rest[1]) + [weight[0]] * len(rest[0]))
     return model
 
 
@@ -109,7 +112,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS
     scores. Every row is scored, repeated ones each; other columns are not read; an empty table gives no row.
     """
     sample = common.labelled(docs, labels, "quality", per_class, ~held_out(F.col("doc_id"))).collect()  # 2 * per_class rows at most
-    model = fit([r.text for r in sample], [r.label for r in sample])
+    model = fit([r.text for r in sample], [r.label for r in sample], [r.weight for r in sample])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

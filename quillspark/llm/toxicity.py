@@ -90,13 +90,15 @@ def keep_features(texts: list[str], toxic: list[int]) -> dict[str, int]:
     return {f: i for i, (_, f) in enumerate(sorted(found)[:MOST_FEATURES])}
 
 
-def fit_ordinal(rows: list[Counter], grades: list[int], n_features: int, n_grades: int, steps: int = 600, ridge: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and thresholds of greatest penalised likelihood, by Adam on whole passes."""
+def fit_ordinal(rows: list[Counter], grades: list[int], n_features: int, n_grades: int, steps: int = 600, ridge: float = 1e-4, weights: list[float] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and thresholds of greatest penalised likelihood, by Adam on whole passes; rows count by their weights (1 each
+    by default)."""
     y = np.array(grades)
+    each = np.ones(len(y)) if weights is None else np.array(weights, float) * len(y) / sum(weights)
     at = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     index = np.array([i for r in rows for i in r], int)
     value = np.log1p(np.array([n for r in rows for n in r.values()], float))
-    above = np.array([(np.sum(y > k) + 0.5) / (len(y) + 1) for k in range(n_grades - 1)])
+    above = np.array([(np.sum(each * (y > k)) + 0.5) / (len(y) + 1) for k in range(n_grades - 1)])
     theta = np.log((1 - above) / above)
     # thresholds as the first and the logs of the steps between them
     p = np.concatenate([np.zeros(n_features), theta[:1], np.log(np.maximum(np.diff(theta), 0.05))])
@@ -109,10 +111,10 @@ def fit_ordinal(rows: list[Counter], grades: list[int], n_features: int, n_grade
         low, high = s[np.arange(len(rows)), y], s[np.arange(len(rows)), y + 1]
         prob = np.maximum(low - high, 1e-9)
         d_low, d_high = low * (1 - low), high * (1 - high)
-        d_score = -(d_low - d_high) / prob / len(rows)
+        d_score = -each * (d_low - d_high) / prob / len(rows)
         d_cut = np.zeros(n_grades + 1)
-        np.add.at(d_cut, y, d_low / prob / len(rows))
-        np.add.at(d_cut, y + 1, -d_high / prob / len(rows))
+        np.add.at(d_cut, y, each * d_low / prob / len(rows))
+        np.add.at(d_cut, y + 1, -each * d_high / prob / len(rows))
         tail = np.cumsum(d_cut[1:-1][::-1])[::-1]
         g = np.concatenate([np.bincount(index, d_score[at] * value, n_features) + ridge * w if len(index) else ridge * w, tail[:1], tail[1:] * np.exp(p[n_features + 1 :])])
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g**2
@@ -126,13 +128,15 @@ def _family(text: str) -> int:
     return min(zlib.crc32(" ".join(w[i : i + 5]).encode()) for i in range(max(1, len(w) - 4)))
 
 
-def fit(texts: list[str | None], toxic: list[int], grades: list[int] | None = None) -> OrdinalModel:
+def fit(texts: list[str | None], toxic: list[int], grades: list[int] | None = None, weights: list[float] | None = None) -> OrdinalModel:
     """From labelled texts, one of each family of copies. Grades run from 0 (clean); without them a toxic text's grade
-    follows from its number of hits (GRADE_FROM). With no toxic or no clean text the model finds nothing toxic."""
+    follows from its number of hits (GRADE_FROM). With no toxic or no clean text the model finds nothing toxic. Weights say
+    how many texts one stands for; they count in the regression, features are chosen by the texts at hand."""
     rows = {}
     for k in sorted(range(len(texts)), key=lambda k: ((texts[k] or ""), toxic[k])):
         rows.setdefault((_family(texts[k] or ""), toxic[k]), k)
     chosen = list(rows.values())
+    weights = weights and [weights[k] for k in chosen]
     texts, toxic, grades = [texts[k] or "" for k in chosen], [toxic[k] for k in chosen], grades and [grades[k] for k in chosen]
     if not any(toxic) or all(toxic):
         return OrdinalModel({}, np.zeros(0), np.array([30.0, 31.0, 32.0]))
@@ -142,7 +146,7 @@ def fit(texts: list[str | None], toxic: list[int], grades: list[int] | None = No
     if grades is None:
         hits = [sum(bool(model._hits[w]) for w in t.split()) for t in texts]
         grades = [t and 1 + sum(h >= g for g in GRADE_FROM) for t, h in zip(toxic, hits, strict=True)]
-    model.weights, model.thresholds = fit_ordinal(counts, grades, len(kept), max(2, max(grades) + 1))
+    model.weights, model.thresholds = fit_ordinal(counts, grades, len(kept), max(2, max(grades) + 1), weights=weights)
     return model
 
 
@@ -154,7 +158,7 @@ def grade_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLAS
     like any other; columns of docs with these names are replaced. Without labels of both kinds nothing is toxic.
     """
     sample = common.labelled(docs, labels, "toxic", per_class).collect()  # 2 * per_class rows at most
-    model = fit([r.text for r in sample], [r.label for r in sample])
+    model = fit([r.text for r in sample], [r.label for r in sample], weights=[r.weight for r in sample])
     added = "toxic integer, p_toxic double, severity double, grade integer"
     names = [x.split()[0] for x in added.split(", ")]
     docs = docs.drop(*names)

@@ -85,10 +85,11 @@ class UrlModel:
         return self.trees.predict(np.array([self.features(*r) for r in rows], float)) if rows else np.zeros(0)
 
 
-def fit(rows: list[tuple[str | None, str, str]], blocked: list[int]) -> UrlModel:
-    """Fits suffix statistics on one half of the labelled rows for the other and the trees on all; then statistics on all."""
+def fit(rows: list[tuple[str | None, str, str]], blocked: list[int], weights: list[float] | None = None) -> UrlModel:
+    """Fits suffix statistics on one half of the labelled rows for the other and the trees on all; then statistics on all.
+    Rows count in the trees and the share by their weights, 1 each by default."""
     y = np.array(blocked, float)
-    share = float(y.mean()) if len(y) else 0.5
+    share = float(np.average(y, weights=weights)) if len(y) else 0.5
 
     def stats(chosen) -> dict[str, tuple[float, int]]:
         found: dict[str, list] = {}
@@ -104,7 +105,7 @@ def fit(rows: list[tuple[str | None, str, str]], blocked: list[int]) -> UrlModel
         half = UrlModel(BoostedTrees(), {s: (2 * b, 2 * n) for s, (b, n) in stats(other).items()}, share)
         for k in own:
             x[k] = half.features(*rows[k])
-    return UrlModel(BoostedTrees().fit(np.array(x, float), y), stats(range(len(rows))), share)
+    return UrlModel(BoostedTrees().fit(np.array(x, float), y, weights), stats(range(len(rows))), share)
 
 
 def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, train_rows: int = TRAIN_ROWS) -> DataFrame:
@@ -116,11 +117,13 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, tra
     """
     judged = ruled(pages.selectExpr("cast(page_id as long) page_id", "url"), rules)
     labelled = judged.where("ruling is not null").select("url", "host", "path", "ruling").distinct()
+    n = {r.ruling: r["count"] for r in labelled.groupBy("ruling").count().collect()}
+    weight = {verdict: max(1.0, k / train_rows) for verdict, k in n.items()}  # URLs for each one taken
     taken: list = []
     for verdict in ("allow", "block"):
         taken += labelled.where(F.col("ruling") == verdict).orderBy(F.xxhash64("url"), "url").limit(train_rows).collect()
     taken.sort(key=lambda r: (hash_order(r.url), r.url))
-    model = fit([(r.url, r.host, r.path) for r in taken], [int(r.ruling == "block") for r in taken])
+    model = fit([(r.url, r.host, r.path) for r in taken], [int(r.ruling == "block") for r in taken], [weight[r.ruling] for r in taken])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

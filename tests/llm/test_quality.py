@@ -37,3 +37,16 @@ def test_rows(spark):
         assert r.held_out == (i != 3 and zlib.crc32(str(i).encode()) % 3 == 1) and 0 <= r.score <= 1 and r.predicted == (r.score >= 0.5)
     assert quality.score_quality(docs.limit(0), labels).count() == 0
     assert {r.score for r in quality.score_quality(docs, labels.limit(0)).collect()} == {0.5}
+
+
+def test_capped_sample_keeps_class_ratio(spark):
+    # one text of either class in eight is like the other's: the odds of a text are by the classes' shares
+    rows = [(i, BAD[i % 300] + f" {i}" if i % 8 == 0 else GOOD[i % 300] + f" {i}", 1) for i in range(1600)]
+    rows += [(i, GOOD[i % 300] + f" {i}" if i % 8 == 0 else BAD[i % 300] + f" {i}", 0) for i in range(1600, 1800)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, quality int")
+    taken = quality.common.labelled(docs, labels, "quality", 100).collect()
+    assert sum(r.weight for r in taken if r.label == 1) == 1600 and sum(r.weight for r in taken if r.label == 0) == 200
+    assert {r.weight for r in quality.common.labelled(docs, labels, "quality", 1600).collect()} == {1.0}
+    mean = [sum(r.score for r in quality.score_quality(docs, labels, n).collect()) / 1800 for n in (140, 2000)]
+    assert abs(mean[1] - 1600 / 1800) < 0.02 and abs(mean[0] - mean[1]) < 0.04

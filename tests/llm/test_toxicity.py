@@ -46,3 +46,13 @@ def test_rows(spark):
     assert toxicity.grade_toxicity(docs.limit(0), labels).count() == 0
     assert all(r.toxic == 0 for r in toxicity.grade_toxicity(docs, labels.limit(0)).collect())
     assert toxicity.stage(spark, docs, "/root/testdata/sf0.001").columns == docs.columns
+
+
+def test_capped_sample_keeps_class_ratio():
+    # "zork" is in all toxic and in one clean text of eight: with 20 clean to a toxic one, most texts with it are clean
+    rng = np.random.default_rng(6)
+    text = lambda: " ".join("".join(rng.choice(list("abcdefghijklmnop"), 6)) for _ in range(6))
+    clean, bad = [text() + " zork" * (k % 8 == 0) for k in range(2000)], [text() + " zork" for _ in range(100)]
+    p = lambda n, w: toxicity.fit(clean[:n] + bad, [0] * n + [1] * 100, [0] * n + [1] * 100, w).above("zork")[0]
+    whole, sample, capped = p(2000, None), p(104, None), p(104, [2000 / 104] * 104 + [1.0] * 100)
+    assert whole < 0.5 and abs(capped - whole) < 0.06 and sample > 0.7

@@ -61,3 +61,12 @@ def test_empty_table(spark):
 
 def test_large_table_has_all_rows(spark):
     assert urlfilter.query(spark, "/root/testdata/sf0.01").count() == 250
+
+
+def test_capped_sample_keeps_class_ratio(spark):
+    # URLs without a rule look like either kind, so their probability is the share of blocked ones, a tenth
+    urls = [f"http://s{i * 7919 % 10007}.x.com/{'de' if i % 10 == 0 else 'fr'}/x" for i in range(2000)]
+    urls += [f"http://s{i * 7919 % 10007}.x.com/yz/x" for i in range(2000, 2200)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    mean = [np.mean([r.block_probability for r in urlfilter.filter_urls(pages, train_rows=n).where("rule is null").collect()]) for n in (150, 10_000)]
+    assert abs(mean[1] - 0.1) < 0.05 and abs(mean[0] - mean[1]) < 0.08
