@@ -34,6 +34,10 @@ REPEAT = 400
 ANCHOR = 128
 CUT_AT_ONCE = 1 << 20  # bytes of text that are cut up together
 SHARD = 1_000_000  # bytes of pieces in a suffix array, or one anchor string's if those are more
+WORDS = 51  # in a row that the pipeline's stage removes where they stand again, however short
+CODE = 8  # bytes of a word's hash
+CACHED_WORDS = 300_000
+CACHED_LENGTH = 64
 MOST_PIECES = 2_000  # different pieces of an anchor string from which it is split
 
 _PLACE = 24  # low bits that hold a place while anchors are chosen; CUT_AT_ONCE and REPEAT stay below 2**24
@@ -76,10 +80,10 @@ def _least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(onward[:n], upto[width - 1 : width - 1 + n])
 
 
-def cut_up(texts: list[bytes]) -> tuple[np.ndarray, ...]:
+def cut_up(texts: list[bytes], repeat: int = REPEAT) -> tuple[np.ndarray, ...]:
     """Text number, start, number of windows, place of the anchor from the start, anchor hash and piece hash of each piece."""
     raw = b"".join(texts)
-    if len(raw) < REPEAT:
+    if len(raw) < repeat:
         return tuple(np.zeros(0, np.int64) for _ in range(6))
     data = np.frombuffer(raw, np.uint8).astype(np.uint64)
     n = len(data)
@@ -87,27 +91,27 @@ def cut_up(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     at = np.arange(n - ANCHOR + 1)
     anchors = first.of(at, at + ANCHOR)
     low = np.uint64((1 << _PLACE) - 1)
-    anchor = (_least((anchors & ~low) | at.astype(np.uint64), REPEAT - ANCHOR + 1) & low).astype(np.int64)
+    anchor = (_least((anchors & ~low) | at.astype(np.uint64), repeat - ANCHOR + 1) & low).astype(np.int64)
     lengths = np.array([len(t) for t in texts], np.int64)
     ends = np.cumsum(lengths)
     text = np.repeat(np.arange(len(texts)), lengths)[: len(anchor)]
-    start = np.flatnonzero(np.arange(len(anchor)) + REPEAT <= ends[text])
+    start = np.flatnonzero(np.arange(len(anchor)) + repeat <= ends[text])
     if not len(start):
         return tuple(np.zeros(0, np.int64) for _ in range(6))
     anchor, text = anchor[start], text[start]
     new = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1])]))
     windows = np.diff(np.append(new, len(start)))
     x, a, t = start[new], anchor[new], text[new]
-    piece = second.of(x, x + windows + REPEAT - 1) ^ _mix((windows << 16 | (a - x)).astype(np.uint64))
+    piece = second.of(x, x + windows + repeat - 1) ^ _mix((windows << 16 | (a - x)).astype(np.uint64))
     return t, x - (ends - lengths)[t], windows, a - x, anchors[a].view(np.int64), piece.view(np.int64)
 
 
-def _stretches(texts: list[bytes]) -> Iterator[tuple[list[int], list[int], list[bytes]]]:
+def _stretches(texts: list[bytes], repeat: int = REPEAT) -> Iterator[tuple[list[int], list[int], list[bytes]]]:
     """Numbers of texts, offsets and stretches of them to cut up together; stretches of a long text overlap by a window."""
     numbers, offsets, some, size = [], [], [], 0
     for k, t in enumerate(texts):
-        for at in range(0, max(1, len(t) - REPEAT + 1), CUT_AT_ONCE):
-            s = t[at : at + CUT_AT_ONCE + REPEAT - 1] if len(t) > CUT_AT_ONCE else t
+        for at in range(0, max(1, len(t) - repeat + 1), CUT_AT_ONCE):
+            s = t[at : at + CUT_AT_ONCE + repeat - 1] if len(t) > CUT_AT_ONCE else t
             if some and size + len(s) > CUT_AT_ONCE:
                 yield numbers, offsets, some
                 numbers, offsets, some, size = [], [], [], 0
@@ -119,20 +123,41 @@ def _stretches(texts: list[bytes]) -> Iterator[tuple[list[int], list[int], list[
         yield numbers, offsets, some
 
 
+class _Codes(dict):
+    """Hashes of words."""
+
+    def __missing__(self, word: bytes) -> bytes:
+        code = hashlib.blake2b(word, digest_size=CODE).digest()
+        if len(word) <= CACHED_LENGTH:
+            if len(self) >= CACHED_WORDS:
+                self.clear()
+            self[word] = code
+        return code
+
+
+_CODES = _Codes()
+
+
+def coded(raw: bytes, words: bool) -> bytes:
+    """The text, or where words are compared a hash of CODE bytes for each word (anything between ASCII white space). WORDS
+    * CODE bytes that stand again hold WORDS words that do, or WORDS - 1 and 64 bits of other hashes."""
+    return b"".join(map(_CODES.__getitem__, raw.split())) if words else raw
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     """doc_id, h (a hash that tells texts of one doc_id apart) and text (null: empty)."""
     text = F.coalesce("text", F.lit(""))
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash(text).alias("h"), text.alias("text"))
 
 
-def pieces(texts: DataFrame) -> DataFrame:
+def pieces(texts: DataFrame, repeat: int = REPEAT, words: bool = False) -> DataFrame:
     """The pieces of keyed texts: doc_id, h, x (start), n (windows), off (the anchor's place), g and c (hashes)."""
     names = ["doc_id", "h", "x", "n", "off", "g", "c"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for numbers, offsets, some in _stretches(batch.column(2).cast(pa.binary()).to_pylist()):
-                t, x, n, off, g, c = cut_up(some)
+            for numbers, offsets, some in _stretches([coded(t, words) for t in batch.column(2).cast(pa.binary()).to_pylist()], repeat):
+                t, x, n, off, g, c = cut_up(some, repeat)
                 where = pa.array(np.array(numbers)[t] if len(t) else t, pa.int64())
                 x = x + np.array(offsets)[t] if len(t) else x
                 columns = [batch.column(0).take(where), batch.column(1).take(where), pa.array(x.astype(np.int32)), pa.array(n.astype(np.int16)), pa.array(off.astype(np.int16)), pa.array(g), pa.array(c)]
@@ -163,17 +188,17 @@ PART = "key long, part long, g long, c long, m long, n int, off int, p int, q in
 _NAMES = [x.split()[0] for x in PART.split(", ")]
 
 
-def with_bytes(wanted: DataFrame, texts: DataFrame) -> DataFrame:
+def with_bytes(wanted: DataFrame, texts: DataFrame, repeat: int = REPEAT, words: bool = False) -> DataFrame:
     """PART columns of wanted pieces (doc_id, h, x, n, off, g, c, m)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for z, found in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                raw, f = unpack(z), found.as_py()
+                raw, f = coded(unpack(z), words), found.as_py()
                 n = [int(r["n"]) for r in f]
                 g, c = [r["g"] for r in f], [r["c"] for r in f]
-                cut = [raw[r["x"] : r["x"] + k + REPEAT - 1] for r, k in zip(f, n, strict=True)]
-                columns = [g, c, g, c, [r["m"] for r in f], n, [r["off"] for r in f], [0] * len(f), [REPEAT - ANCHOR] * len(f), [0] * len(f), cut]
+                cut = [raw[r["x"] : r["x"] + k + repeat - 1] for r, k in zip(f, n, strict=True)]
+                columns = [g, c, g, c, [r["m"] for r in f], n, [r["off"] for r in f], [0] * len(f), [repeat - ANCHOR] * len(f), [0] * len(f), cut]
                 kinds = [pa.int64()] * 5 + [pa.int32()] * 5 + [pa.binary()]
                 yield pa.RecordBatch.from_arrays(list(map(pa.array, columns, kinds)), _NAMES)
 
@@ -191,7 +216,7 @@ def _hash(*parts: bytes) -> int:
     return int.from_bytes(h.digest(), "little", signed=True)
 
 
-def halved(parts: DataFrame) -> DataFrame:
+def halved(parts: DataFrame, repeat: int = REPEAT) -> DataFrame:
     """Each piece's windows in two, by the place of the anchor; key is by the bytes that all windows of a half share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,8 +229,8 @@ def halved(parts: DataFrame) -> DataFrame:
                     a, b = max(p, low), min(q, high)
                     if p > q or a > b:
                         continue
-                    raw = r["bytes"][high - b : high - a + REPEAT]
-                    core = r["bytes"][high - p : high - q + REPEAT]
+                    raw = r["bytes"][high - b : high - a + repeat]
+                    core = r["bytes"][high - p : high - q + repeat]
                     tag = f"{p},{q}".encode()
                     out.append((_hash(r["key"].to_bytes(8, "little", signed=True), tag, core), _hash(tag, str(b).encode(), raw), r["g"], r["c"], r["m"], b - a + 1, b, p, q, r["shift"] + high - b, raw))
             kinds = [pa.int64()] * 5 + [pa.int32()] * 5 + [pa.binary()]
@@ -214,17 +239,17 @@ def halved(parts: DataFrame) -> DataFrame:
     return parts.mapInArrow(run, PART)
 
 
-def repeated_windows(cut: list[bytes], times: list[int]) -> list[list[tuple[int, int]]]:
+def repeated_windows(cut: list[bytes], times: list[int], repeat: int = REPEAT) -> list[list[tuple[int, int]]]:
     """Of each piece of a shard the runs (first, last) of its windows that occur again, in the shard or as times tells."""
     lengths = np.array([len(b) for b in cut], np.int64)
     raw = np.frombuffer(b"\0".join([*cut, b""]), np.uint8).astype(np.int64) + 2
     starts = np.cumsum(lengths + 1) - (lengths + 1)
     raw[starts + lengths] = 1
     text = np.append(raw, 0)
-    windows = lengths - REPEAT + 1
-    before, shared = common_prefixes(text, suffix_array(text), starts, starts + windows, REPEAT)
+    windows = lengths - repeat + 1
+    before, shared = common_prefixes(text, suffix_array(text), starts, starts + windows, repeat)
     hit = np.zeros(len(text) + 1, bool)
-    own = np.flatnonzero(shared >= REPEAT)
+    own = np.flatnonzero(shared >= repeat)
     hit[own] = hit[before[own]] = True
     for s, w in zip(starts[np.array(times) > 1].tolist(), windows[np.array(times) > 1].tolist(), strict=True):
         hit[s : s + w] = True
@@ -236,12 +261,12 @@ def repeated_windows(cut: list[bytes], times: list[int]) -> list[list[tuple[int,
     return out
 
 
-def compared(parts: DataFrame) -> DataFrame:
+def compared(parts: DataFrame, repeat: int = REPEAT) -> DataFrame:
     """key, part, a, b: the runs of windows that are repeated, from parts (key, part, m, bytes); those of one key and part are equal."""
     names = ["key", "part", "a", "b"]
 
     def decide(rows: list[tuple]) -> pa.RecordBatch:
-        found = repeated_windows([r[3] for r in rows], [r[2] for r in rows])
+        found = repeated_windows([r[3] for r in rows], [r[2] for r in rows], repeat)
         out = [(r[0], r[1], a, b) for r, runs in zip(rows, found, strict=True) for a, b in runs]
         kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [()] * 4, kinds, strict=True)], names)
@@ -264,17 +289,17 @@ def compared(parts: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "key long, part long, a int, b int")
 
 
-def split_and_compared(rows: DataFrame, most: int) -> DataFrame | None:
+def split_and_compared(rows: DataFrame, most: int, repeat: int = REPEAT) -> DataFrame | None:
     """g, c, a, b for the pieces of anchor strings that have more than most different ones."""
     found = None
     while True:
-        rows = common.written(halved(rows), "halves")
+        rows = common.written(halved(rows, repeat), "halves")
         if rows.isEmpty():
             return found
         parts = rows.groupBy("key", "part").agg(F.sum("m").alias("m"), F.first("n").alias("n"), F.first("bytes").alias("bytes"))
         groups = common.written(rows.groupBy("key", "part").agg(F.sum("m").alias("m")).groupBy("key").agg(F.count("*").alias("d"), F.sum("m").alias("all")).where("`all` > 1"), "groups")
         some = common.written(parts.join(groups.where(F.col("d").between(2, most)), "key"), "parts")
-        runs = compared(some)
+        runs = compared(some, repeat)
         same = rows.groupBy("key", "part").agg(F.sum("m").alias("m"), F.first("n").alias("n")).where("m > 1").select("key", "part", F.lit(0).alias("a"), (F.col("n") - 1).alias("b"))
         here = rows.select("key", "part", "g", "c", "shift").join(runs.unionByName(same), ["key", "part"]).select("g", "c", (F.col("a") + F.col("shift")).alias("a"), (F.col("b") + F.col("shift")).alias("b"))
         here = common.written(here, "found")
@@ -282,10 +307,11 @@ def split_and_compared(rows: DataFrame, most: int) -> DataFrame | None:
         rows = rows.join(groups.where(F.col("d") > most).select("key"), "key", "left_semi")
 
 
-def removals(docs: DataFrame, most: int = MOST_PIECES) -> DataFrame:
-    """doc_id, h and spans (array of start and end in bytes, that may overlap) of the texts that lose something."""
+def removals(docs: DataFrame, most: int = MOST_PIECES, repeat: int = REPEAT, words: bool = False) -> DataFrame:
+    """doc_id, h and spans (array of start and end in bytes, that may overlap) of the texts that lose something: strings of
+    repeat bytes that stand again, of the text or, with words, of its words' hashes (see coded)."""
     texts = keyed(docs)
-    cut = common.written(pieces(texts), "pieces")
+    cut = common.written(pieces(texts, repeat, words), "pieces")
     again = cut.groupBy("g").agg(F.count("*").alias("n_g")).where("n_g > 1").select("g")
     cut = common.written(cut.join(again, "g", "left_semi"), "shared")
     contents = common.written(cut.groupBy("g", "c").agg(F.count("*").alias("m"), F.min(F.struct("doc_id", "h", "x", "n", "off")).alias("rep")), "contents")
@@ -293,16 +319,16 @@ def removals(docs: DataFrame, most: int = MOST_PIECES) -> DataFrame:
     several = contents.join(groups, "g").select("g", "c", "m", "rep.*", "d")
     hot = groups.where(F.col("d") > most).select("g")
     whole = contents.where("m > 1").select("g", "c", F.lit(0).alias("a"), (F.col("rep.n").cast("int") - 1).alias("b"))
-    parts = common.written(with_bytes(several, texts), "bytes")
+    parts = common.written(with_bytes(several, texts, repeat, words), "bytes")
     split = common.written(parts.join(hot, parts["key"] == hot["g"], "left_semi").dropDuplicates(["g", "c"]), "hot")
     rest = parts
     found = whole
     if not split.isEmpty():
         rest = parts.join(hot, parts["key"] == hot["g"], "left_anti")
-        more = split_and_compared(split, most)
+        more = split_and_compared(split, most, repeat)
         found = found if more is None else found.unionByName(more)
-    found = found.unionByName(compared(rest).select(F.col("key").alias("g"), F.col("part").alias("c"), "a", "b"))
-    spans = cut.join(found, ["g", "c"]).select("doc_id", "h", F.struct((F.col("x") + F.col("a")).alias("start"), (F.col("x") + F.col("b") + REPEAT).alias("end")).alias("span"))
+    found = found.unionByName(compared(rest, repeat).select(F.col("key").alias("g"), F.col("part").alias("c"), "a", "b"))
+    spans = cut.join(found, ["g", "c"]).select("doc_id", "h", F.struct((F.col("x") + F.col("a")).alias("start"), (F.col("x") + F.col("b") + repeat).alias("end")).alias("span"))
     return spans.groupBy("doc_id", "h").agg(F.collect_set("span").alias("spans"))
 
 
@@ -353,6 +379,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(common.table(spark, sf_dir, "documents"))
 
 
+_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _CONTINUES = re.compile(rb"[\x80-\xbf]*").match
 
 
@@ -368,26 +395,39 @@ def whole_characters(raw: bytes, runs: list[tuple[int, int]]) -> list[tuple[int,
     return out
 
 
+def words_to_bytes(raw: bytes, spans: list[dict] | None) -> list[tuple[int, int]]:
+    """Runs of bytes from the first to the last whole word of each merged run of words' hashes."""
+    runs = [(-(-a // CODE), b // CODE) for a, b in merged(spans)]
+    at = [m.span() for m in _WORD.finditer(raw)] if runs else []
+    return [(at[a][0], at[b - 1][1]) for a, b in runs if a < b]
+
+
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents without what is repeated (characters cut by a run's edge stay); n_chars follows the text. A document
-    that loses something and keeps nothing but white space goes."""
+    """The documents without what is repeated: strings of REPEAT bytes (characters cut by a run's edge stay) and WORDS words
+    in a row, whatever their length and the white space between them; n_chars follows the text. A document that loses
+    something and keeps nothing but white space goes."""
     common.tune(spark)
-    lost = removals(docs)
+    kinds = removals(docs).withColumn("w", F.lit(False)).unionByName(removals(docs, repeat=WORDS * CODE, words=True).withColumn("w", F.lit(True)))
+    of = lambda w: F.first(F.when(F.col("w") == w, F.col("spans")), ignorenulls=True)
+    lost = kinds.groupBy("doc_id", "h").agg(of(False).alias("spans"), of(True).alias("word_spans"))
     own = docs.withColumns({"_i": F.col("doc_id").cast("long"), "_h": F.hash(F.coalesce("text", F.lit("")))})
-    rows = own.join(lost, own["_i"].eqNullSafe(lost["doc_id"]) & (own["_h"] == lost["h"]), "left").select(*[own[c] for c in docs.columns], "spans")
+    rows = own.join(lost, own["_i"].eqNullSafe(lost["doc_id"]) & (own["_h"] == lost["h"]), "left").select(*[own[c] for c in docs.columns], "spans", "word_spans")
     names, schema = docs.columns, docs.schema
     at, chars = names.index("text"), names.index("n_chars") if "n_chars" in names else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, stay, counts = [], [], batch.column(chars).to_pylist() if chars is not None else None
-            for k, (t, spans) in enumerate(zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist(), strict=True)):
-                if spans:
+            for k, (t, spans, word_spans) in enumerate(zip(*(batch.column(c).to_pylist() for c in (at, len(names), len(names) + 1)), strict=True)):
+                runs: list[tuple[int, int]] = []
+                if spans or word_spans:
                     raw = t.encode()
-                    t = without(raw, whole_characters(raw, merged(spans))).decode()
+                    runs = whole_characters(raw, merged(spans)) + words_to_bytes(raw, word_spans)
+                if runs:
+                    t = without(raw, merged([{"start": a, "end": b} for a, b in runs])).decode()
                     if counts is not None:
                         counts[k] = len(t)
-                if not spans or t.strip():
+                if not runs or t.strip():
                     stay.append(k)
                 texts.append(t)
             columns = list(batch.columns[: len(names)])

@@ -78,3 +78,22 @@ def test_run(spark, results):
     got = corpus_pipeline.run(spark, D).collect()
     assert Counter((r.doc_id, r.ids_sha256) for r in got) == Counter((r.doc_id, r.ids_sha256) for r in results[5])
     assert neardup.ALIKE == 0.8 and rp.REPEAT == 400
+
+
+def test_repeated_passages_by_bytes_and_by_words(results):
+    raws = [(r.text or "").encode() for r in results[2]]
+    seen = Counter(raw[i : i + 400] for raw in raws for i in range(len(raw) - 399))
+    spans = [[m.span() for m in rp._WORD.finditer(raw)] for raw in raws]
+    words = [raw.split() for raw in raws]
+    again = Counter(tuple(w[k : k + 51]) for w in words for k in range(len(w) - 50))
+    after, short = {r.doc_id: r for r in results[3]}, 0
+    for r, raw, at, w in zip(results[2], raws, spans, words, strict=True):
+        runs = rp.whole_characters(raw, rp.merged([{"start": i, "end": i + 400} for i in range(len(raw) - 399) if seen[raw[i : i + 400]] > 1]))
+        by_words = [{"start": at[k][0], "end": at[k + 50][1]} for k in range(len(w) - 50) if again[tuple(w[k : k + 51])] > 1]
+        short += bool(by_words) and not runs
+        left = rp.without(raw, rp.merged([*by_words, *({"start": a, "end": b} for a, b in runs)])).decode()
+        if left.strip() or left == (r.text or ""):
+            assert (after[r.doc_id].text or "") == left and (after[r.doc_id].n_chars == len(left) or left == r.text)
+        else:
+            assert r.doc_id not in after
+    assert short > 0

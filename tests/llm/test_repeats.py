@@ -83,3 +83,37 @@ def test_stage(spark):
 def test_whole_characters():
     raw = "aéb€c".encode()
     assert rp.whole_characters(raw, [(0, 2), (2, 3), (4, 6), (5, 8)]) == [(0, 1), (7, 8)]
+
+
+def test_stage_removes_short_passages_of_over_50_words(spark):
+    rng = random.Random(7)
+    word = lambda n: "".join(rng.choices("abcdefghij", k=n))
+    line = lambda k, n=3: " ".join(word(n) for _ in range(k))
+    over, under, wide, twice = line(51), line(50), line(60, 2), line(51, 1)
+    texts = {1: f"{line(9)} {over} {line(9)}", 2: f"{line(5)}\n{over.replace(' ', chr(10))} {line(70)}", 3: f"{line(9)} {under} {line(9)}", 4: f"{line(9)} {under} {line(9)}", 5: f"é {wide} ß", 6: f"{line(3)} {wide}", 7: twice, 8: f"{line(2)} {twice} {line(2)}", 9: None}
+    assert max(len(p) for p in (over, under, wide, twice)) < 400
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: r.text for r in rp.stage(spark, docs, "").collect()}
+    words = {i: (t or "").split() for i, t in texts.items()}
+    seen = Counter(tuple(w[k : k + 51]) for w in words.values() for k in range(len(w) - 50))
+    assert 7 not in got and set(got) == set(texts) - {7} and got[3] == texts[3] and got[4] == texts[4]
+    for i, w in words.items():
+        gone = {k + j for k in range(len(w) - 50) if seen[tuple(w[k : k + 51])] > 1 for j in range(51)}
+        assert (got.get(i) or "").split() == [x for k, x in enumerate(w) if k not in gone]
+    assert sum(len(t.split()) for t in got.values() if t) < sum(map(len, words.values())) - 300
+
+
+@pytest.mark.parametrize("most", [2_000, 3])
+def test_words_against_brute_force(spark, most):
+    rng = random.Random(8)
+    line = lambda k: [rng.choice("abcdefgh") for _ in range(k)]
+    base, shared = line(300), [line(k) for k in (50, 51, 52, 120)]
+    texts = [sum((rng.choice([line(rng.randrange(40)), rng.choice(shared)]) for _ in range(rng.randrange(6))), []) for _ in range(40)]
+    texts += [base[: (at := rng.randrange(300))] + line(rng.randrange(3)) + base[at:] for _ in range(20)] + [["z"] * 60, base]
+    seen = Counter(tuple(w[k : k + 51]) for w in texts for k in range(len(w) - 50))
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    lost = {r.doc_id: rp.merged(r.spans) for r in rp.removals(docs, most, rp.WORDS * rp.CODE, True).collect()}
+    for i, w in enumerate(texts):
+        gone = {k + j for k in range(len(w) - 50) if seen[tuple(w[k : k + 51])] > 1 for j in range(51)}
+        got = {k for a, b in lost.get(i, ()) for k in range(-(-a // rp.CODE), b // rp.CODE)}
+        assert got == gone
