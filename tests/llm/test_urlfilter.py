@@ -70,3 +70,15 @@ def test_capped_sample_keeps_class_ratio(spark):
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
     mean = [np.mean([r.block_probability for r in urlfilter.filter_urls(pages, train_rows=n).where("rule is null").collect()]) for n in (150, 10_000)]
     assert abs(mean[1] - 0.1) < 0.05 and abs(mean[0] - mean[1]) < 0.08
+
+
+def test_suffix_statistics_count_all_ruled_urls(spark):
+    urls = [f"http://s{i}.d{i % 40}.com/{'de' if i % 40 < 15 else 'fr'}/{i}" for i in range(1200)] + [f"http://t{i}.d{i % 40}.com/yz/{i}" for i in range(200)]
+    labelled = urlfilter.ruled(spark.createDataFrame([(u,) for u in urls], "url string"), urlfilter.RULES).where("ruling is not null")
+    got = {r.suffix: (r.b0 + r.b1, r.n0 + r.n1) for r in urlfilter.suffix_counts(labelled).collect()}
+    assert got["com"] == (450, 1200) and got["d3.com"] == (30, 30) and got["d30.com"] == (0, 30) and len(got) == 41
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    out = [{r.page_id: (r.verdict, r.block_probability) for r in urlfilter.filter_urls(pages, train_rows=100, most_suffixes=m).collect()} for m in (100_000, 0)]
+    assert out[0] == out[1] and len(out[0]) == 1400
+    # a domain's URLs get its statistics, whether or not the sample has it
+    assert sum((out[0][1200 + i][0] == "block") == (i % 40 < 15) for i in range(200)) > 190
