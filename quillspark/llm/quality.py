@@ -21,6 +21,7 @@ from . import common
 PER_CLASS = 2_000  # labelled documents of each class at most that the model is fitted on
 PIECE = 512  # bytes compressed at a time; a dictionary matters little further into a text
 DICTIONARY = 64 << 10  # bytes
+TRAIN_PIECES = 12_800  # pieces of a class at most that its dictionary is trained on, those with the lowest checksums
 LEVEL = 3
 LEAST_PIECES = 50  # below so many pieces a dictionary isn't trained but made of them
 
@@ -29,9 +30,9 @@ def pieces(raw: bytes) -> list[bytes]:
     return [raw[i : i + PIECE] for i in range(0, len(raw), PIECE)]
 
 
-def dictionary(texts: list[bytes]) -> bytes:
-    """A dictionary's content, trained on pieces of the texts in an order fixed by their checksums."""
-    found = sorted((p for t in texts for p in pieces(t)), key=lambda p: (zlib.crc32(p), p))[: DICTIONARY * 100 // PIECE]
+def dictionary(texts: list[bytes], most: int = TRAIN_PIECES) -> bytes:
+    """A dictionary's content, trained on at most so many pieces of the texts in an order fixed by their checksums."""
+    found = sorted((p for t in texts for p in pieces(t)), key=lambda p: (zlib.crc32(p), p))[:most]
     if len(found) >= LEAST_PIECES:
         try:
             return zstandard.train_dictionary(DICTIONARY, found).as_bytes()

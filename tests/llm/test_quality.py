@@ -50,3 +50,8 @@ def test_capped_sample_keeps_class_ratio(spark):
     assert {r.weight for r in quality.common.labelled(docs, labels, "quality", 1600).collect()} == {1.0}
     mean = [sum(r.score for r in quality.score_quality(docs, labels, n).collect()) / 1800 for n in (140, 2000)]
     assert abs(mean[1] - 1600 / 1800) < 0.02 and abs(mean[0] - mean[1]) < 0.04
+
+
+def test_bound_of_dictionary():
+    texts = [t.encode() for t in GOOD]
+    assert quality.TRAIN_PIECES == 12_800 and quality.dictionary(texts) == quality.dictionary(texts, len(texts)) != quality.dictionary(texts, 20)
