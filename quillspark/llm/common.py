@@ -24,9 +24,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir; on a local master one of our own where that is unset."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines of the cluster share")
         root = "file://" + tempfile.mkdtemp(prefix="quillspark-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -44,6 +46,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+SHARES, SALTS = 1_000, 64
+
+
+def join_hot(rows: DataFrame, keys: DataFrame, on: list[str], n_rows: int, how: str = "inner") -> DataFrame:
+    """rows joined with keys, a row per key with times, the number of rows that have it, where one key may have any part of
+    the rows. Keys that have more than 1 / SHARES of all n_rows, so fewer than SHARES of them, are broadcast to deal their
+    rows over SALTS tasks; a joined row doesn't carry times."""
+    least = max(1, n_rows // SHARES)
+    hot = F.broadcast(keys.where(F.col("times") > least).select(*on, F.lit(True).alias("is_hot")))
+    salt = F.when(F.col("is_hot"), F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS))).otherwise(F.lit(0).cast("long"))
+    dealt = rows.join(hot, on, "left").withColumn("salt", salt).drop("is_hot")
+    copies = F.when(F.col("times") > least, F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
+    return dealt.join(keys.withColumn("salt", F.explode(copies)).drop("times"), [*on, "salt"], how).drop("salt")
+
+
 def labelled(docs: DataFrame, labels: DataFrame, label: str, per_class: int, allowed: Column | None = None) -> DataFrame:
     """doc_id, text, label and weight of a bounded sample: for each value of the label, 0 and 1, the per_class ids that hash
     lowest. The weight is the number of ids with the label for each one taken, so that weighted classes are to each other

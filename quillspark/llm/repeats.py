@@ -1,18 +1,25 @@
-"""Suffix-array dedup: removes every byte that lies in a string of REPEAT bytes which also starts anywhere else.
+"""Suffix-array dedup: removes every byte that lies in a string of 400 bytes which also starts anywhere else; and finds
+51 words in a row that stand again, whatever their length in bytes.
 
-Cutting up. Every string of REPEAT bytes (a window) is given to one anchor: of the ANCHOR-byte strings in it, the leftmost
-one whose hash is smallest. Equal windows have equal anchors at equal places. Successive windows of one anchor make a piece:
-the bytes from the first window's start to the last one's end. So a window can only be repeated by one in a piece with the
-same anchor string, wherever that is; within one piece no window is repeated.
+Both are the same work on symbols: the bytes of a text, or hashes of its words (a Unit). Below, windows are as many symbols
+in a row as the unit compares.
+
+Cutting up. Every window is given to one anchor: of the strings of unit.anchor symbols in it, the leftmost one whose hash is
+smallest. Equal windows have equal anchors at equal places. Successive windows of one anchor make a piece: the symbols from
+the first window's start to the last one's end. So a window can only be repeated by one in a piece with the same anchor
+string, wherever that is; within one piece no window is repeated.
 
 Deciding. Anchor strings that occur once are done. Of equal pieces one is looked at, with their number: where there are two
 or more all of its windows are repeated. Where an anchor string has several different pieces, all pieces of some anchor
-strings make a shard: its suffix array is induced, and the permuted common prefixes tell which windows share REPEAT bytes
-with a neighbour in the array. An anchor string with very many different pieces is split first, by the place of the anchor
-in the window, in halves; all windows of a half share more bytes than the anchor, by whose hash they are dealt out again.
+strings make a shard: its suffix array is induced, and the permuted common prefixes tell which windows share all their
+symbols with a neighbour in the array. Of a piece only those windows enter a shard whose core, what windows with nearby
+places of the anchor have in common, another piece has too. An anchor string with very many different pieces is split first,
+by the place of the anchor in the window, in halves; all windows of a half share more symbols than the anchor, by whose hash
+they are dealt out again.
 
 Hashes only bring windows together: pieces count as equal if both a 64-bit hash of the anchor string and another of the
-whole piece agree; what isn't equal is compared byte by byte through the suffix array.
+whole piece agree; what isn't equal is compared symbol by symbol through the suffix array. Words are equal if their 64-bit
+hashes are.
 """
 
 from __future__ import annotations
@@ -20,6 +27,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -30,19 +38,34 @@ from pyspark.sql import functions as F
 from . import common
 from .suffixarray import common_prefixes, suffix_array
 
-REPEAT = 400
-ANCHOR = 128
-CUT_AT_ONCE = 1 << 20  # bytes of text that are cut up together
-SHARD = 1_000_000  # bytes of pieces in a suffix array, or one anchor string's if those are more
-WORDS = 51  # in a row that the pipeline's stage removes where they stand again, however short
-CODE = 8  # bytes of a word's hash
-CACHED_WORDS = 300_000
-CACHED_LENGTH = 64
+
+@dataclass(frozen=True)
+class Unit:
+    """What is compared: strings of repeat symbols, dealt out by anchors of anchor symbols of width bytes."""
+
+    repeat: int
+    anchor: int
+    words: bool
+
+    @property
+    def width(self) -> int:
+        return 8 if self.words else 1
+
+
+REPEAT = 400  # bytes that op1 compares
+WORDS = 51  # words in a row that the pipeline's stage removes, too, however short
+UNITS = (Unit(REPEAT, 128, False), Unit(WORDS, 16, True))  # the lowest bit of an anchor's hash is the unit's place in here
+CUT_AT_ONCE = 1 << 20  # symbols that are cut up together
+CODED_AT_ONCE = 1 << 22  # bytes of text whose words are hashed together, or one text
+SHARD = 1_000_000  # symbols of pieces in a suffix array, or one anchor string's if those are more
 MOST_PIECES = 2_000  # different pieces of an anchor string from which it is split
+CORES = 8  # stretches of places of the anchor that have a core each
 
 _PLACE = 24  # low bits that hold a place while anchors are chosen; CUT_AT_ONCE and REPEAT stay below 2**24
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 _POWERS: dict[int, np.ndarray] = {}
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -80,18 +103,43 @@ def _least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(onward[:n], upto[width - 1 : width - 1 + n])
 
 
-def cut_up(texts: list[bytes], repeat: int = REPEAT) -> tuple[np.ndarray, ...]:
+def word_codes(texts: list[bytes]) -> list[np.ndarray]:
+    """For each text a 64-bit hash of every word (anything between ASCII white space)."""
+    out: list[np.ndarray] = []
+    at = 0
+    while at < len(texts):
+        end, size = at, 0
+        while end < len(texts) and (end == at or size + len(texts[end]) <= CODED_AT_ONCE):
+            size += len(texts[end]) + 1
+            end += 1
+        data = np.frombuffer(b" ".join([*texts[at:end], b""]), np.uint8)
+        gaps = np.flatnonzero(_SPACE[data])
+        starts = np.concatenate([[0], gaps[:-1] + 1])
+        real = gaps > starts
+        starts, ends = starts[real], gaps[real]
+        codes = _mix(_Hashes(data.astype(np.uint64), _BASES[1]).of(starts, ends) + (ends - starts).astype(np.uint64))
+        cuts = np.searchsorted(starts, np.cumsum([len(t) + 1 for t in texts[at:end]])[:-1])
+        out += np.split(codes, cuts)
+        at = end
+    return out
+
+
+def symbols(texts: list[bytes], unit: Unit) -> list[np.ndarray]:
+    return word_codes(texts) if unit.words else [np.frombuffer(t, np.uint8) for t in texts]
+
+
+def cut_up(texts: list[np.ndarray], unit: Unit = UNITS[0]) -> tuple[np.ndarray, ...]:
     """Text number, start, number of windows, place of the anchor from the start, anchor hash and piece hash of each piece."""
-    raw = b"".join(texts)
-    if len(raw) < repeat:
+    repeat, size = unit.repeat, unit.anchor
+    data = np.concatenate([np.zeros(0, np.uint64), *texts]).astype(np.uint64)
+    if len(data) < repeat:
         return tuple(np.zeros(0, np.int64) for _ in range(6))
-    data = np.frombuffer(raw, np.uint8).astype(np.uint64)
     n = len(data)
     first, second = _Hashes(data, _BASES[0]), _Hashes(data, _BASES[1])
-    at = np.arange(n - ANCHOR + 1)
-    anchors = first.of(at, at + ANCHOR)
+    at = np.arange(n - size + 1)
+    anchors = first.of(at, at + size)
     low = np.uint64((1 << _PLACE) - 1)
-    anchor = (_least((anchors & ~low) | at.astype(np.uint64), repeat - ANCHOR + 1) & low).astype(np.int64)
+    anchor = (_least((anchors & ~low) | at.astype(np.uint64), repeat - size + 1) & low).astype(np.int64)
     lengths = np.array([len(t) for t in texts], np.int64)
     ends = np.cumsum(lengths)
     text = np.repeat(np.arange(len(texts)), lengths)[: len(anchor)]
@@ -103,10 +151,11 @@ def cut_up(texts: list[bytes], repeat: int = REPEAT) -> tuple[np.ndarray, ...]:
     windows = np.diff(np.append(new, len(start)))
     x, a, t = start[new], anchor[new], text[new]
     piece = second.of(x, x + windows + repeat - 1) ^ _mix((windows << 16 | (a - x)).astype(np.uint64))
-    return t, x - (ends - lengths)[t], windows, a - x, anchors[a].view(np.int64), piece.view(np.int64)
+    tag = (anchors[a] & ~np.uint64(1)) | np.uint64(unit.words)
+    return t, x - (ends - lengths)[t], windows, a - x, tag.view(np.int64), piece.view(np.int64)
 
 
-def _stretches(texts: list[bytes], repeat: int = REPEAT) -> Iterator[tuple[list[int], list[int], list[bytes]]]:
+def _stretches(texts: list[np.ndarray], repeat: int = REPEAT) -> Iterator[tuple[list[int], list[int], list[np.ndarray]]]:
     """Numbers of texts, offsets and stretches of them to cut up together; stretches of a long text overlap by a window."""
     numbers, offsets, some, size = [], [], [], 0
     for k, t in enumerate(texts):
@@ -123,45 +172,26 @@ def _stretches(texts: list[bytes], repeat: int = REPEAT) -> Iterator[tuple[list[
         yield numbers, offsets, some
 
 
-class _Codes(dict):
-    """Hashes of words."""
-
-    def __missing__(self, word: bytes) -> bytes:
-        code = hashlib.blake2b(word, digest_size=CODE).digest()
-        if len(word) <= CACHED_LENGTH:
-            if len(self) >= CACHED_WORDS:
-                self.clear()
-            self[word] = code
-        return code
-
-
-_CODES = _Codes()
-
-
-def coded(raw: bytes, words: bool) -> bytes:
-    """The text, or where words are compared a hash of CODE bytes for each word (anything between ASCII white space). WORDS
-    * CODE bytes that stand again hold WORDS words that do, or WORDS - 1 and 64 bits of other hashes."""
-    return b"".join(map(_CODES.__getitem__, raw.split())) if words else raw
-
-
 def keyed(docs: DataFrame) -> DataFrame:
     """doc_id, h (a hash that tells texts of one doc_id apart) and text (null: empty)."""
     text = F.coalesce("text", F.lit(""))
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash(text).alias("h"), text.alias("text"))
 
 
-def pieces(texts: DataFrame, repeat: int = REPEAT, words: bool = False) -> DataFrame:
+def pieces(texts: DataFrame, units: tuple[Unit, ...] = UNITS) -> DataFrame:
     """The pieces of keyed texts: doc_id, h, x (start), n (windows), off (the anchor's place), g and c (hashes)."""
     names = ["doc_id", "h", "x", "n", "off", "g", "c"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for numbers, offsets, some in _stretches([coded(t, words) for t in batch.column(2).cast(pa.binary()).to_pylist()], repeat):
-                t, x, n, off, g, c = cut_up(some, repeat)
-                where = pa.array(np.array(numbers)[t] if len(t) else t, pa.int64())
-                x = x + np.array(offsets)[t] if len(t) else x
-                columns = [batch.column(0).take(where), batch.column(1).take(where), pa.array(x.astype(np.int32)), pa.array(n.astype(np.int16)), pa.array(off.astype(np.int16)), pa.array(g), pa.array(c)]
-                yield pa.RecordBatch.from_arrays(columns, names)
+            raws = batch.column(2).cast(pa.binary()).to_pylist()
+            for unit in units:
+                for numbers, offsets, some in _stretches(symbols(raws, unit), unit.repeat):
+                    t, x, n, off, g, c = cut_up(some, unit)
+                    where = pa.array(np.array(numbers)[t] if len(t) else t, pa.int64())
+                    x = x + np.array(offsets)[t] if len(t) else x
+                    columns = [batch.column(0).take(where), batch.column(1).take(where), pa.array(x.astype(np.int32)), pa.array(n.astype(np.int16)), pa.array(off.astype(np.int16)), pa.array(g), pa.array(c)]
+                    yield pa.RecordBatch.from_arrays(columns, names)
 
     return texts.mapInArrow(run, "doc_id long, h int, x int, n short, off short, g long, c long")
 
@@ -188,17 +218,22 @@ PART = "key long, part long, g long, c long, m long, n int, off int, p int, q in
 _NAMES = [x.split()[0] for x in PART.split(", ")]
 
 
-def with_bytes(wanted: DataFrame, texts: DataFrame, repeat: int = REPEAT, words: bool = False) -> DataFrame:
+def with_bytes(wanted: DataFrame, texts: DataFrame) -> DataFrame:
     """PART columns of wanted pieces (doc_id, h, x, n, off, g, c, m)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for z, found in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                raw, f = coded(unpack(z), words), found.as_py()
-                n = [int(r["n"]) for r in f]
+            raws, found = [unpack(z) for z in batch.column(0).to_pylist()], batch.column(1).to_pylist()
+            coded = [k for k, f in enumerate(found) if any(r["g"] & 1 for r in f)]
+            codes = dict(zip(coded, word_codes([raws[k] for k in coded]), strict=True))
+            for k, (raw, f) in enumerate(zip(raws, found, strict=True)):
+                cut = []
+                for r in f:
+                    source, length = (codes[k], r["n"] + WORDS - 1) if r["g"] & 1 else (raw, r["n"] + REPEAT - 1)
+                    cut.append(bytes(source[r["x"] : r["x"] + length]))
                 g, c = [r["g"] for r in f], [r["c"] for r in f]
-                cut = [raw[r["x"] : r["x"] + k + repeat - 1] for r, k in zip(f, n, strict=True)]
-                columns = [g, c, g, c, [r["m"] for r in f], n, [r["off"] for r in f], [0] * len(f), [repeat - ANCHOR] * len(f), [0] * len(f), cut]
+                most = [UNITS[r["g"] & 1].repeat - UNITS[r["g"] & 1].anchor for r in f]
+                columns = [g, c, g, c, [r["m"] for r in f], [int(r["n"]) for r in f], [r["off"] for r in f], [0] * len(f), most, [0] * len(f), cut]
                 kinds = [pa.int64()] * 5 + [pa.int32()] * 5 + [pa.binary()]
                 yield pa.RecordBatch.from_arrays(list(map(pa.array, columns, kinds)), _NAMES)
 
@@ -216,43 +251,48 @@ def _hash(*parts: bytes) -> int:
     return int.from_bytes(h.digest(), "little", signed=True)
 
 
-def halved(parts: DataFrame, repeat: int = REPEAT) -> DataFrame:
-    """Each piece's windows in two, by the place of the anchor; key is by the bytes that all windows of a half share."""
+def core(raw: bytes, off: int, p: int, q: int, unit: Unit) -> bytes:
+    """What the windows with the anchor at places p to q have in common, of a piece whose first one has it at off."""
+    return raw[(off - p) * unit.width : (off - q + unit.repeat) * unit.width]
+
+
+def halved(parts: DataFrame) -> DataFrame:
+    """Each piece's windows in two, by the place of the anchor; key is by the symbols that all windows of a half share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for r in batch.to_pylist():
+                unit = UNITS[r["g"] & 1]
                 high, low = r["off"], r["off"] - (r["n"] - 1)
                 middle = (r["p"] + r["q"]) // 2
                 for p, q in ((r["p"], middle), (middle + 1, r["q"])):
                     a, b = max(p, low), min(q, high)
                     if p > q or a > b:
                         continue
-                    raw = r["bytes"][high - b : high - a + repeat]
-                    core = r["bytes"][high - p : high - q + repeat]
+                    raw = r["bytes"][(high - b) * unit.width : (high - a + unit.repeat) * unit.width]
                     tag = f"{p},{q}".encode()
-                    out.append((_hash(r["key"].to_bytes(8, "little", signed=True), tag, core), _hash(tag, str(b).encode(), raw), r["g"], r["c"], r["m"], b - a + 1, b, p, q, r["shift"] + high - b, raw))
+                    key = _hash(r["key"].to_bytes(8, "little", signed=True), tag, core(r["bytes"], high, p, q, unit)) & ~1 | unit.words
+                    out.append((key, _hash(tag, str(b).encode(), raw), r["g"], r["c"], r["m"], b - a + 1, b, p, q, r["shift"] + high - b, raw))
             kinds = [pa.int64()] * 5 + [pa.int32()] * 5 + [pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [()] * 11, kinds, strict=True)], _NAMES)
 
     return parts.mapInArrow(run, PART)
 
 
-def repeated_windows(cut: list[bytes], times: list[int], repeat: int = REPEAT) -> list[list[tuple[int, int]]]:
-    """Of each piece of a shard the runs (first, last) of its windows that occur again, in the shard or as times tells."""
-    lengths = np.array([len(b) for b in cut], np.int64)
-    raw = np.frombuffer(b"\0".join([*cut, b""]), np.uint8).astype(np.int64) + 2
+def repeated_windows(cut: list[bytes], unit: Unit = UNITS[0]) -> list[list[tuple[int, int]]]:
+    """Of each piece of a shard the runs (first, last) of its windows that occur again in the shard."""
+    lengths = np.array([len(b) // unit.width for b in cut], np.int64)
     starts = np.cumsum(lengths + 1) - (lengths + 1)
+    raw = np.frombuffer((b"\0" * unit.width).join([*cut, b""]), "<u8" if unit.words else np.uint8)
+    raw = (np.unique(raw, return_inverse=True)[1] if unit.words else raw).astype(np.int64) + 2
     raw[starts + lengths] = 1
     text = np.append(raw, 0)
-    windows = lengths - repeat + 1
-    before, shared = common_prefixes(text, suffix_array(text), starts, starts + windows, repeat)
+    windows = lengths - unit.repeat + 1
+    before, shared = common_prefixes(text, suffix_array(text), starts, starts + windows, unit.repeat)
     hit = np.zeros(len(text) + 1, bool)
-    own = np.flatnonzero(shared >= repeat)
+    own = np.flatnonzero(shared >= unit.repeat)
     hit[own] = hit[before[own]] = True
-    for s, w in zip(starts[np.array(times) > 1].tolist(), windows[np.array(times) > 1].tolist(), strict=True):
-        hit[s : s + w] = True
     edge = np.flatnonzero(np.diff(np.concatenate([[False], hit]).astype(np.int8)))
     out: list[list[tuple[int, int]]] = [[] for _ in cut]
     first, last = edge[::2], edge[1::2] - 1
@@ -261,45 +301,81 @@ def repeated_windows(cut: list[bytes], times: list[int], repeat: int = REPEAT) -
     return out
 
 
-def compared(parts: DataFrame, repeat: int = REPEAT) -> DataFrame:
-    """key, part, a, b: the runs of windows that are repeated, from parts (key, part, m, bytes); those of one key and part are equal."""
+def shared_cores(group: list[dict], unit: Unit) -> Iterator[tuple[dict, int, bytes]]:
+    """Of different pieces of one key those that have a core in common with another: the piece, the first window that may
+    be repeated, and the symbols from there to the end of the last one."""
+    seen: dict[tuple[int, bytes], int] = {}
+    own = []
+    for r in group:
+        high, low, p0, q0 = r["off"], r["off"] - (r["n"] - 1), r["p"], r["q"]
+        step, mine = -(-(q0 - p0 + 1) // CORES), []
+        for p in range(p0, q0 + 1, step):
+            q = min(p + step - 1, q0)
+            a, b = max(p, low), min(q, high)
+            if a <= b:
+                k = (p, hashlib.blake2b(core(r["bytes"], high, p, q, unit), digest_size=16).digest())
+                seen[k] = seen.get(k, 0) + 1
+                mine.append((k, a, b))
+        own.append(mine)
+    for r, mine in zip(group, own, strict=True):
+        found = [(a, b) for k, a, b in mine if seen[k] > 1]
+        if found:
+            low, high = min(a for a, _ in found), max(b for _, b in found)
+            first = r["off"] - high
+            yield r, first, r["bytes"][first * unit.width : (r["off"] - low + unit.repeat) * unit.width]
+
+
+def compared(parts: DataFrame) -> DataFrame:
+    """key, part, a, b: the runs of windows that stand in different parts (PART columns) of a key; those of one key and part
+    are equal, and one of them is compared."""
     names = ["key", "part", "a", "b"]
 
-    def decide(rows: list[tuple]) -> pa.RecordBatch:
-        found = repeated_windows([r[3] for r in rows], [r[2] for r in rows], repeat)
-        out = [(r[0], r[1], a, b) for r, runs in zip(rows, found, strict=True) for a, b in runs]
+    def decide(unit: Unit, rows: list[tuple[dict, int, bytes]]) -> pa.RecordBatch:
+        found = repeated_windows([raw for _, _, raw in rows], unit)
+        out = [(r["key"], r["part"], first + a, first + b) for (r, first, _), runs in zip(rows, found, strict=True) for a, b in runs]
         kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [()] * 4, kinds, strict=True)], names)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, size = [], 0
+    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
+        group: list[dict] = []
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if rows and row[:2] == rows[-1][:2]:
-                    continue  # from a row that is repeated in full
-                if rows and size >= SHARD and row[0] != rows[-1][0]:
-                    yield decide(rows)
-                    rows, size = [], 0
-                rows.append(row)
-                size += len(row[3])
+            for r in batch.to_pylist():
+                if group and r["key"] != group[-1]["key"]:
+                    yield group
+                    group = []
+                if not group or r["part"] != group[-1]["part"]:  # else from a row that is repeated in full
+                    group.append(r)
+        if group:
+            yield group
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, size, kind = [], 0, None
+        for group in groups(batches):
+            unit = UNITS[group[0]["key"] & 1]
+            if rows and (size >= SHARD or unit != kind):
+                yield decide(kind, rows)
+                rows, size = [], 0
+            some = list(shared_cores(group, unit))
+            rows, size, kind = rows + some, size + sum(len(raw) for _, _, raw in some) // unit.width, unit
         if rows:
-            yield decide(rows)
+            yield decide(kind, rows)
 
-    dealt = parts.select("key", "part", "m", "bytes").repartition("key").sortWithinPartitions("key", "part")
+    dealt = parts.select("key", "part", "n", "off", "p", "q", "bytes").repartition("key").sortWithinPartitions(F.col("key").bitwiseAND(1), "key", "part")
     return dealt.mapInArrow(run, "key long, part long, a int, b int")
 
 
-def split_and_compared(rows: DataFrame, most: int, repeat: int = REPEAT) -> DataFrame | None:
+def split_and_compared(rows: DataFrame, most: int) -> DataFrame | None:
     """g, c, a, b for the pieces of anchor strings that have more than most different ones."""
     found = None
     while True:
-        rows = common.written(halved(rows, repeat), "halves")
+        rows = common.written(halved(rows), "halves")
         if rows.isEmpty():
             return found
-        parts = rows.groupBy("key", "part").agg(F.sum("m").alias("m"), F.first("n").alias("n"), F.first("bytes").alias("bytes"))
+        kept = [F.first(k).alias(k) for k in ("n", "off", "p", "q", "bytes")]
+        parts = rows.groupBy("key", "part").agg(*kept)
         groups = common.written(rows.groupBy("key", "part").agg(F.sum("m").alias("m")).groupBy("key").agg(F.count("*").alias("d"), F.sum("m").alias("all")).where("`all` > 1"), "groups")
         some = common.written(parts.join(groups.where(F.col("d").between(2, most)), "key"), "parts")
-        runs = compared(some, repeat)
+        runs = compared(some)
         same = rows.groupBy("key", "part").agg(F.sum("m").alias("m"), F.first("n").alias("n")).where("m > 1").select("key", "part", F.lit(0).alias("a"), (F.col("n") - 1).alias("b"))
         here = rows.select("key", "part", "g", "c", "shift").join(runs.unionByName(same), ["key", "part"]).select("g", "c", (F.col("a") + F.col("shift")).alias("a"), (F.col("b") + F.col("shift")).alias("b"))
         here = common.written(here, "found")
@@ -307,35 +383,41 @@ def split_and_compared(rows: DataFrame, most: int, repeat: int = REPEAT) -> Data
         rows = rows.join(groups.where(F.col("d") > most).select("key"), "key", "left_semi")
 
 
-def removals(docs: DataFrame, most: int = MOST_PIECES, repeat: int = REPEAT, words: bool = False) -> DataFrame:
-    """doc_id, h and spans (array of start and end in bytes, that may overlap) of the texts that lose something: strings of
-    repeat bytes that stand again, of the text or, with words, of its words' hashes (see coded)."""
+def removals(docs: DataFrame, most: int = MOST_PIECES, units: tuple[Unit, ...] = UNITS) -> DataFrame:
+    """doc_id, h and spans (array of words, start and end, that may overlap) of the texts in which windows stand again:
+    places of bytes, or of words where words is true."""
     texts = keyed(docs)
-    cut = common.written(pieces(texts, repeat, words), "pieces")
-    again = cut.groupBy("g").agg(F.count("*").alias("n_g")).where("n_g > 1").select("g")
-    cut = common.written(cut.join(again, "g", "left_semi"), "shared")
+    cut = common.written(pieces(texts, units), "pieces")
+    total = cut.count()
+    again = cut.groupBy("g").agg(F.count("*").alias("times")).where("times > 1")
+    cut = common.written(common.join_hot(cut, again, ["g"], total, "left_semi"), "shared")
     contents = common.written(cut.groupBy("g", "c").agg(F.count("*").alias("m"), F.min(F.struct("doc_id", "h", "x", "n", "off")).alias("rep")), "contents")
     groups = contents.groupBy("g").agg(F.count("*").alias("d")).where("d > 1")
     several = contents.join(groups, "g").select("g", "c", "m", "rep.*", "d")
     hot = groups.where(F.col("d") > most).select("g")
     whole = contents.where("m > 1").select("g", "c", F.lit(0).alias("a"), (F.col("rep.n").cast("int") - 1).alias("b"))
-    parts = common.written(with_bytes(several, texts, repeat, words), "bytes")
+    parts = common.written(with_bytes(several, texts), "bytes")
     split = common.written(parts.join(hot, parts["key"] == hot["g"], "left_semi").dropDuplicates(["g", "c"]), "hot")
     rest = parts
     found = whole
     if not split.isEmpty():
         rest = parts.join(hot, parts["key"] == hot["g"], "left_anti")
-        more = split_and_compared(split, most, repeat)
+        more = split_and_compared(split, most)
         found = found if more is None else found.unionByName(more)
-    found = found.unionByName(compared(rest, repeat).select(F.col("key").alias("g"), F.col("part").alias("c"), "a", "b"))
-    spans = cut.join(found, ["g", "c"]).select("doc_id", "h", F.struct((F.col("x") + F.col("a")).alias("start"), (F.col("x") + F.col("b") + repeat).alias("end")).alias("span"))
+    found = found.unionByName(compared(rest).select(F.col("key").alias("g"), F.col("part").alias("c"), "a", "b"))
+    runs = common.written(found.groupBy("g", "c").agg(F.collect_set(F.struct("a", "b")).alias("runs")), "runs")
+    runs = runs.join(contents.select("g", "c", F.col("m").alias("times")), ["g", "c"])
+    spans = common.join_hot(cut, runs, ["g", "c"], total).select("doc_id", "h", "g", "x", F.explode("runs").alias("r"))
+    words = F.col("g").bitwiseAND(1) == 1
+    end = F.col("x") + F.col("r.b") + F.when(words, WORDS).otherwise(REPEAT)
+    spans = spans.select("doc_id", "h", F.struct(words.alias("words"), (F.col("x") + F.col("r.a")).alias("start"), end.alias("end")).alias("span"))
     return spans.groupBy("doc_id", "h").agg(F.collect_set("span").alias("spans"))
 
 
-def merged(spans: list[dict] | None) -> list[tuple[int, int]]:
-    """Maximal runs of bytes that spans cover."""
+def merged(spans: list[dict] | None, words: bool = False) -> list[tuple[int, int]]:
+    """Maximal runs of bytes, or of words, that spans cover."""
     out: list[list[int]] = []
-    for a, b in sorted((s["start"], s["end"]) for s in spans or ()):
+    for a, b in sorted((s["start"], s["end"]) for s in spans or () if s.get("words", False) == words):
         if out and a <= out[-1][1]:
             out[-1][1] = max(out[-1][1], b)
         else:
@@ -349,7 +431,8 @@ def without(raw: bytes, runs: list[tuple[int, int]]) -> bytes:
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row.
+    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row, and n_repeated_words: how many of its words lie in
+    WORDS words in a row that stand again, in any text or length (none of them is removed for that).
 
     Null text counts as empty. Rows repeated in full are documents of their own, so all of theirs is repeated from REPEAT
     bytes on; a null doc_id stays null; other columns are not read; an empty table gives no row. A text below REPEAT bytes
@@ -359,19 +442,21 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     lost = removals(docs)
     z = packed(texts)
     rows = z.join(lost, z["doc_id"].eqNullSafe(lost["doc_id"]) & (z["h"] == lost["h"]), "left").select(z["doc_id"], "z", "spans")
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_repeated_words"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[], [], [], []]
+            out: list[list] = [[], [], [], [], []]
             for z, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 raw, runs = unpack(z), merged(spans)
                 kept = without(raw, runs)
-                for column, v in zip(out, (len(raw), len(raw) - len(kept), len(runs), hashlib.sha256(kept).hexdigest()), strict=True):
+                row = (len(raw), len(raw) - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), sum(b - a for a, b in merged(spans, words=True)))
+                for column, v in zip(out, row, strict=True):
                     column.append(v)
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, out, kinds)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, out, kinds)], names)
 
-    return rows.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return rows.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_repeated_words long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -395,34 +480,37 @@ def whole_characters(raw: bytes, runs: list[tuple[int, int]]) -> list[tuple[int,
     return out
 
 
-def words_to_bytes(raw: bytes, spans: list[dict] | None) -> list[tuple[int, int]]:
-    """Runs of bytes from the first to the last whole word of each merged run of words' hashes."""
-    runs = [(-(-a // CODE), b // CODE) for a, b in merged(spans)]
+def words_to_bytes(raw: bytes, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Runs of bytes from the first to the last word of each run of words."""
     at = [m.span() for m in _WORD.finditer(raw)] if runs else []
-    return [(at[a][0], at[b - 1][1]) for a, b in runs if a < b]
+    return [(at[a][0], at[b - 1][1]) for a, b in runs]
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents without what is repeated: strings of REPEAT bytes (characters cut by a run's edge stay) and WORDS words
     in a row, whatever their length and the white space between them; n_chars follows the text. A document that loses
-    something and keeps nothing but white space goes."""
+    something and keeps nothing but white space goes.
+
+    A null text stays null and loses nothing; a null doc_id is kept; rows repeated in full repeat each other, so all of
+    theirs from REPEAT bytes or WORDS words on goes; other columns may have any names and stay as they are; an empty table
+    stays empty. Very long texts are cut up in stretches that overlap by a window.
+    """
     common.tune(spark)
-    kinds = removals(docs).withColumn("w", F.lit(False)).unionByName(removals(docs, repeat=WORDS * CODE, words=True).withColumn("w", F.lit(True)))
-    of = lambda w: F.first(F.when(F.col("w") == w, F.col("spans")), ignorenulls=True)
-    lost = kinds.groupBy("doc_id", "h").agg(of(False).alias("spans"), of(True).alias("word_spans"))
-    own = docs.withColumns({"_i": F.col("doc_id").cast("long"), "_h": F.hash(F.coalesce("text", F.lit("")))})
-    rows = own.join(lost, own["_i"].eqNullSafe(lost["doc_id"]) & (own["_h"] == lost["h"]), "left").select(*[own[c] for c in docs.columns], "spans", "word_spans")
     names, schema = docs.columns, docs.schema
+    own = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), F.hash(F.coalesce("text", F.lit(""))).alias("hash"))
+    lost = removals(docs)
+    rows = own.join(lost, own["id"].eqNullSafe(lost["doc_id"]) & (own["hash"] == lost["h"]), "left").select("row", "spans")
     at, chars = names.index("text"), names.index("n_chars") if "n_chars" in names else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, stay, counts = [], [], batch.column(chars).to_pylist() if chars is not None else None
-            for k, (t, spans, word_spans) in enumerate(zip(*(batch.column(c).to_pylist() for c in (at, len(names), len(names) + 1)), strict=True)):
+            columns = batch.column(0).flatten()
+            texts, stay, counts = [], [], columns[chars].to_pylist() if chars is not None else None
+            for k, (t, spans) in enumerate(zip(columns[at].to_pylist(), batch.column(1).to_pylist(), strict=True)):
                 runs: list[tuple[int, int]] = []
-                if spans or word_spans:
+                if spans:
                     raw = t.encode()
-                    runs = whole_characters(raw, merged(spans)) + words_to_bytes(raw, word_spans)
+                    runs = whole_characters(raw, merged(spans)) + words_to_bytes(raw, merged(spans, words=True))
                 if runs:
                     t = without(raw, merged([{"start": a, "end": b} for a, b in runs])).decode()
                     if counts is not None:
@@ -430,7 +518,6 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
                 if not runs or t.strip():
                     stay.append(k)
                 texts.append(t)
-            columns = list(batch.columns[: len(names)])
             columns[at] = pa.array(texts, columns[at].type)
             if counts is not None:
                 columns[chars] = pa.array(counts, pa.int64()).cast(columns[chars].type)
