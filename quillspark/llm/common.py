@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections import Counter
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows of an Arrow batch that goes to Python; bounds a worker's memory when documents are long.
@@ -47,13 +48,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 SHARES, SALTS = 1_000, 64
+FEW_ROWS = 2_000  # of a key, that one task may always have
 
 
 def join_hot(rows: DataFrame, keys: DataFrame, on: list[str], n_rows: int, how: str = "inner") -> DataFrame:
     """rows joined with keys, a row per key with times, the number of rows that have it, where one key may have any part of
-    the rows. Keys that have more than 1 / SHARES of all n_rows, so fewer than SHARES of them, are broadcast to deal their
-    rows over SALTS tasks; a joined row doesn't carry times."""
-    least = max(1, n_rows // SHARES)
+    the rows. Keys that have more than FEW_ROWS and 1 / SHARES of all n_rows, so fewer than SHARES of them, are broadcast to
+    deal their rows over SALTS tasks; a joined row doesn't carry times."""
+    if n_rows <= FEW_ROWS:
+        return rows.join(keys.drop("times"), on, how)
+    least = max(FEW_ROWS, n_rows // SHARES)
     hot = F.broadcast(keys.where(F.col("times") > least).select(*on, F.lit(True).alias("is_hot")))
     salt = F.when(F.col("is_hot"), F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS))).otherwise(F.lit(0).cast("long"))
     dealt = rows.join(hot, on, "left").withColumn("salt", salt).drop("is_hot")
@@ -61,10 +65,14 @@ def join_hot(rows: DataFrame, keys: DataFrame, on: list[str], n_rows: int, how:
     return dealt.join(keys.withColumn("salt", F.explode(copies)).drop("times"), [*on, "salt"], how).drop("salt")
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, per_class: int, allowed: Column | None = None) -> DataFrame:
-    """doc_id, text, label and weight of a bounded sample: for each value of the label, 0 and 1, the per_class ids that hash
-    lowest. The weight is the number of ids with the label for each one taken, so that weighted classes are to each other
-    as in the whole table; it is 1 where all are taken.
+SAMPLE_BYTES = 32 << 20  # of the texts of a class at most that a model is fitted on
+
+
+def labelled(docs: DataFrame, labels: DataFrame, label: str, per_class: int, allowed: Column | None = None, most_bytes: int = SAMPLE_BYTES) -> list[tuple[str, int, float]]:
+    """text, label and weight of a bounded sample: for each value of the label, 0 and 1, the per_class ids that hash lowest,
+    and of their texts, in the same order, those that together have most_bytes at most (longer ones are left out). The
+    weight is the number of ids with the label for each one taken, so that weighted classes are to each other as in the
+    whole table; it is 1 where all are taken.
 
     Rows without a doc_id or label are left out; of an id's several texts or labels the smallest text and largest label
     count. Only ids, at most 2 * per_class, are broadcast.
@@ -75,8 +83,11 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, per_class: int, all
         known = known.where(allowed)
     known = known.groupBy("doc_id").agg(F.max("label").alias("label"))
     n = {r.label: r["count"] for r in known.groupBy("label").count().collect()}
-    weight = F.when(F.col("label") == 1, max(1.0, n.get(1, 0) / per_class)).otherwise(max(1.0, n.get(0, 0) / per_class))
     ids = [known.where(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for k in (0, 1)]
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     taken = texts.join(F.broadcast(ids[0].unionByName(ids[1])), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").alias("label"))
-    return taken.withColumn("weight", weight)
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    so_far = F.sum("size").over(Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id"))  # per_class rows at most
+    rows = taken.withColumn("size", size).where(F.col("size") <= most_bytes).withColumn("so_far", so_far).where(F.col("so_far") <= most_bytes).select("text", "label").collect()
+    found = Counter(r.label for r in rows)
+    return [(r.text, r.label, max(1.0, n[r.label] / found[r.label])) for r in rows]

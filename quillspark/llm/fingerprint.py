@@ -1,11 +1,12 @@
 """Document fingerprints: a homomorphic multiset hash over the paragraphs of a text.
 
-Every paragraph, cut into its sentences (and a sentence beyond LONG characters at words that their own hash chooses), hashes
-to a wide vector: WIDE lanes of 64 bits and SIGNS lanes of +1 or -1. A text's fingerprint is the sum of its parts' vectors,
-lanes modulo 2**64 and 2**16, and their number modulo 2**64. So the order of parts doesn't matter, and a part is put in or
-taken out by adding or subtracting its vector, without the rest of the text. Fingerprints of equal multisets are equal; those
-of different ones differ but for a chance of about 2**-256. The sum of squares of the difference of the sign lanes estimates
-how many parts differ, which gives a likeness.
+Every paragraph (a line that isn't empty) hashes to a vector of WIDE lanes of 64 bits, and each of its parts, that is its
+sentences (and of a sentence beyond LONG characters what stands between words that their own hash chooses), to SIGNS lanes
+of +1 or -1. A text's fingerprint is the sum of these vectors, lanes modulo 2**64 and 2**16, and the numbers of paragraphs
+and parts modulo 2**64. So the order of paragraphs doesn't matter, and one is put in or taken out by adding or subtracting
+its vectors, without the rest of the text. Fingerprints of equal multisets of paragraphs are equal; those of different ones
+differ but for a chance of about 2**-256. The sum of squares of the difference of the sign lanes estimates how many parts
+differ, which gives a likeness.
 """
 
 from __future__ import annotations
@@ -27,14 +28,20 @@ WIDE = 4
 SIGNS = 256
 LONG = 300  # characters
 CUT = 8  # a word in so many ends a piece of a long sentence
-STATE = np.dtype([("count", "<u8"), ("wide", "<u8", WIDE), ("signs", "<u2", SIGNS)])
+ALMOST = 1 - 1e-6  # the likeness at most of texts that differ
+STATE = np.dtype([("count", "<u8"), ("parts", "<u8"), ("wide", "<u8", WIDE), ("signs", "<u2", SIGNS)])
 TEXTS_AT_ONCE = 100
 ROWS_A_RANGE = 4096
 MOST_RANGES = 10_000  # of doc_ids; their bounds are the only thing the driver holds
 
 
+def paragraphs(text: str) -> list[str]:
+    """The lines of a text, empty ones left out."""
+    return [p for p in text.split("\n") if p]
+
+
 def parts(text: str) -> list[str]:
-    """The parts of a text, empty ones left out."""
+    """The parts of a text's paragraphs, empty ones left out."""
     out = []
     for p in text.replace(". ", ".\n").replace("! ", "!\n").replace("? ", "?\n").split("\n"):
         if len(p) <= LONG:
@@ -52,48 +59,59 @@ def parts(text: str) -> list[str]:
     return out
 
 
-def vectors(found: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Wide lanes and sign lanes of each part."""
-    raw = np.frombuffer(b"".join(hashlib.blake2b(p.encode(), digest_size=8 * WIDE + SIGNS // 8).digest() for p in found), np.uint8).reshape(len(found), -1)
-    wide = np.ascontiguousarray(raw[:, : 8 * WIDE]).view("<u8")
-    return wide, (np.unpackbits(raw[:, 8 * WIDE :], axis=1).astype(np.int16) << 1) - 1
+def wide_lanes(found: list[str]) -> np.ndarray:
+    """Of each paragraph."""
+    return np.frombuffer(b"".join(hashlib.blake2b(p.encode(), digest_size=8 * WIDE).digest() for p in found), "<u8").reshape(len(found), WIDE)
+
+
+def sign_lanes(found: list[str]) -> np.ndarray:
+    """Of each part."""
+    raw = np.frombuffer(b"".join(hashlib.blake2b(p.encode(), digest_size=SIGNS // 8).digest() for p in found), np.uint8)
+    return (np.unpackbits(raw.reshape(len(found), -1), axis=1).astype(np.int16) << 1) - 1
+
+
+def _summed(cut: list[list[str]], lanes, kind) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers of strings, places of the lists that hold any, and those lists' sums of lanes."""
+    n = np.array([len(c) for c in cut])
+    place = {p: i for i, p in enumerate(dict.fromkeys(p for c in cut for p in c))}
+    if not place:
+        return n, np.zeros(0, int), np.zeros((0, 1), kind)
+    index = np.array([place[p] for c in cut for p in c])
+    return n, np.flatnonzero(n), np.add.reduceat(lanes(list(place))[index], (np.cumsum(n) - n)[n > 0], axis=0, dtype=kind)
 
 
 def fingerprints(texts: list[str]) -> np.ndarray:
     """A STATE per text."""
     out = np.zeros(len(texts), STATE)
     for at in range(0, len(texts), TEXTS_AT_ONCE):
-        cut = [parts(t) for t in texts[at : at + TEXTS_AT_ONCE]]
-        place = {p: i for i, p in enumerate(dict.fromkeys(p for c in cut for p in c))}
-        if not place:
-            continue
-        wide, signs = vectors(list(place))
-        n = np.array([len(c) for c in cut])
-        index = np.array([place[p] for c in cut for p in c])
-        starts, some = (np.cumsum(n) - n)[n > 0], np.flatnonzero(n) + at
-        out["count"][some] = n[n > 0]
-        out["wide"][some] = np.add.reduceat(wide[index], starts, axis=0)
-        out["signs"][some] = np.add.reduceat(signs[index], starts, axis=0, dtype=np.int16).view(np.uint16)
+        some = texts[at : at + TEXTS_AT_ONCE]
+        n, held, sums = _summed([paragraphs(t) for t in some], wide_lanes, np.uint64)
+        out["count"][at : at + len(some)] = n
+        out["wide"][held + at] = sums
+        n, held, sums = _summed([parts(t) for t in some], sign_lanes, np.int16)
+        out["parts"][at : at + len(some)] = n
+        out["signs"][held + at] = sums.view(np.uint16)
     return out
 
 
-def inserted(state: np.ndarray, part: str, times: int = 1) -> np.ndarray:
-    """state with a part put in; negative times take it out."""
-    wide, signs = vectors([part])
-    new = state.copy()
-    new["count"] += np.uint64(times % (1 << 64))
-    new["wide"] += wide[0] * np.uint64(times % (1 << 64))
-    new["signs"] += (signs[0].astype(np.int64) * times).astype(np.uint16)
+def inserted(state: np.ndarray, paragraph: str, times: int = 1) -> np.ndarray:
+    """state with a paragraph put in; negative times take it out."""
+    found, new = parts(paragraph), state.copy()
+    new["count"] = (int(new["count"]) + times) % (1 << 64)
+    new["parts"] = (int(new["parts"]) + times * len(found)) % (1 << 64)
+    new["wide"] += wide_lanes([paragraph])[0] * np.uint64(times % (1 << 64))
+    if found:
+        new["signs"] += (sign_lanes(found).sum(axis=0, dtype=np.int64) * times).astype(np.uint16)
     return new
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Estimated share of parts, counted in both, that are in common; 1 exactly where the fingerprints are equal. For arrays of states."""
     d = (a["signs"] - b["signs"]).view(np.int16).astype(np.float64)
-    total = a["count"].astype(np.float64) + b["count"]
+    total = a["parts"].astype(np.float64) + b["parts"]
     near = 1 - (d**2).mean(axis=1) / np.maximum(total, 1)
-    equal = (a["count"] == b["count"]) & (a["wide"] == b["wide"]).all(axis=1) & (d == 0).all(axis=1)
-    return np.where(equal, 1.0, np.clip(near, 0, 1))
+    equal = (a["count"] == b["count"]) & (a["parts"] == b["parts"]) & (a["wide"] == b["wide"]).all(axis=1) & (d == 0).all(axis=1)
+    return np.where(equal, 1.0, np.clip(near, 0, ALMOST))
 
 
 def text_of(states: np.ndarray) -> list[str]:

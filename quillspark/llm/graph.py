@@ -15,12 +15,17 @@ def components(edges: DataFrame) -> DataFrame:
     a star is done in two rounds. Rounds are written to the shared folder; only their number of changes reaches the driver.
     """
     both = common.written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = common.written(both.groupBy("a").agg(F.least("a", F.min("b")).alias("label")).withColumnRenamed("a", "node"), "labels")
+    total = both.count()
+    labels = common.written(both.groupBy("a").agg(F.least("a", F.min("b")).alias("label"), F.count("*").alias("times")).withColumnRenamed("a", "node"), "labels")
     while True:
-        heard = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("near"))
-        near = labels.join(heard, labels["node"] == heard["a"]).select("node", F.col("label").alias("old"), F.least("label", "near").alias("via"))
-        known = labels.select(F.col("node").alias("via"), F.col("label").alias("jump"))
-        new = common.written(near.join(known, "via").select("node", "old", F.least("via", "jump").alias("label")), "labels")
-        labels = new.select("node", "label")
+        said = labels.select(F.col("node").alias("b"), "label", "times")
+        heard = common.join_hot(both, said, ["b"], total).groupBy("a").agg(F.min("label").alias("near"))
+        near = labels.join(heard, labels["node"] == heard["a"]).select("node", "times", F.col("label").alias("old"), F.least("label", "near").alias("via"))
+        near = common.written(near, "near")
+        asked = near.groupBy("via").agg(F.count("*").alias("asked"))
+        known = asked.join(labels, asked["via"] == labels["node"]).select("via", F.col("label").alias("jump"), F.col("asked").alias("times"))
+        joined = common.join_hot(near.withColumnRenamed("times", "degree"), known, ["via"], near.count())
+        new = common.written(joined.select("node", "old", F.least("via", "jump").alias("label"), F.col("degree").alias("times")), "labels")
+        labels = new.select("node", "label", "times")
         if new.where("old != label").isEmpty():
-            return labels
+            return labels.drop("times")

@@ -132,23 +132,27 @@ def cut(text: str, words: int) -> str:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mixed documents: a row for each whole time that a document is taken, and one with its first words for what is
-    taken of it besides. Rows of one id and text share evenly, rounded down, what is taken of them together."""
+    taken of it besides. Rows of one id and text share evenly, rounded down, what is taken of them together.
+
+    Texts without words, null and empty ones too, are never taken; null ids and sources are kept; other columns may have any
+    names and stay as they are but for n_chars, which follows the text; an empty table stays empty. Very long texts are read
+    whole.
+    """
     common.tune(spark)
-    keyed = docs.withColumns({"_id": F.col("doc_id").cast("long"), "_hash": F.xxhash64("text")})
-    shares = mix(docs).groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.expr("sum(taken) div count(*)").alias("_taken"), F.max("size").alias("_size")).where("_taken > 0")
-    shares = shares.withColumnRenamed("_id", "_i").withColumnRenamed("_hash", "_h")
-    rows = keyed.join(shares, keyed["_id"].eqNullSafe(shares["_i"]) & (keyed["_hash"] == shares["_h"])).select(*docs.columns, "_taken", "_size")
-    names, n = docs.columns, len(docs.columns)
+    names = docs.columns
+    own = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("hash"))
+    shares = mix(docs).groupBy("doc_id", "text_hash").agg(F.expr("sum(taken) div count(*)").alias("taken"), F.max("size").alias("size")).where("taken > 0")
+    rows = own.join(shares, own["id"].eqNullSafe(shares["doc_id"]) & (own["hash"] == shares["text_hash"])).select("row", "taken", "size")
     at, chars = names.index("text"), names.index("n_chars") if "n_chars" in names else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            taken, size = batch.column(n).to_pylist(), batch.column(n + 1).to_pylist()
-            whole = batch.take(pa.array([k for k, (t, s) in enumerate(zip(taken, size, strict=True)) for _ in range(t // s)], pa.int64())).select(range(n))
-            yield pa.RecordBatch.from_arrays(whole.columns, names)
+            rows = pa.RecordBatch.from_arrays(batch.column(0).flatten(), names)
+            taken, size = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            yield rows.take(pa.array([k for k, (t, s) in enumerate(zip(taken, size, strict=True)) for _ in range(t // s)], pa.int64()))
             some = [k for k, (t, s) in enumerate(zip(taken, size, strict=True)) if t % s]
             if some:
-                part = batch.take(pa.array(some, pa.int64())).select(range(n))
+                part = rows.take(pa.array(some, pa.int64()))
                 texts = [cut(t, taken[k] % size[k]) for k, t in zip(some, part.column(at).to_pylist(), strict=True)]
                 columns = list(part.columns)
                 columns[at] = pa.array(texts, columns[at].type)

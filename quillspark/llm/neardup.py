@@ -1,11 +1,13 @@
 """Near-duplicates by BagMinHash: weighted-Jaccard signatures of word-shingle multisets, banding, exact verification.
 
-A shingle with multiplicity w stands for the interval (0, w] of weights. The weight axis is split into (0, 1], (1, 2],
-(2, 4], (4, 8] ..., and on each of these, per shingle, runs a Poisson process in time of rate equal to its length, whose
-points carry a weight within the interval and a signature component; a point whose weight lies above w is thinned out. A
+A shingle with multiplicity w stands for the interval (0, w] of weights, which are discretised to whole numbers. The weight
+axis is split into (0, 1], (1, 2], (2, 4], (4, 8] ...; each of these, per shingle, is the root of a hierarchy of Poisson
+processes in time, of rate equal to their length. A process is split in halves at its first point: the point falls into
+either half by a coin, and the other half's first point comes an exponential time later. Halves that begin at w or above
+are dropped, the others are split again; the process of a unit of weight gives its points to signature components. A
 component's value is the time of its first point. All is drawn from hashes, so that two multisets share exactly the points
-of the weights that they share, and a component is equal with probability sum of minima over sum of maxima. A shingle's
-processes stop once their time passes the largest component, which after the first few shingles is almost at once.
+of the weights that they share, and a component is equal with probability sum of minima over sum of maxima. A process is
+dropped, whatever its length, once its time passes the largest component, which after a few shingles is almost at once.
 
 Texts that are equal are one node. Nodes that agree on a whole band of components are candidates, and those are decided by
 the exact overlap of their multisets. In a bucket the node that is most popular (sum of the sizes of all its buckets) leads
@@ -98,36 +100,54 @@ def shingles(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def signatures(n: int, text: np.ndarray, value: np.ndarray, weight: np.ndarray, size: int = BANDS * ROWS) -> np.ndarray:
     """A row of component times for each of n texts; infinite where a text has no shingle."""
     top = int(weight.max()) if len(weight) else 0
-    streams = []
+    roots = []
     low, high, k = 0, 1, 0
     while low < top:
         chosen = np.flatnonzero(weight > low)
-        streams.append((text[chosen], _mix(value[chosen] + np.uint64(k * int(_ODD) % (1 << 64))), weight[chosen], np.full(len(chosen), low), np.full(len(chosen), high - low)))
+        roots.append((text[chosen], _mix(value[chosen] + np.uint64(k * int(_ODD) % (1 << 64))), weight[chosen], np.full(len(chosen), low), np.full(len(chosen), high - low)))
         low, high, k = high, 2 * high, k + 1
     h = np.full((n, size), np.inf)
-    if not streams:
+    if not roots:
         return h
-    doc, seed, w, low, length = (np.concatenate(x) for x in zip(*streams, strict=True))
-    time, step = np.zeros(len(doc)), 0
+    doc, seed, w, low, length = (np.concatenate(x) for x in zip(*roots, strict=True))
+    time = _waits(seed) / length
     largest = np.full(n, np.inf)
     flat = h.ravel()
     while len(doc):
-        step += 1
-        draw = _mix(seed + np.uint64(step * 0xA24BAED4963EE407 % (1 << 64)))
-        uniform = ((draw >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
-        time = time - np.log(uniform) / length
-        live = time < largest[doc]
-        if not live.all():
-            doc, seed, w, low, length, time, draw = (x[live] for x in (doc, seed, w, low, length, time, draw))
-        other = _mix(draw + _ODD)
-        component = ((other >> np.uint64(32)) % np.uint64(size)).astype(np.int64)
-        mark = low + 1 + ((other & np.uint64(0xFFFFFFFF)).astype(np.int64) * length >> 32)
-        kept = mark <= w
-        np.minimum.at(flat, (doc * size + component)[kept], time[kept])
+        unit = length == 1
+        wide = None
+        if not unit.all():
+            wide = [x[~unit] for x in (doc, seed, w, low, length, time)]
+            doc, seed, w, low, length, time = (x[unit] for x in (doc, seed, w, low, length, time))
+        component = ((_mix(seed + _ODD) >> np.uint64(32)) % np.uint64(size)).astype(np.int64)
+        np.minimum.at(flat, doc * size + component, time)
         largest = h.max(axis=1)
+        seed = _mix(seed + _NEXT)
+        time = time + _waits(seed)
+        if wide:
+            doc, seed, w, low, length, time = (np.concatenate(x) for x in zip((doc, seed, w, low, length, time), *_split(*wide), strict=True))
+        live = (time < largest[doc]) & (low < w)
+        doc, seed, w, low, length, time = (x[live] for x in (doc, seed, w, low, length, time))
     return h
 
 
+_NEXT, _LEFT, _RIGHT, _COIN = (np.uint64(x) for x in (0xA24BAED4963EE407, 0x9FB21C651E98DF25, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F))
+
+
+def _waits(seed: np.ndarray) -> np.ndarray:
+    """Times of rate 1 from hashes."""
+    return -np.log(((_mix(seed ^ _COIN) >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53)
+
+
+def _split(doc, seed, w, low, length, time) -> Iterator[tuple]:
+    """Processes of the halves of intervals: the first point at time is in one of them."""
+    half = length // 2
+    in_left = (_mix(seed + _COIN) >> np.uint64(63)) == 0
+    for mark, start, first in ((_LEFT, low, in_left), (_RIGHT, low + half, ~in_left)):
+        own = _mix(seed + mark)
+        yield doc, own, w, start, half, np.where(first, time, time + _waits(own) / half)
+
+
 def bands(h: np.ndarray) -> np.ndarray:
     """A hash of each band of each signature."""
     bits = h.view(np.uint64).reshape(len(h), BANDS, ROWS)
@@ -195,7 +215,9 @@ def verified(pairs: DataFrame, texts: DataFrame, alike: float) -> DataFrame:
 
     one = texts.select(F.col("node").alias("a"), F.col("text").alias("x"))
     two = texts.select(F.col("node").alias("b"), F.col("text").alias("y"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
+    many = pairs.groupBy("b").agg(F.count("*").alias("times"))  # a leader's pairs are dealt over tasks
+    both = common.join_hot(pairs.join(one, "a"), two.join(many, "b"), ["b"], pairs.count())
+    return both.select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
 
 
 def _elements(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -218,7 +240,8 @@ class _Block:
         self.sizes = np.bincount(text, minlength=len(texts))
 
     def near(self, nodes: list[bytes], labels: list[bytes], texts: list[str], alike: float) -> Iterator[tuple[bytes, bytes]]:
-        """Pairs of a text of the block and one of these, of different labels, that share enough elements."""
+        """For two different labels a pair of a text of the block and one of these that share enough elements."""
+        told: set[tuple[bytes, bytes]] = set()
         for at in range(0, len(texts), COMPARED_AT_ONCE):
             some = texts[at : at + COMPARED_AT_ONCE]
             text, element = _elements(some)
@@ -233,12 +256,15 @@ class _Block:
             own = np.array(labels[at : at + COMPARED_AT_ONCE], object)
             good = (both >= alike * (sizes[:, None] + self.sizes[None, :] - both)) & (both > 0) & (own[:, None] != self.labels[None, :])
             for k, j in zip(*np.nonzero(good), strict=True):
-                yield self.nodes[j], nodes[at + k]
+                tie = (own[k], self.labels[j])
+                if tie not in told:
+                    told.add(tie)
+                    yield self.nodes[j], nodes[at + k]
 
 
 def in_blocks(rows: DataFrame, texts: DataFrame, alike: float) -> DataFrame:
     """Pairs (a, b) of the nodes in rows (group, node, label, asks) that ask, with any node of their group of another label,
-    that are alike by hashes of their shingles."""
+    that are alike by hashes of their shingles; within a batch and block one pair ties two labels."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, asking, block = None, ([], [], []), None
@@ -274,15 +300,16 @@ def in_blocks(rows: DataFrame, texts: DataFrame, alike: float) -> DataFrame:
 
 def linked(buckets: DataFrame, texts: DataFrame, alike: float) -> DataFrame | None:
     """node and label of the nodes that have a near-duplicate, from buckets (key, node); None if there is no bucket."""
-    size = buckets.groupBy("key").agg(F.count("*").alias("n"))
-    popular = buckets.join(size, "key").groupBy("node").agg(F.sum("n").alias("fame"))
-    rows = common.written(buckets.join(popular, "node"), "buckets")
-    if rows.isEmpty():
+    total = buckets.count()  # rows per key only become fewer
+    if not total:
         return None
-    leaders = rows.groupBy("key").agg(F.max_by("node", F.struct("fame", "node")).alias("leader"))
+    size = common.written(buckets.groupBy("key").agg(F.count("*").alias("times")), "sizes")
+    popular = common.join_hot(buckets, size.withColumn("n", F.col("times")), ["key"], total).groupBy("node").agg(F.sum("n").alias("fame"))
+    rows = common.written(buckets.join(popular, "node"), "buckets")
+    leaders = rows.groupBy("key").agg(F.max_by("node", F.struct("fame", "node")).alias("leader"), F.count("*").alias("times"))
     asked, edges, tested = rows.withColumn("label", F.col("node")), None, None
     for probe in range(PROBES + 1):
-        pairs = asked.join(leaders, "key").where("node != leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
+        pairs = common.join_hot(asked.select("key", "node"), leaders, ["key"], total).where("node != leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = common.written(pairs, "pairs")
@@ -293,18 +320,19 @@ def linked(buckets: DataFrame, texts: DataFrame, alike: float) -> DataFrame | No
         # a leader has been compared with all of its bucket that it isn't connected with
         rows = rows.join(leaders.select("key", F.col("leader").alias("node")), ["key", "node"], "left_anti")
         marked = rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        apart = marked.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("key")
-        marked = common.written(marked.join(apart, "key", "left_semi"), "open")
+        marked = common.written(marked, "marked")
+        apart = marked.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("times")).where("low != high").select("key", "times")
+        marked = common.written(common.join_hot(marked, apart, ["key"], total, "left_semi"), "open")
         if marked.isEmpty():
             return labels
         rows = marked.drop("label")
         weight = marked.groupBy("key", "label").agg(F.count("*").alias("n"), F.max_by("node", F.struct(F.xxhash64("node", F.lit(probe)), "node")).alias("one"))
-        main = common.written(weight.groupBy("key").agg(F.max_by(F.struct("label", "one"), F.struct("n", "label")).alias("main")).select("key", F.col("main.label").alias("main"), F.col("main.one").alias("leader")), "main")
-        leaders = main.select("key", "leader")
-        asked = marked.join(main.select("key", "main"), "key").where("label != main").drop("main")
+        main = common.written(weight.groupBy("key").agg(F.max_by(F.struct("label", "one"), F.struct("n", "label")).alias("main"), F.sum("n").alias("times")).select("key", F.col("main.label").alias("main"), F.col("main.one").alias("leader"), "times"), "main")
+        leaders = main.select("key", "leader", "times")
+        asked = common.join_hot(marked, main.select("key", "main", "times"), ["key"], total).where("label != main").drop("main")
     # groups: the labels that buckets still tie together
-    hubs = marked.groupBy("key").agg(F.min("label").alias("hub"))
-    ties = marked.join(hubs, "key").where("label != hub").select(F.col("label").alias("a"), F.col("hub").alias("b")).distinct()
+    hubs = marked.groupBy("key").agg(F.min("label").alias("hub"), F.count("*").alias("times"))
+    ties = common.join_hot(marked, hubs, ["key"], total).where("label != hub").select(F.col("label").alias("a"), F.col("hub").alias("b")).distinct()
     groups = components(ties).withColumnRenamed("node", "tied")
     asking = asked.select("node", F.lit(True).alias("asks")).distinct()
     query_set = marked.select("node", "label").distinct().join(asking, "node", "left").join(groups.select("tied", F.col("label").alias("group")), F.col("label") == F.col("tied")).drop("tied")
@@ -314,7 +342,8 @@ def linked(buckets: DataFrame, texts: DataFrame, alike: float) -> DataFrame | No
 
 
 def classes(docs: DataFrame, alike: float = ALIKE) -> DataFrame:
-    """doc_id, node and class_id of every row: the smallest doc_id of those connected by near-duplicate links.
+    """doc_id, node, class_id and label of every row: class_id is the smallest doc_id of those connected by near-duplicate
+    links, label their smallest node.
 
     Rows with equal texts are of one class. Texts without words (null and empty ones too) are alike to nothing: each row's
     class is its own doc_id. A row without a doc_id takes the class of its text, which is null if no connected row has an id.
@@ -323,20 +352,21 @@ def classes(docs: DataFrame, alike: float = ALIKE) -> DataFrame:
     rows = common.written(signed(docs), "signed")
     reps = rows.where("keys is not null").groupBy("node").agg(F.min("doc_id").alias("first"), F.first("keys").alias("keys"))
     keyed = common.written(reps.select("node", F.explode("keys").alias("key")), "keys")
-    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    buckets = common.written(keyed.join(shared, "key", "left_semi"), "candidates")
+    shared = keyed.groupBy("key").agg(F.count("*").alias("times")).where("times > 1")
+    buckets = common.written(common.join_hot(keyed, shared, ["key"], keyed.count(), "left_semi"), "candidates")
     # one text per candidate; rows repeated in full would only repeat comparisons
     wanted = reps.select("node", F.col("first").alias("doc_id")).join(buckets.select("node").distinct(), "node", "left_semi")
     own = docs.select(node(F.coalesce("text", F.lit(""))).alias("node"), F.col("doc_id").cast("long").alias("own"), "text")
     texts = own.join(wanted, (own["node"] == wanted["node"]) & own["own"].eqNullSafe(wanted["doc_id"])).select(own["node"], "text")
     labels = linked(buckets, common.written(texts, "texts"), alike)
-    ids = reps.select("node", "first")
+    ids = rows.where("keys is not null").groupBy("node").agg(F.min("doc_id").alias("first"), F.count("*").alias("times"))
+    ids = ids.withColumn("label", F.col("node"))
     if labels is not None:
-        joined = ids.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        least = joined.groupBy("label").agg(F.min("first").alias("class_id"))
-        ids = joined.join(least, "label").select("node", F.col("class_id").alias("first"))
-    with_class = rows.where("keys is not null").select("doc_id", "node").join(ids, "node").select("doc_id", "node", F.col("first").alias("class_id"))
-    return with_class.unionByName(rows.where("keys is null").select("doc_id", "node", F.col("doc_id").alias("class_id")))
+        ids = common.written(ids.drop("label").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "joined")
+        least = ids.groupBy("label").agg(F.min("first").alias("class_id"), F.count("*").alias("times"))
+        ids = common.join_hot(ids.withColumnRenamed("times", "copies"), least, ["label"], ids.count()).select("node", F.col("class_id").alias("first"), "label", F.col("copies").alias("times"))
+    with_class = common.join_hot(rows.where("keys is not null").select("doc_id", "node"), ids, ["node"], rows.count()).select("doc_id", "node", F.col("first").alias("class_id"), "label")
+    return with_class.unionByName(rows.where("keys is null").select("doc_id", "node", F.col("doc_id").alias("class_id"), F.lit(None).cast("binary").alias("label")))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -345,13 +375,18 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class: the one with the smallest doc_id. All texts without words stay."""
+    """One document of each class: the one with the smallest doc_id (a null one only where no other has any; of equal ids
+    the smallest node). All texts without words, null and empty ones too, stay, repeated rows of them as well; of rows with
+    the same id and text one stays. Columns may have any names and stay as they are; an empty table stays empty; very long
+    texts are read whole."""
     common.tune(spark)
     found = common.written(classes(docs), "classes")
-    kept = found.where("doc_id <=> class_id").select(F.col("doc_id").alias("_id"), F.col("node").alias("_node")).distinct()
-    rows = docs.withColumns({"_own": F.col("doc_id").cast("long"), "_key": node(F.coalesce("text", F.lit("")))})
-    rows = rows.join(kept, rows["_own"].eqNullSafe(kept["_id"]) & (rows["_key"] == kept["_node"]))
-    repeated = found.where("doc_id <=> class_id").groupBy("doc_id", "node").agg(F.count("*").alias("n")).where("n > 1")
+    kept = found.where("label is not null").groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("k"), F.count("*").alias("n"))
+    kept = kept.select(F.col("k.doc_id").alias("kept_id"), F.col("k.node").alias("kept_node"))
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), node(text).alias("node"), text.rlike(r"[^\x20\x09-\x0D]").alias("words"))
+    one = rows.where("words").join(kept, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("node") == F.col("kept_node")))
+    repeated = found.where("label is not null").groupBy("doc_id", "node").agg(F.count("*").alias("n")).where("n > 1")
     if not repeated.isEmpty():  # rows repeated in full: one stays
-        rows = rows.dropDuplicates(["_own", "_key"])
-    return rows.select(*docs.columns)
+        one = one.dropDuplicates(["id", "node"])
+    return one.select("row.*").unionByName(rows.where("not words").select("row.*"))

@@ -112,8 +112,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS
     The score depends on the text alone; null counts as empty, and empty texts get a score too. Equal texts have equal
     scores. Every row is scored, repeated ones each; other columns are not read; an empty table gives no row.
     """
-    sample = common.labelled(docs, labels, "quality", per_class, ~held_out(F.col("doc_id"))).collect()  # 2 * per_class rows at most
-    model = fit([r.text for r in sample], [r.label for r in sample], [r.weight for r in sample])
+    sample = common.labelled(docs, labels, "quality", per_class, ~held_out(F.col("doc_id")))
+    model = fit([t for t, _, _ in sample], [y for _, y, _ in sample], [w for _, _, w in sample])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -123,7 +123,13 @@ class _Words(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # in a text their strings are ordinary text
+        added = self.tokenizer.get_added_tokens_decoder()
+        if any(t.normalized or t.single_word or t.lstrip or t.rstrip for t in added.values()):
+            raise ValueError("added tokens must stand for their text as it is")
+        #: Texts are split at these before anything else, as the library does.
+        self.added = {t.content: np.array([i], "<u4").tobytes() for i, t in added.items()}
+        self.split = re.compile("(" + "|".join(re.escape(t) for t in sorted(self.added, key=len, reverse=True)) + ")") if added else None
+        self.tokenizer.encode_special_tokens = True  # pieces don't hold added tokens, but may once they are in lower case
         (self.mark,) = self._ids(MARK)
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -186,6 +192,10 @@ class _Words(dict):
 
         Pieces are told apart by a 64-bit hash, so that each distinct one is looked up once; all are then compared with
         the ones found for them, so a clash of hashes can't go unnoticed."""
+        if self.split and any(map(self.split.search, texts)):
+            cut = [[p for p in self.split.split(t) if p] for t in texts]
+            plain = iter(self.encode([p for c in cut for p in c if p not in self.added]))
+            return [b"".join(self.added[p] if p in self.added else next(plain) for p in c) for c in cut]
         exotic = [bool(EXOTIC(t)) for t in texts]
         if any(exotic):
             latin = iter(self.encode([t for t, e in zip(texts, exotic, strict=True) if not e]))

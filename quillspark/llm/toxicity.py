@@ -17,6 +17,7 @@ from string import punctuation
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from . import common
@@ -25,7 +26,7 @@ PER_CLASS = 2_500  # labelled documents of each class at most that the model is
 BEGINNINGS = range(3, 8)  # lengths in characters
 LEAST_CHI2 = 25.0  # of a feature with the label, on the sample
 LEAST_DOCUMENTS = 5
-MOST_FEATURES = 5_000
+MOST_FEATURES = 5_000  # a parameter of the model: those that stand out most
 GRADE_FROM = (4, 10)  # hits from which a labelled document without a grade is of grade 2, of grade 3
 CACHED_WORDS = 300_000
 CACHED_LENGTH = 64
@@ -157,8 +158,8 @@ def grade_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLAS
     Null text counts as empty and has no features; a whole text is read. Rows without a doc_id and repeated rows are graded
     like any other; columns of docs with these names are replaced. Without labels of both kinds nothing is toxic.
     """
-    sample = common.labelled(docs, labels, "toxic", per_class).collect()  # 2 * per_class rows at most
-    model = fit([r.text for r in sample], [r.label for r in sample], weights=[r.weight for r in sample])
+    sample = common.labelled(docs, labels, "toxic", per_class)
+    model = fit([t for t, _, _ in sample], [y for _, y, _ in sample], weights=[w for _, _, w in sample])
     added = "toxic integer, p_toxic double, severity double, grade integer"
     names = [x.split()[0] for x in added.split(", ")]
     docs = docs.drop(*names)
@@ -188,7 +189,12 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that aren't toxic."""
+    """Documents that aren't toxic.
+
+    Null and empty texts have no features and stay with a model that has any label; rows without an id and repeated rows are
+    graded like any other; columns may have any names and stay as they are; an empty table stays empty; very long texts are
+    read whole.
+    """
     common.tune(spark)
-    graded = grade_toxicity(docs, common.table(spark, sf_dir, "labels"))
-    return graded.where("toxic = 0").select(*docs.columns)
+    own = docs.select(F.col("doc_id"), F.col("text"), F.struct("*").alias("row"))
+    return grade_toxicity(own, common.table(spark, sf_dir, "labels")).where("toxic = 0").select("row.*")

@@ -12,7 +12,7 @@ from quillspark.llm import fingerprint as fp
 @given(st.lists(st.text("abc .", min_size=1, max_size=30), max_size=12), st.randoms())
 def test_order_insertion_and_deletion(lines, rng):
     text = "\n".join(lines)
-    found = fp.parts(text)
+    found = fp.paragraphs(text)
     mixed = found[:]
     rng.shuffle(mixed)
     (a,) = fp.fingerprints([text])
@@ -24,6 +24,12 @@ def test_order_insertion_and_deletion(lines, rng):
     assert fp.inserted(fp.inserted(b, "more"), "more").tobytes() == fp.inserted(b, "more", 2).tobytes() != b.tobytes()
 
 
+def test_paragraphs_are_told_apart():
+    a, b, c = fp.fingerprints(["A. B", "A.\nB", "B\n\nA."])
+    assert a["wide"].tobytes() != b["wide"].tobytes() and b.tobytes() == c.tobytes()
+    assert fp.likeness(np.array([a]), np.array([b]))[0] < 1 == fp.likeness(np.array([b]), np.array([c]))[0]
+
+
 def test_likeness_estimates_shared_parts():
     rng = random.Random(2)
     word = lambda: "".join(rng.choices("abcdefghij", k=7))

@@ -45,9 +45,12 @@ def test_capped_sample_keeps_class_ratio(spark):
     rows += [(i, GOOD[i % 300] + f" {i}" if i % 8 == 0 else BAD[i % 300] + f" {i}", 0) for i in range(1600, 1800)]
     docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
     labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, quality int")
-    taken = quality.common.labelled(docs, labels, "quality", 100).collect()
-    assert sum(r.weight for r in taken if r.label == 1) == 1600 and sum(r.weight for r in taken if r.label == 0) == 200
-    assert {r.weight for r in quality.common.labelled(docs, labels, "quality", 1600).collect()} == {1.0}
+    taken = quality.common.labelled(docs, labels, "quality", 100)
+    assert sum(w for _, y, w in taken if y == 1) == 1600 and sum(w for _, y, w in taken if y == 0) == 200
+    assert {w for _, _, w in quality.common.labelled(docs, labels, "quality", 1600)} == {1.0}
+    few = quality.common.labelled(docs, labels, "quality", 1600, most_bytes=5_000)
+    for k, n in ((1, 1600), (0, 200)):
+        assert 0 < sum(len(t) for t, y, _ in few if y == k) <= 5_000 and abs(sum(w for _, y, w in few if y == k) - n) < 1e-6
     mean = [sum(r.score for r in quality.score_quality(docs, labels, n).collect()) / 1800 for n in (140, 2000)]
     assert abs(mean[1] - 1600 / 1800) < 0.02 and abs(mean[0] - mean[1]) < 0.04
 

@@ -13,7 +13,6 @@ from quillspark.llm import tokenfile
 
 PATH = P.path("word_bpe_49k.json")
 THEIRS = Tokenizer.from_file(PATH)
-THEIRS.encode_special_tokens = True
 
 
 @settings(max_examples=300, deadline=None)
@@ -23,6 +22,12 @@ def test_words_as_whole_text(text):
     assert list(struct.unpack(f"<{len(packed) // 4}I", packed)) == THEIRS.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("text", ["a <|endoftext|> b", "<|startoftext|>", "<|endoftext|><|endoftext|>x", "x<|startoftext|>y <|endoftext|", "A<|ENDOFTEXT|>b<|endoftext|>C\n", "é<|startoftext|>\u0301", "<|endoftext|> <|endoftext|>", "<|<|endoftext|>|>", "日<|endoftext|>本 'd<|startoftext|>ll"])
+def test_added_tokens_as_the_library_has_them(text):
+    for found, t in zip(tokenfile.words(PATH).encode(["plain", text, "more " + text]), ["plain", text, "more " + text], strict=True):
+        assert list(struct.unpack(f"<{len(found) // 4}I", found)) == THEIRS.encode(t, add_special_tokens=False).ids
+
+
 class Kept(io.BytesIO):
     def close(self):
         self.kept = self.getvalue()
