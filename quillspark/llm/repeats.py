@@ -31,6 +31,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,7 +55,7 @@ class Unit:
 
 REPEAT = 400  # bytes that op1 compares
 WORDS = 51  # words in a row that the pipeline's stage removes, too, however short
-UNITS = (Unit(REPEAT, 128, False), Unit(WORDS, 16, True))  # the lowest bit of an anchor's hash is the unit's place in here
+UNITS = (Unit(REPEAT, 128, False), Unit(WORDS, 8, True))  # the lowest bit of an anchor's hash is the unit's place in here
 CUT_AT_ONCE = 1 << 20  # symbols that are cut up together
 CODED_AT_ONCE = 1 << 22  # bytes of text whose words are hashed together, or one text
 SHARD = 1_000_000  # symbols of pieces in a suffix array, or one anchor string's if those are more
@@ -301,28 +302,24 @@ def repeated_windows(cut: list[bytes], unit: Unit = UNITS[0]) -> list[list[tuple
     return out
 
 
-def shared_cores(group: list[dict], unit: Unit) -> Iterator[tuple[dict, int, bytes]]:
-    """Of different pieces of one key those that have a core in common with another: the piece, the first window that may
-    be repeated, and the symbols from there to the end of the last one."""
-    seen: dict[tuple[int, bytes], int] = {}
+def shared_cores(group: list[tuple], unit: Unit) -> Iterator[tuple[int, int, int, bytes]]:
+    """Of different pieces (key, part, n, off, p, q, bytes) of one key those that have a core in common with another: key,
+    part, the first window that may be repeated, and the symbols from there to the end of the last one."""
+    seen: dict[tuple[int, int], int] = {}
     own = []
-    for r in group:
-        high, low, p0, q0 = r["off"], r["off"] - (r["n"] - 1), r["p"], r["q"]
-        step, mine = -(-(q0 - p0 + 1) // CORES), []
-        for p in range(p0, q0 + 1, step):
+    for _, _, n, high, p0, q0, raw in group:
+        low, step, mine = high - (n - 1), -(-(q0 - p0 + 1) // CORES), []
+        for p in range(p0 + max(0, low - p0) // step * step, min(high, q0) + 1, step):
             q = min(p + step - 1, q0)
-            a, b = max(p, low), min(q, high)
-            if a <= b:
-                k = (p, hashlib.blake2b(core(r["bytes"], high, p, q, unit), digest_size=16).digest())
-                seen[k] = seen.get(k, 0) + 1
-                mine.append((k, a, b))
+            k = (p, hash(core(raw, high, p, q, unit)))  # only brings pieces together, within this task
+            seen[k] = seen.get(k, 0) + 1
+            mine.append((k, max(p, low), min(q, high)))
         own.append(mine)
-    for r, mine in zip(group, own, strict=True):
+    for (key, part, _, off, _, _, raw), mine in zip(group, own, strict=True):
         found = [(a, b) for k, a, b in mine if seen[k] > 1]
         if found:
-            low, high = min(a for a, _ in found), max(b for _, b in found)
-            first = r["off"] - high
-            yield r, first, r["bytes"][first * unit.width : (r["off"] - low + unit.repeat) * unit.width]
+            low, high = found[0][0], found[-1][1]
+            yield key, part, off - high, raw[(off - high) * unit.width : (off - low + unit.repeat) * unit.width]
 
 
 def compared(parts: DataFrame) -> DataFrame:
@@ -330,20 +327,20 @@ def compared(parts: DataFrame) -> DataFrame:
     are equal, and one of them is compared."""
     names = ["key", "part", "a", "b"]
 
-    def decide(unit: Unit, rows: list[tuple[dict, int, bytes]]) -> pa.RecordBatch:
-        found = repeated_windows([raw for _, _, raw in rows], unit)
-        out = [(r["key"], r["part"], first + a, first + b) for (r, first, _), runs in zip(rows, found, strict=True) for a, b in runs]
+    def decide(unit: Unit, rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
+        found = repeated_windows([raw for *_, raw in rows], unit)
+        out = [(key, part, first + a, first + b) for (key, part, first, _), runs in zip(rows, found, strict=True) for a, b in runs]
         kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [()] * 4, kinds, strict=True)], names)
 
-    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
-        group: list[dict] = []
+    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+        group: list[tuple] = []
         for batch in batches:
-            for r in batch.to_pylist():
-                if group and r["key"] != group[-1]["key"]:
+            for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if group and r[0] != group[-1][0]:
                     yield group
                     group = []
-                if not group or r["part"] != group[-1]["part"]:  # else from a row that is repeated in full
+                if not group or r[1] != group[-1][1]:  # else from a row that is repeated in full
                     group.append(r)
         if group:
             yield group
@@ -351,12 +348,12 @@ def compared(parts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, size, kind = [], 0, None
         for group in groups(batches):
-            unit = UNITS[group[0]["key"] & 1]
+            unit = UNITS[group[0][0] & 1]
             if rows and (size >= SHARD or unit != kind):
                 yield decide(kind, rows)
                 rows, size = [], 0
             some = list(shared_cores(group, unit))
-            rows, size, kind = rows + some, size + sum(len(raw) for _, _, raw in some) // unit.width, unit
+            rows, size, kind = rows + some, size + sum(len(raw) for *_, raw in some) // unit.width, unit
         if rows:
             yield decide(kind, rows)
 
@@ -414,10 +411,29 @@ def removals(docs: DataFrame, most: int = MOST_PIECES, units: tuple[Unit, ...] =
     return spans.groupBy("doc_id", "h").agg(F.collect_set("span").alias("spans"))
 
 
-def merged(spans: list[dict] | None, words: bool = False) -> list[tuple[int, int]]:
-    """Maximal runs of bytes, or of words, that spans cover."""
+def merged_spans(spans: pa.ListArray) -> list[tuple[list[tuple[int, int]], list[tuple[int, int]]]]:
+    """Of each row the maximal runs of bytes and of words that its spans cover."""
+    out: list[tuple[list, list]] = [([], []) for _ in range(len(spans))]
+    flat = spans.flatten()
+    if not len(flat):
+        return out
+    words, start, end = (flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(3))
+    group = pc.list_parent_indices(spans).to_numpy().astype(np.int64) * 2 + words
+    order = np.lexsort((start, group))
+    group, start, end = group[order], start[order], end[order]
+    top = int(end.max()) + 1
+    reach = np.maximum.accumulate(group * top + end) - group * top
+    new = np.concatenate([[True], (group[1:] != group[:-1]) | (start[1:] > reach[:-1])]).nonzero()[0]
+    last = np.append(new[1:], len(group)) - 1
+    for g, a, b in zip(group[new].tolist(), start[new].tolist(), reach[last].tolist(), strict=True):
+        out[g >> 1][g & 1].append((a, b))
+    return out
+
+
+def merged(spans: list[dict] | None) -> list[tuple[int, int]]:
+    """Maximal runs that spans cover."""
     out: list[list[int]] = []
-    for a, b in sorted((s["start"], s["end"]) for s in spans or () if s.get("words", False) == words):
+    for a, b in sorted((s["start"], s["end"]) for s in spans or ()):
         if out and a <= out[-1][1]:
             out[-1][1] = max(out[-1][1], b)
         else:
@@ -447,10 +463,10 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
-            for z, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                raw, runs = unpack(z), merged(spans)
+            for z, (runs, words) in zip(batch.column(1).to_pylist(), merged_spans(batch.column(2)), strict=True):
+                raw = unpack(z)
                 kept = without(raw, runs)
-                row = (len(raw), len(raw) - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), sum(b - a for a, b in merged(spans, words=True)))
+                row = (len(raw), len(raw) - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), sum(b - a for a, b in words))
                 for column, v in zip(out, row, strict=True):
                     column.append(v)
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64()]
@@ -506,11 +522,10 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         for batch in batches:
             columns = batch.column(0).flatten()
             texts, stay, counts = [], [], columns[chars].to_pylist() if chars is not None else None
-            for k, (t, spans) in enumerate(zip(columns[at].to_pylist(), batch.column(1).to_pylist(), strict=True)):
-                runs: list[tuple[int, int]] = []
-                if spans:
+            for k, (t, (runs, words)) in enumerate(zip(columns[at].to_pylist(), merged_spans(batch.column(1)), strict=True)):
+                if runs or words:
                     raw = t.encode()
-                    runs = whole_characters(raw, merged(spans)) + words_to_bytes(raw, merged(spans, words=True))
+                    runs = whole_characters(raw, runs) + words_to_bytes(raw, words)
                 if runs:
                     t = without(raw, merged([{"start": a, "end": b} for a, b in runs])).decode()
                     if counts is not None:

@@ -14,67 +14,53 @@ from __future__ import annotations
 import numpy as np
 
 
-def _ranks_within(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each entry how many equal ones come before it; the distinct values and their numbers."""
-    order = np.argsort(values, kind="stable")
+def _in_runs(values: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order that sorts the values and keeps equal ones as they are, the values in it, and for each of them how many
+    equal ones come before it. places: 0, 1, 2 ..., at least as many."""
+    order = values.argsort(kind="stable")
     ordered = values[order]
-    first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-    counts = np.diff(np.append(first, len(values)))
-    rank = np.empty(len(values), np.int64)
-    rank[order] = np.arange(len(values)) - np.repeat(first, counts)
-    return rank, ordered[first], counts
+    at = places[: len(values)].copy()
+    at[1:][ordered[1:] == ordered[:-1]] = 0
+    return order, ordered, places[: len(values)] - np.maximum.accumulate(at)
 
 
-def _induce(text: np.ndarray, smaller: np.ndarray, sa: np.ndarray, heads: np.ndarray, tails: np.ndarray) -> None:
-    """Puts larger suffixes in from the left and then smaller ones from the right. heads and tails: the first and last slot
-    of each symbol's bucket. Entries of -1 are empty."""
+def _spread(text: np.ndarray, taken: np.ndarray, sa: np.ndarray, edge: np.ndarray, places: np.ndarray, step: int) -> None:
+    """Reads the array from its start (step 1) or end (step -1), and puts the suffix before each read one, if it is taken,
+    into the next free slot of its symbol's bucket, from the bucket's edge on in the direction of step."""
     n = len(sa)
-    wanted = ~smaller
-    head, size, at = heads.copy(), 1024, 0
+    rows = sa if step > 0 else sa[::-1]  # slots are counted in the direction of reading
+    free = edge.copy() if step > 0 else n - 1 - edge
+    size, at = 1024, 0
     while at < n:
         end = min(n, at + size)
-        slots = np.flatnonzero(sa[at:end] > 0)
-        before = sa[at:end][slots] - 1
-        take = wanted[before]
-        before, slots = before[take], slots[take] + at
+        some = rows[at:end]
+        slots = (some > 0).nonzero()[0]
+        before = some[slots] - 1
+        take = taken[before]
+        before, slots = before[take], slots[take]
         if len(before):
-            symbols = text[before]
-            rank, distinct, counts = _ranks_within(symbols)
-            target = head[symbols] + rank
+            order, symbols, rank = _in_runs(text[before], places)
+            target = free[symbols] + rank
             stop = int(target.min())
-            if stop < end:
-                kept = int(np.searchsorted(slots, stop))
-                before, target, end = before[:kept], target[:kept], stop
-                distinct, counts = np.unique(symbols[:kept], return_counts=True)
-            sa[target] = before
-            head[distinct] += counts
+            if stop < end:  # entries beyond the first slot that is written to are read again
+                early = order < slots.searchsorted(stop - at)
+                order, symbols, target, end = order[early], symbols[early], target[early], stop
+            rows[target] = before[order]
+            free[symbols] = target + 1  # of several the last one, which is the largest, stays
         size = max(64, min(1 << 18, 2 * (end - at)))
         at = end
+
+
+def _induce(text: np.ndarray, smaller: np.ndarray, sa: np.ndarray, heads: np.ndarray, tails: np.ndarray, places: np.ndarray) -> None:
+    """Puts larger suffixes in from the left and then smaller ones from the right. heads and tails: the first and last slot
+    of each symbol's bucket. Entries of -1 are empty."""
+    _spread(text, ~smaller, sa, heads, places, 1)
     # smaller suffixes are put in anew; those that were in only served the larger ones
     filled = np.flatnonzero(sa >= 0)
     old = filled[smaller[sa[filled]]]
-    old = old[sa[old] != n - 1]
+    old = old[sa[old] != len(sa) - 1]
     sa[old] = -1
-    tail, size, at = tails.copy(), 1024, n
-    while at > 0:
-        end = max(0, at - size)
-        slots = np.flatnonzero(sa[end:at] > 0)[::-1]
-        before = sa[end:at][slots] - 1
-        take = smaller[before]
-        before, slots = before[take], slots[take] + end
-        if len(before):
-            symbols = text[before]
-            rank, distinct, counts = _ranks_within(symbols)
-            target = tail[symbols] - rank
-            stop = int(target.max())
-            if stop >= end:
-                kept = int(np.searchsorted(-slots, -stop))
-                before, target, end = before[:kept], target[:kept], stop + 1
-                distinct, counts = np.unique(symbols[:kept], return_counts=True)
-            sa[target] = before
-            tail[distinct] -= counts
-        size = max(64, min(1 << 18, 2 * (at - end)))
-        at = end
+    _spread(text, smaller, sa, tails, places, -1)
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
@@ -83,6 +69,7 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     n = len(text)
     if n == 1:
         return np.zeros(1, np.int64)
+    places = np.arange(n)
     # smaller[i]: text[i:] < text[i + 1:]; where symbols are equal the next unequal pair to the right decides
     step = text[:-1] - text[1:]
     decider = np.where(step != 0, np.arange(n - 1), n)
@@ -93,16 +80,19 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     counts = np.bincount(text)
     tails = np.cumsum(counts) - 1
     heads = tails - counts + 1
+    if len(counts) <= 1 << 16:
+        text = text.astype(np.uint16)  # sorted by digits
 
     def placed(order: np.ndarray) -> np.ndarray:
         """An array with these positions at the ends of their buckets, in this order."""
         sa = np.full(n, -1, np.int64)
-        symbols = text[order][::-1]
-        sa[tails[symbols] - _ranks_within(symbols)[0]] = order[::-1]
+        back = order[::-1]
+        by, symbols, rank = _in_runs(text[back], places)
+        sa[tails[symbols] - rank] = back[by]
         return sa
 
     sa = placed(starts)
-    _induce(text, smaller, sa, heads, tails)
+    _induce(text, smaller, sa, heads, tails, places)
     is_start = np.zeros(n, bool)
     is_start[starts] = True
     ordered = sa[is_start[sa]]
@@ -126,7 +116,7 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
         name_of[ordered] = names
         ordered = starts[suffix_array(name_of[starts])]
     sa = placed(ordered)
-    _induce(text, smaller, sa, heads, tails)
+    _induce(text, smaller, sa, heads, tails, places)
     return sa
 
 

@@ -112,7 +112,7 @@ def test_words_against_brute_force(spark, most):
     texts += [base[: (at := rng.randrange(300))] + line(rng.randrange(3)) + base[at:] for _ in range(20)] + [["z"] * 60, base]
     seen = Counter(tuple(w[k : k + 51]) for w in texts for k in range(len(w) - 50))
     docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
-    lost = {r.doc_id: rp.merged([s.asDict() for s in r.spans], words=True) for r in rp.removals(docs, most, rp.UNITS[1:]).collect()}
+    lost = {r.doc_id: rp.merged([s.asDict() for s in r.spans if s.words]) for r in rp.removals(docs, most, rp.UNITS[1:]).collect()}
     counted = {r.doc_id: r.n_repeated_words for r in rp.remove_repeats(docs).collect()}
     for i, w in enumerate(texts):
         gone = {k + j for k in range(len(w) - 50) if seen[tuple(w[k : k + 51])] > 1 for j in range(51)}
