@@ -9,13 +9,15 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Rows of an Arrow batch that goes to Python; bounds a worker's memory when documents are long.
-BATCH_ROWS = 500
+#: Rows and bytes of an Arrow batch that goes to Python; bound a worker's memory when documents are long.
+BATCH_ROWS = 250
+BATCH_BYTES = 16 << 20
 
 
 def tune(spark: SparkSession) -> None:
     """Small Arrow batches, so that long documents don't pile up in a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -57,7 +57,7 @@ REPEAT = 400  # bytes that op1 compares
 WORDS = 51  # words in a row that the pipeline's stage removes, too, however short
 UNITS = (Unit(REPEAT, 128, False), Unit(WORDS, 8, True))  # the lowest bit of an anchor's hash is the unit's place in here
 CUT_AT_ONCE = 1 << 20  # symbols that are cut up together
-CODED_AT_ONCE = 1 << 22  # bytes of text whose words are hashed together, or one text
+CODED_AT_ONCE = 1 << 20  # bytes of text whose words are hashed together, or one text
 SHARD = 1_000_000  # symbols of pieces in a suffix array, or one anchor string's if those are more
 MOST_PIECES = 2_000  # different pieces of an anchor string from which it is split
 CORES = 8  # stretches of places of the anchor that have a core each

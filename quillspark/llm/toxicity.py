@@ -17,7 +17,6 @@ from string import punctuation
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from . import common
@@ -151,6 +150,12 @@ def fit(texts: list[str | None], toxic: list[int], grades: list[int] | None = No
     return model
 
 
+def fit_labelled(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> OrdinalModel:
+    """On a bounded sample of labelled documents."""
+    sample = common.labelled(docs, labels, "toxic", per_class)
+    return fit([t for t, _, _ in sample], [y for _, y, _ in sample], weights=[w for _, _, w in sample])
+
+
 def grade_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
     """All columns of docs, with toxic (1 where toxicity is at least as likely as not), p_toxic, severity (expected grade)
     and grade (the likeliest).
@@ -158,8 +163,7 @@ def grade_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLAS
     Null text counts as empty and has no features; a whole text is read. Rows without a doc_id and repeated rows are graded
     like any other; columns of docs with these names are replaced. Without labels of both kinds nothing is toxic.
     """
-    sample = common.labelled(docs, labels, "toxic", per_class)
-    model = fit([t for t, _, _ in sample], [y for _, y, _ in sample], weights=[w for _, _, w in sample])
+    model = fit_labelled(docs, labels, per_class)
     added = "toxic integer, p_toxic double, severity double, grade integer"
     names = [x.split()[0] for x in added.split(", ")]
     docs = docs.drop(*names)
@@ -196,5 +200,11 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     read whole.
     """
     common.tune(spark)
-    own = docs.select(F.col("doc_id"), F.col("text"), F.struct("*").alias("row"))
-    return grade_toxicity(own, common.table(spark, sf_dir, "labels")).where("toxic = 0").select("row.*")
+    model = fit_labelled(docs, common.table(spark, sf_dir, "labels"))
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.take(pa.array([k for k, t in enumerate(batch.column(at)) if model.above(t.as_py() or "")[0] < 0.5], pa.int64()))
+
+    return docs.mapInArrow(run, docs.schema)
