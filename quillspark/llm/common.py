@@ -51,15 +51,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 SHARES, SALTS = 1_000, 64
 FEW_ROWS = 2_000  # of a key, that one task may always have
+FEW_NARROW = 100_000  # the same of rows of a few numbers
 
 
-def join_hot(rows: DataFrame, keys: DataFrame, on: list[str], n_rows: int, how: str = "inner") -> DataFrame:
+def join_hot(rows: DataFrame, keys: DataFrame, on: list[str], n_rows: int, how: str = "inner", few: int = FEW_ROWS) -> DataFrame:
     """rows joined with keys, a row per key with times, the number of rows that have it, where one key may have any part of
-    the rows. Keys that have more than FEW_ROWS and 1 / SHARES of all n_rows, so fewer than SHARES of them, are broadcast to
+    the rows. Keys that have more than few rows and 1 / SHARES of all n_rows, so fewer than SHARES of them, are broadcast to
     deal their rows over SALTS tasks; a joined row doesn't carry times."""
-    if n_rows <= FEW_ROWS:
+    if n_rows <= few:
         return rows.join(keys.drop("times"), on, how)
-    least = max(FEW_ROWS, n_rows // SHARES)
+    least = max(few, n_rows // SHARES)
     hot = F.broadcast(keys.where(F.col("times") > least).select(*on, F.lit(True).alias("is_hot")))
     salt = F.when(F.col("is_hot"), F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS))).otherwise(F.lit(0).cast("long"))
     dealt = rows.join(hot, on, "left").withColumn("salt", salt).drop("is_hot")

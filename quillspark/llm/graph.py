@@ -19,12 +19,15 @@ def components(edges: DataFrame) -> DataFrame:
     labels = common.written(both.groupBy("a").agg(F.least("a", F.min("b")).alias("label"), F.count("*").alias("times")).withColumnRenamed("a", "node"), "labels")
     while True:
         said = labels.select(F.col("node").alias("b"), "label", "times")
-        heard = common.join_hot(both, said, ["b"], total).groupBy("a").agg(F.min("label").alias("near"))
+        heard = common.join_hot(both, said, ["b"], total, few=common.FEW_NARROW).groupBy("a").agg(F.min("label").alias("near"))
         near = labels.join(heard, labels["node"] == heard["a"]).select("node", "times", F.col("label").alias("old"), F.least("label", "near").alias("via"))
-        near = common.written(near, "near")
-        asked = near.groupBy("via").agg(F.count("*").alias("asked"))
-        known = asked.join(labels, asked["via"] == labels["node"]).select("via", F.col("label").alias("jump"), F.col("asked").alias("times"))
-        joined = common.join_hot(near.withColumnRenamed("times", "degree"), known, ["via"], near.count())
+        known = labels.select(F.col("node").alias("via"), F.col("label").alias("jump"))
+        if total <= common.FEW_NARROW:
+            joined = near.withColumnRenamed("times", "degree").join(known, "via")
+        else:  # many nodes may have one label
+            near = common.written(near, "near")
+            asked = near.groupBy("via").agg(F.count("*").alias("times"))
+            joined = common.join_hot(near.withColumnRenamed("times", "degree"), asked.join(known, "via"), ["via"], total, few=common.FEW_NARROW)
         new = common.written(joined.select("node", "old", F.least("via", "jump").alias("label"), F.col("degree").alias("times")), "labels")
         labels = new.select("node", "label", "times")
         if new.where("old != label").isEmpty():

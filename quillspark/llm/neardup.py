@@ -304,12 +304,12 @@ def linked(buckets: DataFrame, texts: DataFrame, alike: float) -> DataFrame | No
     if not total:
         return None
     size = common.written(buckets.groupBy("key").agg(F.count("*").alias("times")), "sizes")
-    popular = common.join_hot(buckets, size.withColumn("n", F.col("times")), ["key"], total).groupBy("node").agg(F.sum("n").alias("fame"))
+    popular = common.join_hot(buckets, size.withColumn("n", F.col("times")), ["key"], total, few=common.FEW_NARROW).groupBy("node").agg(F.sum("n").alias("fame"))
     rows = common.written(buckets.join(popular, "node"), "buckets")
     leaders = rows.groupBy("key").agg(F.max_by("node", F.struct("fame", "node")).alias("leader"), F.count("*").alias("times"))
     asked, edges, tested = rows.withColumn("label", F.col("node")), None, None
     for probe in range(PROBES + 1):
-        pairs = common.join_hot(asked.select("key", "node"), leaders, ["key"], total).where("node != leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
+        pairs = common.join_hot(asked.select("key", "node"), leaders, ["key"], total, few=common.FEW_NARROW).where("node != leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = common.written(pairs, "pairs")
@@ -322,17 +322,17 @@ def linked(buckets: DataFrame, texts: DataFrame, alike: float) -> DataFrame | No
         marked = rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         marked = common.written(marked, "marked")
         apart = marked.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("times")).where("low != high").select("key", "times")
-        marked = common.written(common.join_hot(marked, apart, ["key"], total, "left_semi"), "open")
+        marked = common.written(common.join_hot(marked, apart, ["key"], total, "left_semi", common.FEW_NARROW), "open")
         if marked.isEmpty():
             return labels
         rows = marked.drop("label")
         weight = marked.groupBy("key", "label").agg(F.count("*").alias("n"), F.max_by("node", F.struct(F.xxhash64("node", F.lit(probe)), "node")).alias("one"))
         main = common.written(weight.groupBy("key").agg(F.max_by(F.struct("label", "one"), F.struct("n", "label")).alias("main"), F.sum("n").alias("times")).select("key", F.col("main.label").alias("main"), F.col("main.one").alias("leader"), "times"), "main")
         leaders = main.select("key", "leader", "times")
-        asked = common.join_hot(marked, main.select("key", "main", "times"), ["key"], total).where("label != main").drop("main")
+        asked = common.join_hot(marked, main.select("key", "main", "times"), ["key"], total, few=common.FEW_NARROW).where("label != main").drop("main")
     # groups: the labels that buckets still tie together
     hubs = marked.groupBy("key").agg(F.min("label").alias("hub"), F.count("*").alias("times"))
-    ties = common.join_hot(marked, hubs, ["key"], total).where("label != hub").select(F.col("label").alias("a"), F.col("hub").alias("b")).distinct()
+    ties = common.join_hot(marked, hubs, ["key"], total, few=common.FEW_NARROW).where("label != hub").select(F.col("label").alias("a"), F.col("hub").alias("b")).distinct()
     groups = components(ties).withColumnRenamed("node", "tied")
     asking = asked.select("node", F.lit(True).alias("asks")).distinct()
     query_set = marked.select("node", "label").distinct().join(asking, "node", "left").join(groups.select("tied", F.col("label").alias("group")), F.col("label") == F.col("tied")).drop("tied")
@@ -353,7 +353,7 @@ def classes(docs: DataFrame, alike: float = ALIKE) -> DataFrame:
     reps = rows.where("keys is not null").groupBy("node").agg(F.min("doc_id").alias("first"), F.first("keys").alias("keys"))
     keyed = common.written(reps.select("node", F.explode("keys").alias("key")), "keys")
     shared = keyed.groupBy("key").agg(F.count("*").alias("times")).where("times > 1")
-    buckets = common.written(common.join_hot(keyed, shared, ["key"], keyed.count(), "left_semi"), "candidates")
+    buckets = common.written(common.join_hot(keyed, shared, ["key"], keyed.count(), "left_semi", common.FEW_NARROW), "candidates")
     # one text per candidate; rows repeated in full would only repeat comparisons
     wanted = reps.select("node", F.col("first").alias("doc_id")).join(buckets.select("node").distinct(), "node", "left_semi")
     own = docs.select(node(F.coalesce("text", F.lit(""))).alias("node"), F.col("doc_id").cast("long").alias("own"), "text")
@@ -364,8 +364,8 @@ def classes(docs: DataFrame, alike: float = ALIKE) -> DataFrame:
     if labels is not None:
         ids = common.written(ids.drop("label").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "joined")
         least = ids.groupBy("label").agg(F.min("first").alias("class_id"), F.count("*").alias("times"))
-        ids = common.join_hot(ids.withColumnRenamed("times", "copies"), least, ["label"], ids.count()).select("node", F.col("class_id").alias("first"), "label", F.col("copies").alias("times"))
-    with_class = common.join_hot(rows.where("keys is not null").select("doc_id", "node"), ids, ["node"], rows.count()).select("doc_id", "node", F.col("first").alias("class_id"), "label")
+        ids = common.join_hot(ids.withColumnRenamed("times", "copies"), least, ["label"], ids.count(), few=common.FEW_NARROW).select("node", F.col("class_id").alias("first"), "label", F.col("copies").alias("times"))
+    with_class = common.join_hot(rows.where("keys is not null").select("doc_id", "node"), ids, ["node"], rows.count(), few=common.FEW_NARROW).select("doc_id", "node", F.col("first").alias("class_id"), "label")
     return with_class.unionByName(rows.where("keys is null").select("doc_id", "node", F.col("doc_id").alias("class_id"), F.lit(None).cast("binary").alias("label")))
 
 

@@ -118,7 +118,9 @@ def test_empty(spark):
     assert nd.classes(docs).count() == 0 and nd.stage(spark, docs, "").count() == 0
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [0, 100_000])
+def test_components(spark, monkeypatch, few):
+    monkeypatch.setattr(nd.common, "FEW_NARROW", few)
     rng = random.Random(8)
     edges = [(k, k + 1) for k in range(40)] + [(100, 100 + k) for k in range(1, 30)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(25)]
     parent = {}
