@@ -1,7 +1,8 @@
 """The named queries of the engine over the provided tables, and their SQL where SQL can express them.
 
 Documents stand for writing samples: source is the writer, doc_id the order in time, lang the genre, and each source's last
-document the piece; texts that need an edit log get a derived one (operators.replay.log_of). Rates are rounded to six places.
+document the piece; an English passage is appended to each text (essays); texts that need an edit log get a derived one
+(operators.replay.log_of). Rates are rounded to six places.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import oracle
+from .essays import with_passage
 from .functions import text as tx
 from .functions.lexicon import ADVANCED_VERBS, BASIC_VERBS
 from .operators import discourse, process, replay, style
@@ -29,10 +31,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def plain_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
 
 
+def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents, each with an English passage after its text."""
+    return plain_docs(spark, sf_dir).withColumn("text", with_passage(F.col("text"), F.col("doc_id")))
+
+
 def _value(name: str) -> list:
     return ["doc_id", F.round(name, 6).alias("value")]
 
@@ -79,10 +86,16 @@ def _flow(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", F.explode("_flow").alias("p"), "typical_chain", "ends").select("doc_id", "p.index", "p.role", discourse.pattern(F.col("p.sequence")).alias("pattern"), "p.distinct", "typical_chain", "ends")
 
 
+def with_last(rows: DataFrame, spark: SparkSession, d: str) -> DataFrame:
+    """rows with last, the greatest doc_id of the source: an aggregate joined back, so that no writer's texts meet in a task."""
+    last = table(spark, d, "documents").groupBy(F.col("source").alias("_writer")).agg(F.max("doc_id").alias("last"))
+    return rows.join(last, F.col("source").eqNullSafe(F.col("_writer"))).drop("_writer")
+
+
 def _writers(spark: SparkSession, d: str) -> DataFrame:
     """Documents as samples of writers, with their mean sentence length."""
-    rows = style.of_texts(docs(spark, d), only=["meanSentenceLength"])
-    last = F.max("doc_id").over(Window.partitionBy("source"))
+    rows = with_last(style.of_texts(docs(spark, d), only=["meanSentenceLength"]), spark, d)
+    last = F.col("last")
     none = lambda t: F.lit(None).cast(t)
     return rows.select(
         F.col("doc_id").alias("sample_id"), F.col("source").alias("writer_id"), F.when(F.col("doc_id") == last, "current").otherwise("baseline").alias("role"), none("boolean").alias("include"), none("boolean").alias("authentic"),
@@ -118,15 +131,15 @@ def _verb_counts(spark: SparkSession, d: str) -> DataFrame:
 
 def _first_seen(spark: SparkSession, d: str) -> DataFrame:
     """Long words of a writer's last document that no earlier one has: an anti join on writer and word."""
-    rows = tx.documented(docs(spark, d)).withColumn("last", F.max("doc_id").over(Window.partitionBy("source"))).select("source", "doc_id", "last", F.explode(F.array_distinct("_words")).alias("word"))
+    rows = with_last(tx.documented(docs(spark, d)), spark, d).select("source", "doc_id", "last", F.explode(F.array_distinct("_words")).alias("word"))
     new, old = rows.where("doc_id = last and length(word) >= 8").select("source", "word").distinct(), rows.where("doc_id < last").select("source", "word").distinct()
     return new.join(old, ["source", "word"], "left_anti").groupBy("source").agg(F.count("*").alias("n_new"))
 
 
 def analysed(spark: SparkSession, d: str) -> analysis.Result:
     """The whole analysis of the documents, without process data."""
-    last = F.max("doc_id").over(Window.partitionBy("source"))
-    rows = docs(spark, d).select(F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("sample_id"), F.col("source").alias("writer_id"), F.when(F.col("doc_id") == last, "current").otherwise("baseline").alias("role"), F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("ts"), F.col("lang").alias("genre"), "text")
+    last = F.col("last")
+    rows = with_last(docs(spark, d), spark, d).select(F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("sample_id"), F.col("source").alias("writer_id"), F.when(F.col("doc_id") == last, "current").otherwise("baseline").alias("role"), F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("ts"), F.col("lang").alias("genre"), "text")
     return analysis.analyze(stored(analysis.featured(rows), "features"))
 
 
@@ -184,7 +197,7 @@ def _ev_growth(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _replayed(spark: SparkSession, d: str) -> DataFrame:
-    return replay.replayed(replay.normalized(replay.log_of(docs(spark, d)))[0])
+    return replay.replayed(replay.normalized(replay.log_of(plain_docs(spark, d)))[0])
 
 
 def _roundtrip(spark: SparkSession, d: str) -> DataFrame:
@@ -237,8 +250,8 @@ QUERIES: dict[str, Query] = {
     **{f"process_{f.id}": _process(f.id) for f in PROCESS},
     "activity_segments": lambda spark, d: process.activity_segments(_replayed(spark, d)),
     "draft_growth": lambda spark, d: process.growth(_replayed(spark, d)),
-    "log_sessions": lambda spark, d: live.sessions(replay.log_of(docs(spark, d)).withColumn("source", F.col("source").cast("int"))),
-    "merged_keystrokes": lambda spark, d: live.merged_keystrokes(replay.log_of(docs(spark, d))),
+    "log_sessions": lambda spark, d: live.sessions(replay.log_of(plain_docs(spark, d)).withColumn("source", F.col("source").cast("int"))),
+    "merged_keystrokes": lambda spark, d: live.merged_keystrokes(replay.log_of(plain_docs(spark, d))),
 }
 
 ORACLE_SQL: dict[str, str] = {

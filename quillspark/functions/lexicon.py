@@ -93,7 +93,16 @@ EVERYDAY = (
     "everything example eye face family far father feel few find first follow food for friend from full further future general get give go good great group "
     "grow had half hand happen has have he head hear help her here himself home house however hundred idea important into itself just keep kind know large "
     "last later learn least leave less let letter life light like little live long look made make many maybe me mean measure might minute moment money more "
-    "morning most mother mountain move much must name nature never next night nothing"
+    "morning most mother mountain move much must name nature never next night nothing "
+    "notice number object often once only open other our out outside over own paper parent part party pass past people perhaps person picture piece place plan "
+    "plant play point poor possible power practice present pretty probably problem produce provide public question quickly quiet quite rather reach read ready "
+    "real really reason receive remember rest result return right river road room round rule run said same school science season second secret seem sentence "
+    "several shall short should show side simple since sister sit small social some somebody someone something sometimes somewhere soon sound speak special "
+    "stand start state stay still stop story strange street strong student study such suddenly summer sure surprise system table take teacher tell than that "
+    "their themselves then there therefore these they thing think third this those though thought thousand three through throughout time today together tomorrow "
+    "tonight toward towards town travel tree trouble true trust try turn under understand until upon use useful usually very village visit voice wait walk want "
+    "warm watch water weather week welcome well were what whatever when whenever where whether which while white whole whose winter with within without woman "
+    "wonder wonderful word work world worry would write wrong yard year yellow yes yesterday yet you young your yourself zero"
 ).split()
 ACADEMIC = (
     "abstract academic accurate acquire adapt adequate adjust allocate alter analyse analysis analyze approach arbitrary aspect assess assume authority "
@@ -102,7 +111,13 @@ ACADEMIC = (
     "discourse distinct diverse dynamic element emerge emphasis empirical enable entity equate establish estimate evaluate evidence evolve explicit exploit "
     "facilitate factor finite focus formulate framework function fundamental generate hierarchy hypothesis identify ideology illustrate impact implement "
     "implicit imply impose index infer inherent innovate insight institution integral interpret intervene intrinsic invoke isolate layer logic mechanism "
-    "mediate method minimal modify motive narrative norm notion obtain orient paradigm parameter perceive perspective phase phenomenon policy"
+    "mediate method minimal modify motive narrative norm notion obtain orient paradigm parameter perceive perspective phase phenomenon policy "
+    "portion posit precede precise predominant premise presume principle prior process prohibit proportion psychology publish pursue qualitative quantify radical "
+    "random range ratio rational react refine regime region regulate reinforce reject relevant rely require research resolve respond restrict reveal revise role "
+    "scenario scheme scope section sector secure seek select sequence series shift significant similar simulate sociology sole source specific specify stable "
+    "statistic status stimulate strategy stress structure subordinate subsequent substitute sufficient sum summarize supplement survey sustain symbol synthesis "
+    "tension terminate text theme theory thereby thesis trace tradition transform transition transmit trend trigger ultimate undergo underlie undertake uniform "
+    "unify unique utilize valid variable vary verify version via violate virtual visible vision vital volume voluntary whereas whereby widespread yield"
 ).split()
 
 

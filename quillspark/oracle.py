@@ -5,6 +5,7 @@ RE2 has ASCII word boundaries, as the patterns mean them; it has no look-around,
 
 from __future__ import annotations
 
+from . import essays
 from .functions import lexicon as lx
 from .functions.patterns import re2
 from .operators.discourse import TECHNIQUE
@@ -14,7 +15,7 @@ LEX = lx.Lexicon()
 _SP = "' ' || chr(9) || chr(13)"
 
 BASE = f"""
-t as (select doc_id, source, lang, coalesce(text, '') as t from documents),
+t as (select doc_id, source, lang, {essays.sql()} as t from documents),
 w as (select doc_id, source, lang, t, list_transform(regexp_extract_all(t, '{W}'), lambda x: lower(x)) as w from t),
 b as (select *, len(w) as n from w),
 p as (select doc_id, list_filter(list_transform(string_split(t, chr(10)), lambda x: trim(x, {_SP})), lambda x: x <> '') as ps from t),
@@ -75,7 +76,7 @@ _LY = f"((ends_with(x, 'ly') and length(x) > 4 and not list_contains({listed(lx.
 _TRI = "list_transform(range(1, greatest(n - 1, 1)), lambda j: w[j] || ' ' || w[j + 1] || ' ' || w[j + 2])"
 #: Over b: t, w (lower-case words), n.
 TEXT = {
-    "mattr": "case when n <= 50 then len(list_distinct(w)) * 1.0 / n else list_avg(list_transform(range(1, n - 48), lambda j: len(list_distinct(w[j:j + 49])) / 50.0)) end",
+    "mattr": "case when n <= 50 then len(list_distinct(w)) * 1.0 / n else cast(list_sum(list_transform(range(1, n - 48), lambda j: len(list_distinct(w[j:j + 49])))) as double) / (50 * (n - 49)) end",
     "ttr300": "len(list_distinct(w[1:300])) * 1.0 / least(n, 300)",
     "abstractNounRate": per(n_re(lx.ABSTRACT, False), 100), "modifierDensity": per(f"len(list_filter(w, lambda x: {_LY}))", 100),
     "advancedVerbShare": f"case when {n_in(lx.BASIC_VERBS)} + {n_in(lx.ADVANCED_VERBS)} >= 2 then {n_in(lx.ADVANCED_VERBS)} * 100.0 / ({n_in(lx.BASIC_VERBS)} + {n_in(lx.ADVANCED_VERBS)}) end",

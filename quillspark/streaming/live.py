@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..functions.text import count_words
+from ..functions.text import count_words, settled
 from ..operators.replay import TEXT_EVENTS, Document, Event
 
 EVENT = "sample_id string, source int, t long, type string, pos int, length int, text string"
@@ -86,22 +86,31 @@ def live_replay(events: DataFrame, idle: str = "1 hour") -> DataFrame:
 
 def merged_keystrokes(events: DataFrame) -> DataFrame:
     """Captured events with keystrokes that follow each other merged: insertions that continue each other, and deletions that
-    go on at the same place or just before, each within two seconds; an insertion grows to sixty characters. Runs that could
-    merge are islands; within one the length decides, so a running total of it is cut at multiples."""
+    go on at the same place or just before, each within two seconds; an insertion takes more while it is shorter than sixty
+    characters. Runs that could merge are islands; a fold over an island's lengths starts a new event where one is full."""
     w = Window.partitionBy("sample_id").orderBy("t", "source")
     lag = lambda c: F.lag(c).over(w)
     near = F.col("t") - lag("t") < MERGE_MS
     typed = (F.col("type") == "insert") & (lag("type") == "insert") & (F.col("pos") == lag("pos") + F.length(lag("text")))
     erased = (F.col("type") == "delete") & (lag("type") == "delete") & ((F.col("pos") + F.col("length") == lag("pos")) | (F.col("pos") == lag("pos")))
     rows = events.withColumn("_new", (~F.coalesce(near & (typed | erased), F.lit(False))).cast("int")).withColumn("_run", F.sum("_new").over(w))
-    run = Window.partitionBy("sample_id", "_run").orderBy("t", "source")
-    # an insertion takes more while it is shorter than sixty; what came before each part decides
-    before = F.coalesce(F.sum(F.length("text")).over(run.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rows = rows.withColumn("_part", F.when(F.col("type") == "insert", F.floor(before / MERGE_LENGTH)).otherwise(0))
-    first = F.struct("t", "source")
-    found = rows.groupBy("sample_id", "_run", "_part").agg(
-        F.max("t").alias("t"), F.min("source").alias("source"), F.first("type").alias("type"), F.min("pos").alias("low"), F.min_by("pos", first).alias("start"), F.sum("length").alias("length"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("t", "source", "text"))), lambda x: x["text"]), "").alias("joined"), F.count("text").alias("texts"),
+    events = F.array_sort(F.collect_list(F.struct("t", "source", "type", "pos", "length", "text")))
+    runs = settled(rows.groupBy("sample_id", "_run").agg(events.alias("_ev")), {"_ev": F.col("_ev")})
+    added = lambda e: F.when(e["type"] == "insert", F.coalesce(F.length(e["text"]), F.lit(0))).otherwise(0)
+    begin = F.struct(F.array().cast("array<int>").alias("cuts"), F.lit(MERGE_LENGTH).alias("long"), F.lit(0).alias("k"))
+
+    def step(acc, e):
+        full = (acc["long"] >= MERGE_LENGTH) & ((acc["k"] == 0) | (e["type"] == "insert"))
+        cuts = F.when(full, F.concat(acc["cuts"], F.array(acc["k"]))).otherwise(acc["cuts"])
+        return F.struct(cuts.alias("cuts"), (F.when(full, 0).otherwise(acc["long"]) + added(e)).alias("long"), (acc["k"] + 1).alias("k"))
+
+    cut = settled(runs, {"_cuts": F.aggregate("_ev", begin, step)["cuts"]})
+    each = cut.select("sample_id", "_ev", "_cuts", F.posexplode("_cuts").alias("_j", "_from"))
+    upto = F.coalesce(F.get("_cuts", F.col("_j") + 1), F.size("_ev"))
+    each = settled(each.select("sample_id", F.slice("_ev", F.col("_from") + 1, upto - F.col("_from")).alias("_e")), {"_e": F.col("_e")})
+    one, texts = F.get("_e", 0), F.filter(F.transform("_e", lambda e: e["text"]), lambda x: x.isNotNull())
+    low, total = F.array_min(F.transform("_e", lambda e: e["pos"])), F.aggregate("_e", F.lit(0), lambda a, e: a + F.coalesce(e["length"], F.lit(0)))
+    return each.select(
+        "sample_id", one["source"].alias("source"), F.array_max(F.transform("_e", lambda e: e["t"])).alias("t"), one["type"].alias("type"), F.when(one["type"] == "delete", low).otherwise(one["pos"]).alias("pos"),
+        F.when(F.exists("_e", lambda e: e["length"].isNotNull()), total).cast("int").alias("length"), F.when(F.size(texts) > 0, F.array_join(texts, "")).alias("text"),
     )
-    pos = F.when(F.col("type") == "delete", F.col("low")).otherwise(F.col("start"))
-    return found.select("sample_id", "source", "t", "type", pos.alias("pos"), F.col("length").cast("int").alias("length"), F.when(F.col("texts") > 0, F.col("joined")).alias("text"))

@@ -2,6 +2,7 @@ import re
 
 import pytest
 
+from quillspark.functions import lexicon as lx
 from quillspark.functions import text as tx
 from quillspark.functions.patterns import java
 from pyspark.sql import functions as F
@@ -64,3 +65,9 @@ def test_stem(spark, a, b):
 def test_patterns_have_ascii_boundaries_and_wide_space(spark):
     f = lambda s, p: spark.range(1).select(F.lit(s).rlike(java(p))).first()[0]
     assert f("onè", r"\bon\b") and f("a\u00a0b", r"a\sb") and not f("a\n", r"a$") and f("x]y", r"[\]]")
+
+
+def test_long_lists_cover_the_alphabet():
+    for words in (lx.EVERYDAY, lx.ACADEMIC):
+        assert words == sorted(words) and len(words) == len(set(words)) > 200
+        assert {w[0] for w in words} >= set("abcdefghilmnoprstuvwy")

@@ -37,6 +37,21 @@ def test_report_layouts():
     assert table["metrics"] == {"writingMinutes": 72, "sessions": 3, "edits": 1284, "pasteCount": 2} and table["tool"] == "Draftback"
 
 
+def test_durations_and_dates():
+    for text, expected in (("2 hours and 5 min", 125), ("1.5 h", 90), ("10m 30s", 10.5), ("45 sec", 0.75), ("1:02:30", 62.5), ("a day", None), ("3 h, then 20 min", 180)):
+        assert rs.minutes(text) == expected, text
+    at = lambda line, last=None: (s := rs.find_stamp(line, last)) and (s.day, s.timed, s.t and s.t // 60_000 % 1440)
+    assert at("on March 3rd, 2024 at 1:05 pm") == ((2024, 3, 3), True, 785) and at("3 Sept 2024") == ((2024, 9, 3), False, 0)
+    assert at("2024-02-30T10:00") == ((2024, 2, 30), False, None) and at("25/12/24 12:30 AM") == ((2024, 12, 25), True, 30)
+    assert at("13/14/2024") is None and at("9:15 am", (2024, 1, 2)) == ((2024, 1, 2), True, 555) and at("ratio 9:15", (2024, 1, 2)) is None
+
+
+def test_figures_by_line_and_reversed():
+    figures = lambda *lines: rs.parse_report("\n".join(lines))["metrics"]
+    assert figures("Word count", "1,204") == {"totalWords": 1204} and figures("Edits: 85%") == {}
+    assert figures("There were 4 pastes", "and 3 sessions") == {"pasteCount": 4, "sessions": 3}
+
+
 def test_locate():
     text = "First. “The Island changes the boys, because nobody came.” Last."
     a, b = rs.locate(text, '"the island changes the boys because nobody came at all"')

@@ -57,3 +57,6 @@ def test_keystrokes_merge(spark):
     long = [("b", k, k * 10, "insert", k, None, "x") for k in range(130)]
     parts = live.merged_keystrokes(spark.createDataFrame(long, live.EVENT)).orderBy("pos").collect()
     assert [len(r.text) for r in parts] == [60, 60, 10] and [r.pos for r in parts] == [0, 60, 120]
+    chunks = [("c", k, k * 10, "insert", 40 * k, None, "y" * 40) for k in range(5)] + [("c", 9, 60, "delete", 199, 1, None)]
+    parts = live.merged_keystrokes(spark.createDataFrame(chunks, live.EVENT)).orderBy("t", "source").collect()
+    assert [(r.type, r.pos, len(r.text or ""), r.length) for r in parts] == [("insert", 0, 80, None), ("insert", 80, 80, None), ("insert", 160, 40, None), ("delete", 199, 0, 1)]
