@@ -53,35 +53,39 @@ def _discourse(name: str) -> Query:
 
 
 def _documented(columns: Callable[[], list]) -> Query:
-    return lambda spark, d: tx.documented(docs(spark, d)).select("doc_id", *columns())
+    def run(spark, d):
+        made = columns()
+        return tx.documented(docs(spark, d), only=tx.names_in(made)).select("doc_id", *made)
+
+    return run
 
 
 def _distinct_words(column: str, make) -> Query:
     def run(spark, d):
-        words = tx.documented(docs(spark, d)).select(F.explode("_words").alias("word")).distinct()
+        words = tx.documented(docs(spark, d), only=["_words"]).select(F.explode("_words").alias("word")).distinct()
         return words.select("word", make(F.col("word")).alias(column))
 
     return run
 
 
 def _sentences(spark: SparkSession, d: str) -> DataFrame:
-    rows = tx.documented(docs(spark, d)).withColumn("l", F.transform("_sents", lambda s: F.size(s["w"]))).where(F.size("l") > 0)
+    rows = tx.documented(docs(spark, d), only=["_sents"]).withColumn("l", F.transform("_sents", lambda s: F.size(s["w"]))).where(F.size("l") > 0)
     return rows.select("doc_id", F.size("l").cast("long").alias("n_sentences"), F.array_max("l").cast("long").alias("longest"))
 
 
 def _p90(spark: SparkSession, d: str) -> DataFrame:
-    rows = tx.documented(docs(spark, d)).withColumn("l", F.array_sort(F.transform("_sents", lambda s: F.size(s["w"]))))
+    rows = tx.documented(docs(spark, d), only=["_sents"]).withColumn("l", F.array_sort(F.transform("_sents", lambda s: F.size(s["w"]))))
     n = F.size("l")
     return rows.where(n >= 10).select("doc_id", F.get("l", F.least(n - 1, F.floor(n * 0.9).cast("int"))).cast("long").alias("p90"))
 
 
 def _moves(spark: SparkSession, d: str) -> DataFrame:
-    rows = discourse.moves(tx.documented(docs(spark, d))).select("doc_id", F.explode("_moves").alias("s"))
+    rows = discourse.moved(docs(spark, d), ["_moves"]).select("doc_id", F.explode("_moves").alias("s"))
     return rows.groupBy("doc_id", F.col("s.p").cast("long").alias("paragraph"), F.col("s.move").alias("move"), F.col("s.level").alias("level")).agg(F.count("*").alias("n"))
 
 
 def _flow(spark: SparkSession, d: str) -> DataFrame:
-    rows = discourse.moves(tx.documented(docs(spark, d)))
+    rows = discourse.moved(docs(spark, d), ["_flow", "_chains"])
     rows = rows.withColumns({"typical_chain": discourse.typical_chain(F.col("_chains")), "ends": discourse.conclusion_strategy(F.col("_flow"))})
     return rows.select("doc_id", F.explode("_flow").alias("p"), "typical_chain", "ends").select("doc_id", "p.index", "p.role", discourse.pattern(F.col("p.sequence")).alias("pattern"), "p.distinct", "typical_chain", "ends")
 
@@ -125,13 +129,13 @@ def _deviation(pairs: DataFrame, current: DataFrame) -> DataFrame:
 
 
 def _verb_counts(spark: SparkSession, d: str) -> DataFrame:
-    words = tx.documented(docs(spark, d)).select("source", F.explode("_words").alias("verb"))
+    words = tx.documented(docs(spark, d), only=["_words"]).select("source", F.explode("_words").alias("verb"))
     return words.where(F.col("verb").isin(*BASIC_VERBS, *ADVANCED_VERBS)).groupBy("source", "verb").agg(F.count("*").alias("n"))
 
 
 def _first_seen(spark: SparkSession, d: str) -> DataFrame:
     """Long words of a writer's last document that no earlier one has: an anti join on writer and word."""
-    rows = with_last(tx.documented(docs(spark, d)), spark, d).select("source", "doc_id", "last", F.explode(F.array_distinct("_words")).alias("word"))
+    rows = with_last(tx.documented(docs(spark, d), only=["_words"]), spark, d).select("source", "doc_id", "last", F.explode(F.array_distinct("_words")).alias("word"))
     new, old = rows.where("doc_id = last and length(word) >= 8").select("source", "word").distinct(), rows.where("doc_id < last").select("source", "word").distinct()
     return new.join(old, ["source", "word"], "left_anti").groupBy("source").agg(F.count("*").alias("n_new"))
 

@@ -9,6 +9,11 @@ those of matched quotations (straight and curly ones), ASKED for a question mark
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable, Iterable
+from functools import wraps
+
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -107,23 +112,76 @@ def settled(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     return df.select(*kept, F.inline(F.array(F.struct(*[c.alias(k) for k, c in columns.items()]))))
 
 
-def documented(df: DataFrame, text: str = "text", taught: str | None = None) -> DataFrame:
-    """df with the structure of its texts (null: empty):
+Levels = list[dict[str, Column]]
+
+
+def made_once(make: Callable) -> Callable:
+    """make() with its results kept for as long as the JVM is the same: large sets of columns take seconds to put together."""
+    kept: dict = {}
+
+    @wraps(make)
+    def get(*args):
+        jvm = SparkContext._jvm
+        if args not in kept or kept[args][0] is not jvm:
+            kept[args] = (jvm, make(*args))
+        return kept[args][1]
+
+    return get
+
+
+_REFERRED = re.compile(r"(?<![A-Za-z0-9])_[a-z]+")
+
+
+def names_in(columns: Iterable[Column]) -> set[str]:
+    """The columns of structure (underscored names) that columns refer to; perhaps some more."""
+    return {n for c in columns for n in _REFERRED.findall(repr(c))}
+
+
+def pruned(levels: Levels, wanted: Iterable[str]) -> tuple[Levels, set[str]]:
+    """Of levels, each made of the ones before, what the wanted columns need, and what those need from before the levels.
+    The optimizer can't see through the generators that settle them."""
+    needed, kept = set(wanted), []
+    for level in reversed(levels):
+        some = {k: c for k, c in level.items() if k in needed}
+        needed = (needed - set(level)) | names_in(some.values())
+        kept.append(some)
+    return kept[::-1], needed
+
+
+def built(df: DataFrame, levels: Levels) -> DataFrame:
+    for level in levels:
+        df = settled(df, level) if level else df
+    return df
+
+
+#: What documented() adds.
+STRUCTURE = ("_t", "_words", "_n", "_gaps", "_quotes", "_paras", "_sents", "_taught", "_vocab")
+
+
+def documented(df: DataFrame, text: str = "text", taught: str | None = None, only: Iterable[str] = STRUCTURE) -> DataFrame:
+    """df with the structure of its texts (null: empty), or with those columns of it that are in only:
 
     _words (lower case), _n (their number), _gaps and _quotes (the text around and in quotations), _paras (marked),
     _sents (array of t marked text, p paragraph from 0, i place in it from 0, m sentences of it, w lower-case words),
     _taught, and _vocab (words outside quotations that are neither names nor taught).
     """
+    return built(df, pruned(_structure(text, taught), only)[0]).drop("_nested", "_hollow")
+
+
+@made_once
+def _structure(text: str, taught: str | None) -> Levels:
     t = F.coalesce(F.col(text), F.lit(""))
     terms = taught_terms(F.col(taught)) if taught else F.array().cast("array<string>")
-    df = settled(df, {"_t": t, "_taught": terms, "_gaps": F.split(t, java(lx.QUOTE), -1), "_quotes": matches(t, lx.QUOTE), "_words": F.transform(words(t), F.lower)})
     pairs = F.zip_with("_gaps", "_quotes", lambda g, q: F.concat(F.coalesce(g, F.lit("")), F.coalesce(_marked_quote(q), F.lit(""))))
     hollow = F.zip_with("_gaps", "_quotes", lambda g, q: F.concat(F.coalesce(g, F.lit("")), F.when(q.isNotNull(), F.lit('""')).otherwise("")))
-    df = settled(df, {"_n": F.size("_words"), "_paras": paragraphs(F.array_join(pairs, "")), "_hollow": F.array_join(hollow, "")})
     nested = F.transform("_paras", lambda p, k: F.struct(k.alias("p"), sentences(p).alias("s")))
-    df = settled(df, {"_nested": nested})
     flat = F.flatten(F.transform("_nested", lambda x: F.transform(x["s"], lambda s, k: F.struct(s.alias("t"), x["p"].alias("p"), k.alias("i"), F.size(x["s"]).alias("m"), F.transform(words(s), F.lower).alias("w")))))
     seen = F.filter(matches(F.col("_hollow"), VOCABULARY, 1), lambda w: w != "")
     vocab = F.filter(seen, lambda w: ~(F.array_contains("_taught", F.lower(w)) | F.array_contains("_taught", stem(w))))
     plain = F.when(F.size("_taught") == 0, seen).otherwise(vocab)
-    return settled(df, {"_sents": flat, "_vocab": plain}).drop("_nested", "_hollow")
+    return [
+        {"_t": t, "_taught": terms, "_gaps": F.split(t, java(lx.QUOTE), -1), "_quotes": matches(t, lx.QUOTE), "_words": F.transform(words(t), F.lower)},
+        {"_n": F.size("_words"), "_paras": paragraphs(F.array_join(pairs, "")), "_hollow": F.array_join(hollow, "")},
+        {"_nested": nested},
+        {"_sents": flat, "_vocab": plain},
+    ]

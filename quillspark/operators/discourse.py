@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as lx
 from ..functions.patterns import count, has
-from ..functions.text import QUOTED, content_words, documented, jaccard, settled, space_parts, unmarked
+from ..functions.text import QUOTED, Levels, built, content_words, documented, jaccard, made_once, names_in, pruned, space_parts, unmarked
 from .features import DISCOURSE
 from .style import counted, mean
 
@@ -82,25 +84,41 @@ def _chain(s: Column, k: Column) -> Column:
     return F.array_compact(F.array(*found))
 
 
-def moves(docs: DataFrame) -> DataFrame:
-    """docs, on which documented() was called, with _moves (array of move, level, t, p, i, tags, technique, quote, citation),
-    _flow (per paragraph its role, run of moves and number of distinct ones) and _chains (steps after each evidence)."""
-    docs = settled(docs, {"_moves": F.transform("_sents", _observed)})
-    docs = settled(docs, {"_moves": F.transform("_moves", _tagged)})
-    docs = settled(docs, {"_moves": F.transform("_moves", _moved)})
-    docs = settled(docs, {"_byp": F.transform("_paras", lambda _, p: F.transform(F.filter("_moves", lambda s: s["p"] == p), lambda s: s["move"]))})
+@made_once
+def _move_levels() -> Levels:
     paras = F.size("_paras")
     role = lambda p: F.when((paras >= 3) & (p == 0), "introduction").when((paras >= 3) & (p == paras - 1), "conclusion").otherwise("body")
     run = lambda m: F.filter(m, lambda x, k: (k == 0) | (x != F.coalesce(F.get(m, k - 1), F.lit(""))))
     flow = F.transform("_byp", lambda m, p: F.struct(p.alias("index"), role(p).alias("role"), run(m).alias("sequence"), F.size(F.array_distinct(m)).alias("distinct")))
     marked = F.transform("_moves", lambda s, k: F.when(s["move"] == "evidence", _chain(s, k)))
-    return settled(docs, {"_flow": flow, "_chains": F.filter(marked, lambda c: c.isNotNull())}).drop("_byp")
+    return [
+        {"_moves": F.transform("_sents", _observed)},
+        {"_moves": F.transform("_moves", _tagged)},
+        {"_moves": F.transform("_moves", _moved)},
+        {"_byp": F.transform("_paras", lambda _, p: F.transform(F.filter("_moves", lambda s: s["p"] == p), lambda s: s["move"]))},
+        {"_flow": flow, "_chains": F.filter(marked, lambda c: c.isNotNull())},
+    ]
+
+
+MADE = ("_moves", "_flow", "_chains")
+
+
+def moves(docs: DataFrame, only: Iterable[str] = MADE) -> DataFrame:
+    """docs, on which documented() was called, with _moves (array of move, level, t, p, i, tags, technique, quote, citation),
+    _flow (per paragraph its role, run of moves and number of distinct ones) and _chains (steps after each evidence)."""
+    return built(docs, pruned(_move_levels(), only)[0]).drop("_byp")
+
+
+def moved(df: DataFrame, only: Iterable[str] = MADE) -> DataFrame:
+    """df with those of the columns of moves() that are in only, of its column text."""
+    return moves(documented(df, only=pruned(_move_levels(), only)[1]), only)
 
 
 def _same(x: Column, others: Column, k: Column) -> Column:
     return F.exists(F.transform(others, lambda o, j: (j != k) & (jaccard(x, o) >= SAME_CLAIM)), lambda b: b)
 
 
+@made_once
 def _columns() -> dict[str, Column]:
     s, n, flow, chains = F.col("_moves"), F.size("_moves"), F.col("_flow"), F.col("_chains")
     number = lambda *m: counted(s, lambda x: x["move"].isin(*m)).cast("double")
@@ -142,13 +160,19 @@ def _columns() -> dict[str, Column]:
     }
 
 
-def discourse_features(docs: DataFrame, only: list[str] | None = None) -> DataFrame:
-    """docs, on which moves() was called, with a column for each feature (or for those in only)."""
+def _chosen(only: list[str] | None) -> tuple[dict[str, Column], Levels, set[str]]:
+    """The columns of features, the levels that they need, and what those need of moves and structure."""
     thesis = F.get(F.filter("_moves", lambda x: x["move"] == "thesis"), 0)["t"]
     claims = F.transform(F.filter("_moves", lambda x: x["move"] == "claim"), lambda x: content_words(x["t"]))
-    docs = settled(docs, {"_claims": claims, "_thesis": content_words(F.coalesce(thesis, F.lit("")))})
     columns = _columns()
-    return docs.withColumns({f.id: columns[f.id].cast("double") for f in DISCOURSE if only is None or f.id in only}).drop("_claims", "_thesis")
+    columns = {f.id: columns[f.id].cast("double") for f in DISCOURSE if only is None or f.id in only}
+    return columns, *pruned([{"_claims": claims, "_thesis": content_words(F.coalesce(thesis, F.lit("")))}], names_in(columns.values()))
+
+
+def discourse_features(docs: DataFrame, only: list[str] | None = None) -> DataFrame:
+    """docs, on which moves() was called, with a column for each feature (or for those in only)."""
+    columns, levels, _ = _chosen(only)
+    return built(docs, levels).withColumns(columns).drop("_claims", "_thesis")
 
 
 def pattern(sequence: Column) -> Column:
@@ -176,5 +200,7 @@ def sentence_table(docs: DataFrame, *ids: str) -> DataFrame:
 
 
 def of_texts(df: DataFrame, text: str = "text", only: list[str] | None = None) -> DataFrame:
-    """df with the discourse features of its texts."""
-    return discourse_features(moves(documented(df, text)), only)
+    """df with the discourse features of its texts; only what these need is worked out."""
+    needed = _chosen(only)[2]
+    structure = pruned(_move_levels(), needed)[1]
+    return discourse_features(moves(documented(df, text, only=structure), needed), only)

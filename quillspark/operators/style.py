@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon as lx
 from ..functions.patterns import count, has, java
-from ..functions.text import documented, lemma_in, settled, space_parts, stem, syllables
+from ..functions.text import Levels, built, documented, lemma_in, made_once, names_in, pruned, settled, space_parts, stem, syllables
 from .features import STYLE
 
 WINDOW = 50
@@ -96,6 +96,7 @@ def _quotes() -> Column:
     return F.filter(F.transform("_quotes", around), lambda x: space_parts(x["q"]) >= 2)
 
 
+@made_once
 def _columns(lexicon: lx.Lexicon) -> dict[str, Column]:
     t, w, n, sents, vocab, paras = F.col("_t"), F.col("_words"), F.col("_n"), F.col("_sents"), F.col("_vocab"), F.col("_paras")
     n_s, lengths, marks, quotes = F.size("_sents"), F.col("_lengths"), F.col("_marks"), F.col("_quoting")
@@ -160,16 +161,30 @@ def _columns(lexicon: lx.Lexicon) -> dict[str, Column]:
     return {f.id: F.when(n > 0, out[f.id].cast("double")) for f in STYLE}
 
 
-def style_features(docs: DataFrame, only: list[str] | None = None, lexicon: lx.Lexicon | None = None) -> DataFrame:
-    """docs, on which documented() was called, with a column for each feature (or for those in only)."""
-    # what lambdas refer to has a column of its own; within a lambda it would be worked out for every element
+@made_once
+def _levels() -> Levels:
+    """What features need beside the structure: what lambdas refer to has a column of its own, as within a lambda it would be
+    worked out for every element."""
     sents, w, n = F.col("_sents"), F.col("_words"), F.col("_n")
     three = F.transform(F.sequence(F.lit(0), F.greatest(n - 3, F.lit(0))), lambda k: F.concat_ws(" ", F.get(w, k), F.get(w, k + 1), F.get(w, k + 2)))
     trigrams = F.when(n >= 3, F.array_sort(three)).otherwise(F.array().cast("array<string>"))
-    docs = settled(docs, {"_lengths": F.transform(sents, lambda s: F.size(s["w"])), "_marks": F.transform(sents, _markers), "_steps": _steps(), "_low": F.lower("_t"), "_placed": F.array_sort(F.transform(w, lambda x, k: F.struct(x.alias("x"), k.alias("k")))), "_trigrams": trigrams})
-    docs = settled(docs, {"_quoting": _quotes(), "_centre": mean(F.col("_lengths"))})
+    return [
+        {"_lengths": F.transform(sents, lambda s: F.size(s["w"])), "_marks": F.transform(sents, _markers), "_steps": _steps(), "_low": F.lower("_t"), "_placed": F.array_sort(F.transform(w, lambda x, k: F.struct(x.alias("x"), k.alias("k")))), "_trigrams": trigrams},
+        {"_quoting": _quotes(), "_centre": mean(F.col("_lengths"))},
+    ]
+
+
+def _chosen(only: list[str] | None, lexicon: lx.Lexicon | None) -> tuple[dict[str, Column], Levels, set[str]]:
+    """The columns of features, the levels that they need, and what those need of the structure."""
     columns = _columns(lexicon or lx.Lexicon())
-    return docs.withColumns({k: columns[k] for k in only or columns}).drop("_lengths", "_marks", "_steps", "_placed", "_low", "_trigrams", "_quoting", "_centre")
+    columns = {k: columns[k] for k in only or columns}
+    return columns, *pruned(_levels(), names_in(columns.values()))
+
+
+def style_features(docs: DataFrame, only: list[str] | None = None, lexicon: lx.Lexicon | None = None) -> DataFrame:
+    """docs, on which documented() was called, with a column for each feature (or for those in only)."""
+    columns, levels, _ = _chosen(only, lexicon)
+    return built(docs, levels).withColumns(columns).drop(*[k for level in levels for k in level])
 
 
 def vocabulary_details(docs: DataFrame, lexicon: lx.Lexicon | None = None) -> DataFrame:
@@ -187,7 +202,6 @@ def vocabulary_details(docs: DataFrame, lexicon: lx.Lexicon | None = None) -> Da
 
 
 def of_texts(df: DataFrame, text: str = "text", taught: str | None = None, only: list[str] | None = None, lexicon: lx.Lexicon | None = None) -> DataFrame:
-    """df with the features of its texts."""
-    return style_features(documented(df, text, taught), only, lexicon)
-
-
+    """df with the features of its texts, and _n, their words; only what these need is worked out."""
+    needed = _chosen(only, lexicon)[2] | {"_n"}
+    return style_features(documented(df, text, taught, needed), only, lexicon)
