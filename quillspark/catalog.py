@@ -17,8 +17,9 @@ from .essays import with_passage
 from .functions import text as tx
 from .functions.lexicon import ADVANCED_VERBS, BASIC_VERBS
 from .operators import discourse, process, replay, style
+from .operators import totals as tot
 from .operators.features import DISCOURSE, PROCESS, STYLE
-from .plans import analysis, profile
+from .plans import analysis, profile, roster
 from .plans.config import Config
 from .sources.store import stored
 from .streaming import live
@@ -212,6 +213,59 @@ def _process(name: str) -> Query:
     return lambda spark, d: process.log_features(_replayed(spark, d)).select("sample_id", F.round(name, 6).alias("value"))
 
 
+def _totals(spark: SparkSession, d: str) -> DataFrame:
+    return tot.totals(_replayed(spark, d)).withColumn("revision_ratio", F.round("revision_ratio", 6))
+
+
+def _matches(spark: SparkSession, d: str) -> DataFrame:
+    """Every third text is submitted with blanks after it, every third with a letter more, every third with other line ends."""
+    kind = F.pmod("doc_id", F.lit(3))
+    text = F.when(kind == 0, F.concat("text", F.lit(" \t\n"))).when(kind == 1, F.concat("text", F.lit("x"))).otherwise(F.regexp_replace("text", "\n", " \r\n"))
+    return tot.matches_submission(_replayed(spark, d), plain_docs(spark, d).select(F.col("doc_id").cast("string").alias("sample_id"), text.alias("text")))
+
+
+def _ranges(spark: SparkSession, d: str) -> DataFrame:
+    """The hours from each event on, of each user."""
+    start = F.floor(F.unix_millis(F.col("ts").cast("timestamp")) / 3_600_000).cast("long")
+    rows = table(spark, d, "events").select("user_id", start.alias("start"), (start + 6).alias("end"))
+    return tot.merged_ranges(rows, "user_id").select("user_id", "start", F.col("end").alias("stop"))
+
+
+def _samples(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as samples whose assignment is their language, without texts."""
+    rows = with_last(table(spark, d, "documents").select("doc_id", "source", "lang"), spark, d)
+    none = lambda t: F.lit(None).cast(t)
+    return rows.select(
+        F.col("doc_id").alias("sample_id"), F.col("source").alias("writer_id"), F.col("lang").alias("assignment_id"), F.when(F.col("doc_id") == F.col("last"), "current").otherwise("baseline").alias("role"),
+        none("boolean").alias("include"), none("boolean").alias("authentic"), F.col("lang").alias("genre"), none("string").alias("assignment_type"), none("string").alias("subject"), none("boolean").alias("timed"),
+    )
+
+
+def _per_assignment(spark: SparkSession, d: str) -> DataFrame:
+    return roster.pieces_per_assignment(table(spark, d, "documents").select(F.col("lang").alias("assignment_id")).where("lang is not null").distinct(), _samples(spark, d))
+
+
+def _into_baseline(spark: SparkSession, d: str) -> DataFrame:
+    """Pieces of even number are accepted."""
+    rows = roster.into_baseline(_samples(spark, d), table(spark, d, "documents").where("doc_id % 2 = 0").select(F.col("doc_id").alias("sample_id")))
+    return rows.groupBy("role", "include", "authentic").agg(F.count("*").alias("n"))
+
+
+def _assignment_edit(spark: SparkSession, d: str) -> DataFrame:
+    """The assignment en becomes a timed essay."""
+    edited = spark.range(1).select(F.lit("en").alias("assignment_id"), F.lit("essay").alias("genre"), F.lit("analysis").alias("assignment_type"), F.lit(None).cast("string").alias("subject"), F.lit(True).alias("timed"))
+    return roster.with_assignments(_samples(spark, d), edited).groupBy("role", "genre", "assignment_type", "timed").agg(F.count("*").alias("n"))
+
+
+SERIES = ["meanSentenceLength", "academicRate", "rareWordRate", "mechanicsRate"]
+
+
+def _series(spark: SparkSession, d: str) -> DataFrame:
+    rows = with_last(style.of_texts(docs(spark, d), only=SERIES), spark, d).withColumns({"writer_id": F.col("source"), "sample_id": F.col("doc_id"), "ts": F.col("doc_id"), "include": F.lit(True), "authentic": F.lit(True)})
+    rows = rows.withColumn("role", F.when(F.col("doc_id") == F.col("last"), "current").otherwise("baseline"))
+    return roster.series(rows, SERIES).withColumn("value", F.round("value", 6))
+
+
 QUERIES: dict[str, Query] = {
     "words": _documented(lambda: [F.col("_n").cast("long").alias("n_words"), F.size(F.array_distinct("_words")).cast("long").alias("n_distinct")]),
     "sentences": _sentences,
@@ -231,6 +285,14 @@ QUERIES: dict[str, Query] = {
     "trend": _profiled(lambda p, c: _statistics(p, c).where("n >= 4").select("piece_id", *[F.round(k, 6).alias(k) for k in ("slope", "r2", "next")])),
     "deviation": _profiled(_deviation),
     "verb_counts": _verb_counts,
+    "most_similar": _profiled(lambda p, c: roster.most_similar(p)),
+    "trend_series": _series,
+    "pieces_per_assignment": _per_assignment,
+    "into_baseline": _into_baseline,
+    "assignment_edit": _assignment_edit,
+    "edit_totals": _totals,
+    "matches_submission": _matches,
+    "merged_ranges": _ranges,
     "genre_counts": lambda spark, d: table(spark, d, "documents").groupBy(F.lower("lang").alias("genre")).agg(F.count("*").alias("n")),
     "first_seen_words": _first_seen,
     "compare": _analysed(lambda r: r.rows.select("piece_id", "feature_id", "value", "z", "deviation", "strength", "quality", "trend", "outside", "pct_change")),
@@ -266,4 +328,6 @@ ORACLE_SQL: dict[str, str] = {
     **oracle.PROFILE,
     **oracle.EVENTS,
     **oracle.LOG,
+    **oracle.ROSTER,
+    "trend_series": oracle.series(SERIES),
 }

@@ -267,3 +267,21 @@ LOG = {
     "process_pasteEvents": "select cast(doc_id as varchar) as sample_id, 0.0 as value from documents where text <> ''",
     "process_multiParagraphPastes": "select cast(doc_id as varchar) as sample_id, 0.0 as value from documents where text <> ''",
 }
+
+_LAST = "(select *, doc_id = max(doc_id) over (partition by source) as last from documents)"
+_EVEN = "regexp_replace(regexp_replace(replace({0}, chr(13) || chr(10), chr(10)), '\\s+\\z', ''), '[ \\t]+\\n', chr(10), 'g')"
+_SUBMITTED = "case doc_id % 3 when 0 then text || ' ' || chr(9) || chr(10) when 1 then text || 'x' else replace(text, chr(10), ' ' || chr(13) || chr(10)) end"
+ROSTER = {
+    "most_similar": _with(_PROFILE) + "select piece_id, doc_id as sample_id, w as weight from pr qualify row_number() over (partition by piece_id order by w desc, doc_id desc) = 1",
+    "pieces_per_assignment": f"select lang as assignment_id, count(*) filter (last) as n from {_LAST} where lang is not null group by lang",
+    "into_baseline": f"select case when last and doc_id % 2 = 1 then 'current' else 'baseline' end as role, case when last and doc_id % 2 = 0 then true end as include, case when last and doc_id % 2 = 0 then true end as authentic, count(*) as n from {_LAST} group by all",
+    "assignment_edit": f"select case when last then 'current' else 'baseline' end as role, case when last and lang = 'en' then 'essay' else lang end as genre, case when last and lang = 'en' then 'analysis' end as assignment_type, case when last and lang = 'en' then true end as timed, count(*) as n from {_LAST} group by all",
+    "edit_totals": f"with {_LOG}, su as (select doc_id, sum(length(c)) as a, coalesce(sum(length(c)) filter (k % 5 = 4), 0) as b from cc group by doc_id) select cast(doc_id as varchar) as sample_id, cast(a + b as bigint) as inserted, cast(b as bigint) as deleted, cast(a + b as bigint) as typed, cast(0 as bigint) as pasted_surviving, round(b / (a + b), 6) as revision_ratio from su",
+    "matches_submission": f"select cast(doc_id as varchar) as sample_id, {_EVEN.format('text')} = {_EVEN.format('(' + _SUBMITTED + ')')} as matches from documents where text <> ''",
+    "merged_ranges": "select user_id, min(h) as start, max(h) + 6 as stop from (select user_id, h, sum(brk) over (partition by user_id order by h rows unbounded preceding) as g from (select user_id, h, case when h - lag(h) over (partition by user_id order by h) <= 7 then 0 else 1 end as brk from (select distinct user_id, epoch_ms(ts) // 3600000 as h from events))) group by user_id, g",
+}
+
+
+def series(names: list[str]) -> str:
+    each = " union all ".join(f"select '{n}' as feature_id, doc_id, value from ({style(n)})" for n in names)
+    return f"select source as writer_id, feature_id, row_number() over (partition by source, feature_id order by doc_id) as place, doc_id as sample_id, case when last then 'current' else 'baseline' end as role, value from ({each}) join {_LAST} using (doc_id) where value is not null"

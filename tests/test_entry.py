@@ -12,6 +12,7 @@ D = "/root/testdata/sf0.001"
 SAMPLE = [
     "words", "sentences", "paragraphs", "stems", "p90_sentence", "discourse_moves", "style_mattr", "style_rareWordRate", "style_transitionRate", "style_introClauseRate", "style_repeatedPhraseRate",
     "discourse_chainLength", "discourse_claimRepetition", "discourse_reasoningDepth", "weighted_profile", "trend", "ev_sessions", "ev_active", "ev_islands", "replay_roundtrip", "process_retention",
+    "most_similar", "trend_series", "pieces_per_assignment", "into_baseline", "assignment_edit", "edit_totals", "matches_submission", "merged_ranges",
 ]
 
 
