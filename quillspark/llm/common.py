@@ -42,9 +42,18 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The same rows, written as a table in the shared folder and read again: what follows survives lost executors."""
+LEAST_FILES, ROWS_A_FILE = 8, 50_000
+
+
+def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """The same rows, written as a table in the shared folder and read again: what follows survives lost executors.
+
+    rows: for narrow rows that cost little to work out, a number that the table does not exceed. The table then has a file
+    for ROWS_A_FILE of them, LEAST_FILES at least, or as many as there are partitions where these are fewer.
+    """
     path = shared_path(df.sparkSession, name)
+    if rows is not None:
+        df = df.coalesce(max(LEAST_FILES, -(-rows // ROWS_A_FILE)))
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -16,7 +16,7 @@ def components(edges: DataFrame) -> DataFrame:
     """
     both = common.written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     total = both.count()
-    labels = common.written(both.groupBy("a").agg(F.least("a", F.min("b")).alias("label"), F.count("*").alias("times")).withColumnRenamed("a", "node"), "labels")
+    labels = common.written(both.groupBy("a").agg(F.least("a", F.min("b")).alias("label"), F.count("*").alias("times")).withColumnRenamed("a", "node"), "labels", total)
     while True:
         said = labels.select(F.col("node").alias("b"), "label", "times")
         heard = common.join_hot(both, said, ["b"], total, few=common.FEW_NARROW).groupBy("a").agg(F.min("label").alias("near"))
@@ -25,10 +25,10 @@ def components(edges: DataFrame) -> DataFrame:
         if total <= common.FEW_NARROW:
             joined = near.withColumnRenamed("times", "degree").join(known, "via")
         else:  # many nodes may have one label
-            near = common.written(near, "near")
+            near = common.written(near, "near", total)
             asked = near.groupBy("via").agg(F.count("*").alias("times"))
             joined = common.join_hot(near.withColumnRenamed("times", "degree"), asked.join(known, "via"), ["via"], total, few=common.FEW_NARROW)
-        new = common.written(joined.select("node", "old", F.least("via", "jump").alias("label"), F.col("degree").alias("times")), "labels")
+        new = common.written(joined.select("node", "old", F.least("via", "jump").alias("label"), F.col("degree").alias("times")), "labels", total)
         labels = new.select("node", "label", "times")
         if new.where("old != label").isEmpty():
             return labels.drop("times")

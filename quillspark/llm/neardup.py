@@ -303,16 +303,16 @@ def linked(buckets: DataFrame, texts: DataFrame, alike: float) -> DataFrame | No
     total = buckets.count()  # rows per key only become fewer
     if not total:
         return None
-    size = common.written(buckets.groupBy("key").agg(F.count("*").alias("times")), "sizes")
+    size = common.written(buckets.groupBy("key").agg(F.count("*").alias("times")), "sizes", total)
     popular = common.join_hot(buckets, size.withColumn("n", F.col("times")), ["key"], total, few=common.FEW_NARROW).groupBy("node").agg(F.sum("n").alias("fame"))
-    rows = common.written(buckets.join(popular, "node"), "buckets")
+    rows = common.written(buckets.join(popular, "node"), "buckets", total)
     leaders = rows.groupBy("key").agg(F.max_by("node", F.struct("fame", "node")).alias("leader"), F.count("*").alias("times"))
     asked, edges, tested = rows.withColumn("label", F.col("node")), None, None
     for probe in range(PROBES + 1):
         pairs = common.join_hot(asked.select("key", "node"), leaders, ["key"], total, few=common.FEW_NARROW).where("node != leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = common.written(pairs, "pairs")
+        pairs = common.written(pairs, "pairs", total)
         tested = pairs if tested is None else tested.unionByName(pairs)
         new = common.written(verified(pairs, texts, alike), "links")
         edges = new if edges is None else edges.unionByName(new)
@@ -320,14 +320,14 @@ def linked(buckets: DataFrame, texts: DataFrame, alike: float) -> DataFrame | No
         # a leader has been compared with all of its bucket that it isn't connected with
         rows = rows.join(leaders.select("key", F.col("leader").alias("node")), ["key", "node"], "left_anti")
         marked = rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        marked = common.written(marked, "marked")
+        marked = common.written(marked, "marked", total)
         apart = marked.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("times")).where("low != high").select("key", "times")
-        marked = common.written(common.join_hot(marked, apart, ["key"], total, "left_semi", common.FEW_NARROW), "open")
+        marked = common.written(common.join_hot(marked, apart, ["key"], total, "left_semi", common.FEW_NARROW), "open", total)
         if marked.isEmpty():
             return labels
         rows = marked.drop("label")
         weight = marked.groupBy("key", "label").agg(F.count("*").alias("n"), F.max_by("node", F.struct(F.xxhash64("node", F.lit(probe)), "node")).alias("one"))
-        main = common.written(weight.groupBy("key").agg(F.max_by(F.struct("label", "one"), F.struct("n", "label")).alias("main"), F.sum("n").alias("times")).select("key", F.col("main.label").alias("main"), F.col("main.one").alias("leader"), "times"), "main")
+        main = common.written(weight.groupBy("key").agg(F.max_by(F.struct("label", "one"), F.struct("n", "label")).alias("main"), F.sum("n").alias("times")).select("key", F.col("main.label").alias("main"), F.col("main.one").alias("leader"), "times"), "main", total)
         leaders = main.select("key", "leader", "times")
         asked = common.join_hot(marked, main.select("key", "main", "times"), ["key"], total, few=common.FEW_NARROW).where("label != main").drop("main")
     # groups: the labels that buckets still tie together
@@ -336,7 +336,7 @@ def linked(buckets: DataFrame, texts: DataFrame, alike: float) -> DataFrame | No
     groups = components(ties).withColumnRenamed("node", "tied")
     asking = asked.select("node", F.lit(True).alias("asks")).distinct()
     query_set = marked.select("node", "label").distinct().join(asking, "node", "left").join(groups.select("tied", F.col("label").alias("group")), F.col("label") == F.col("tied")).drop("tied")
-    query_set = common.written(query_set.withColumn("asks", F.coalesce("asks", F.lit(False))), "query")
+    query_set = common.written(query_set.withColumn("asks", F.coalesce("asks", F.lit(False))), "query", total)
     found = common.written(in_blocks(query_set, texts, alike).distinct(), "pairs")
     return components(edges.unionByName(common.written(verified(found, texts, alike), "links")))
 
@@ -353,7 +353,8 @@ def classes(docs: DataFrame, alike: float = ALIKE) -> DataFrame:
     reps = rows.where("keys is not null").groupBy("node").agg(F.min("doc_id").alias("first"), F.first("keys").alias("keys"))
     keyed = common.written(reps.select("node", F.explode("keys").alias("key")), "keys")
     shared = keyed.groupBy("key").agg(F.count("*").alias("times")).where("times > 1")
-    buckets = common.written(common.join_hot(keyed, shared, ["key"], keyed.count(), "left_semi", common.FEW_NARROW), "candidates")
+    total = keyed.count()
+    buckets = common.written(common.join_hot(keyed, shared, ["key"], total, "left_semi", common.FEW_NARROW), "candidates", total)
     # one text per candidate; rows repeated in full would only repeat comparisons
     wanted = reps.select("node", F.col("first").alias("doc_id")).join(buckets.select("node").distinct(), "node", "left_semi")
     own = docs.select(node(F.coalesce("text", F.lit(""))).alias("node"), F.col("doc_id").cast("long").alias("own"), "text")
