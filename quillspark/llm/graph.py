@@ -32,3 +32,23 @@ def components(edges: DataFrame) -> DataFrame:
         labels = new.select("node", "label", "times")
         if new.where("old != label").isEmpty():
             return labels.drop("times")
+
+
+def extended(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """What components gives for these edges and those that labels come from: edges that tie two labels are solved among
+    themselves, and the labels renamed. Any part of the edges may have one end, and of the nodes one label."""
+    total, n = labels.count(), edges.count()
+    ends = edges.select("a", "b")
+    for side in ("a", "b"):
+        asked = ends.groupBy(side).agg(F.count("*").alias("times"))
+        known = asked.join(labels.select(F.col("node").alias(side), F.col("label").alias(f"of_{side}")), side, "left").withColumn(f"of_{side}", F.coalesce(f"of_{side}", side))
+        ends = common.join_hot(ends, known, [side], n, few=common.FEW_NARROW)
+    ties = common.written(ends.where("of_a != of_b").select(F.least("of_a", "of_b").alias("a"), F.greatest("of_a", "of_b").alias("b")).distinct(), "ties", n)
+    if ties.isEmpty():
+        return labels
+    top = components(ties)
+    nodes = labels.unionByName(top.select("node", F.col("node").alias("label"))).distinct()
+    said = nodes.groupBy("label").agg(F.count("*").alias("times")).join(top.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left")
+    said = said.withColumn("to", F.coalesce("to", "label"))
+    named = common.join_hot(nodes, said, ["label"], total + 2 * n, few=common.FEW_NARROW)
+    return common.written(named.select("node", F.col("to").alias("label")), "labels", total + 2 * n)

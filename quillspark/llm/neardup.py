@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .graph import components
+from .graph import components, extended
 
 SHINGLE = 5  # words
 ALIKE = 0.8  # weighted Jaccard similarity from which texts are near-duplicates
@@ -307,7 +307,7 @@ def linked(buckets: DataFrame, texts: DataFrame, alike: float) -> DataFrame | No
     popular = common.join_hot(buckets, size.withColumn("n", F.col("times")), ["key"], total, few=common.FEW_NARROW).groupBy("node").agg(F.sum("n").alias("fame"))
     rows = common.written(buckets.join(popular, "node"), "buckets", total)
     leaders = rows.groupBy("key").agg(F.max_by("node", F.struct("fame", "node")).alias("leader"), F.count("*").alias("times"))
-    asked, edges, tested = rows.withColumn("label", F.col("node")), None, None
+    asked, labels, tested = rows.withColumn("label", F.col("node")), None, None
     for probe in range(PROBES + 1):
         pairs = common.join_hot(asked.select("key", "node"), leaders, ["key"], total, few=common.FEW_NARROW).where("node != leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
         if tested is not None:
@@ -315,8 +315,7 @@ def linked(buckets: DataFrame, texts: DataFrame, alike: float) -> DataFrame | No
         pairs = common.written(pairs, "pairs", total)
         tested = pairs if tested is None else tested.unionByName(pairs)
         new = common.written(verified(pairs, texts, alike), "links")
-        edges = new if edges is None else edges.unionByName(new)
-        labels = components(edges)
+        labels = components(new) if labels is None else extended(labels, new)
         # a leader has been compared with all of its bucket that it isn't connected with
         rows = rows.join(leaders.select("key", F.col("leader").alias("node")), ["key", "node"], "left_anti")
         marked = rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
@@ -338,7 +337,7 @@ def linked(buckets: DataFrame, texts: DataFrame, alike: float) -> DataFrame | No
     query_set = marked.select("node", "label").distinct().join(asking, "node", "left").join(groups.select("tied", F.col("label").alias("group")), F.col("label") == F.col("tied")).drop("tied")
     query_set = common.written(query_set.withColumn("asks", F.coalesce("asks", F.lit(False))), "query", total)
     found = common.written(in_blocks(query_set, texts, alike).distinct(), "pairs")
-    return components(edges.unionByName(common.written(verified(found, texts, alike), "links")))
+    return extended(labels, common.written(verified(found, texts, alike), "links"))
 
 
 def classes(docs: DataFrame, alike: float = ALIKE) -> DataFrame:

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from quillspark.llm import neardup as nd
-from quillspark.llm.graph import components
+from quillspark.llm.graph import components, extended
 
 
 def doc(rng, n, words=300):
@@ -135,3 +135,15 @@ def test_components(spark, monkeypatch, few):
         parent[y] = x
     got = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: find(x) for x in list(parent)}
+
+
+@pytest.mark.parametrize("few", [100_000, 10])
+def test_extended_as_all_at_once(spark, monkeypatch, few):
+    """Stars, chains, ties of known nodes, nodes that are new, and links that say nothing new."""
+    monkeypatch.setattr(nd.common, "FEW_NARROW", few)
+    rng = random.Random(3)
+    first = [(0, k) for k in range(1, 60)] + [(100 + k, 101 + k) for k in range(8)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(25)]
+    for more in ([], [(5, 9)], [(59, 104), (205, 300), (300, 301), (400, 401), (7, 3), (250, 251)] + [(0, 500 + k) for k in range(20)]):
+        some = lambda rows: spark.createDataFrame(rows, "a long, b long")
+        got = {r.node: r.label for r in extended(components(some(first)), some(more)).collect()}
+        assert got == {r.node: r.label for r in components(some(first + more)).collect()}
