@@ -180,7 +180,7 @@ def signed(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "node", "keys"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), node(F.coalesce("text", F.lit(""))).alias("node"), "text")
-    return rows.mapInArrow(run, "doc_id long, node binary, keys array<long>")
+    return rows.mapInArrow(lambda rows: common.released(run(rows)), "doc_id long, node binary, keys array<long>")
 
 
 def multiset(text: str) -> Counter:
@@ -217,7 +217,7 @@ def verified(pairs: DataFrame, texts: DataFrame, alike: float) -> DataFrame:
     two = texts.select(F.col("node").alias("b"), F.col("text").alias("y"))
     many = pairs.groupBy("b").agg(F.count("*").alias("times"))  # a leader's pairs are dealt over tasks
     both = common.join_hot(pairs.join(one, "a"), two.join(many, "b"), ["b"], pairs.count())
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
+    return both.select("a", "b", "x", "y").mapInArrow(lambda rows: common.released(run(rows)), "a binary, b binary")
 
 
 def _elements(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -295,7 +295,7 @@ def in_blocks(rows: DataFrame, texts: DataFrame, alike: float) -> DataFrame:
     asked = rows.select("group", "node", "label", F.lit(False).alias("asks"), F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"), F.pmod(F.xxhash64("node", F.lit(1)), F.col("streams")).cast("int").alias("stream"))
     both = asking.unionByName(asked).join(texts, "node").select(F.struct("group", "block", "stream").alias("key"), F.expr("not asks").alias("order"), "asks", "node", "label", "text")
     dealt = both.repartition("key").sortWithinPartitions("key", "order")
-    return dealt.select(F.xxhash64("key").alias("key"), "asks", "node", "label", "text").mapInArrow(run, "a binary, b binary")
+    return dealt.select(F.xxhash64("key").alias("key"), "asks", "node", "label", "text").mapInArrow(lambda rows: common.released(run(rows)), "a binary, b binary")
 
 
 def linked(buckets: DataFrame, texts: DataFrame, alike: float) -> DataFrame | None:

@@ -194,7 +194,7 @@ def pieces(texts: DataFrame, units: tuple[Unit, ...] = UNITS) -> DataFrame:
                     columns = [batch.column(0).take(where), batch.column(1).take(where), pa.array(x.astype(np.int32)), pa.array(n.astype(np.int16)), pa.array(off.astype(np.int16)), pa.array(g), pa.array(c)]
                     yield pa.RecordBatch.from_arrays(columns, names)
 
-    return texts.mapInArrow(run, "doc_id long, h int, x int, n short, off short, g long, c long")
+    return texts.mapInArrow(lambda rows: common.released(run(rows)), "doc_id long, h int, x int, n short, off short, g long, c long")
 
 
 def packed(texts: DataFrame) -> DataFrame:
@@ -206,7 +206,7 @@ def packed(texts: DataFrame) -> DataFrame:
             z = [pack(t) for t in batch.column(2).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(z, pa.binary())], ["doc_id", "h", "z"])
 
-    return texts.mapInArrow(run, "doc_id long, h int, z binary")
+    return texts.mapInArrow(lambda rows: common.released(run(rows)), "doc_id long, h int, z binary")
 
 
 def unpack(z: bytes) -> bytes:
@@ -242,7 +242,7 @@ def with_bytes(wanted: DataFrame, texts: DataFrame) -> DataFrame:
     z = packed(texts)
     joined = z.join(by_text, z["doc_id"].eqNullSafe(by_text["doc_id"]) & (z["h"] == by_text["h"]))
     # rows repeated in full give their pieces each
-    return joined.select("z", "found").mapInArrow(run, PART)
+    return joined.select("z", "found").mapInArrow(lambda rows: common.released(run(rows)), PART)
 
 
 def _hash(*parts: bytes) -> int:
@@ -278,7 +278,7 @@ def halved(parts: DataFrame) -> DataFrame:
             kinds = [pa.int64()] * 5 + [pa.int32()] * 5 + [pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [()] * 11, kinds, strict=True)], _NAMES)
 
-    return parts.mapInArrow(run, PART)
+    return parts.mapInArrow(lambda rows: common.released(run(rows)), PART)
 
 
 def repeated_windows(cut: list[bytes], unit: Unit = UNITS[0]) -> list[list[tuple[int, int]]]:
@@ -358,7 +358,7 @@ def compared(parts: DataFrame) -> DataFrame:
             yield decide(kind, rows)
 
     dealt = parts.select("key", "part", "n", "off", "p", "q", "bytes").repartition("key").sortWithinPartitions(F.col("key").bitwiseAND(1), "key", "part")
-    return dealt.mapInArrow(run, "key long, part long, a int, b int")
+    return dealt.mapInArrow(lambda rows: common.released(run(rows)), "key long, part long, a int, b int")
 
 
 def split_and_compared(rows: DataFrame, most: int) -> DataFrame | None:
@@ -472,7 +472,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, out, kinds)], names)
 
-    return rows.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_repeated_words long")
+    return rows.mapInArrow(lambda rows: common.released(run(rows)), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_repeated_words long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -538,4 +538,4 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
                 columns[chars] = pa.array(counts, pa.int64()).cast(columns[chars].type)
             yield pa.RecordBatch.from_arrays(columns, names).take(pa.array(stay, pa.int64()))
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(lambda rows: common.released(run(rows)), schema)
