@@ -55,3 +55,25 @@ def test_analysis_works_out_features_in_batches(spark):
     """A lambda for each word took most of an analysis's time."""
     plan = analysis.featured(spark.createDataFrame([("a", "x")], "sample_id string, text string"))._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" in plan and "lambda" not in plan
+
+
+def test_texts_of_a_batch_as_one_by_one():
+    """Together with other texts, in quotations over several sentences, over the ends of paragraphs, with marks of our own in a text."""
+    more = ["See for\nexample. As a\n \nresult it is.", 'He said "Go. Then Come. Be" and Left. "A. Big" Bee.', "\x04 Peter\x06 is. The\x05 End", "On the other\nhand, İalso aİ.\n   Yes. p. Xenon! no", "Furthermore, it is. While we wait here, it is ultimately so? Moreover, yes"]
+    every = [*texts(), *more]
+    terms = [["Power of Society", None] if k % 3 == 0 else None for k in range(len(every))]
+    one, many = batch.Engine(batch.lx.Lexicon()), batch.Engine(batch.lx.Lexicon())
+    assert many.all_features(every, terms) == [one.features(t, k) for t, k in zip(every, terms)]
+    got = dict(zip(NAMES, one.features(more[0], None)[2]))
+    assert got["transitionRate"] == 2 / 8 * 100
+    assert dict(zip(NAMES, one.features(more[4], None)[2]))["surface_genericTransitions"] == 2 / 13 * 1000
+
+
+def test_gates_know_whole_words_and_lemmas():
+    """What a pattern needs as a word let every word that holds it through; a lemma took three substitutions for each word."""
+    assert batch.pieces(batch.python(r"\b(?:is|been)\s+\w+ed\b", False)) == {("is", True), ("been", True)}
+    assert batch.pieces(batch.python(r"\bideolog\w*", False)) == {("ideolog", False)}
+    gates = batch.Gates({"a": batch.python(r"\b(?:is|been)\s", False), "b": batch.python(r"\bpart\w*", False)})
+    assert gates.of_words(["this", "is", "been's", "éis", "parting", "apart", "o"]) == {"is": 1, "been's": 1, "éis": 1, "parting": 2, "apart": 2}
+    known = batch.forms(frozenset(["make", "city", "go"]))
+    assert {"make", "making", "maked", "city", "cities", "go", "goes", "gos", "goly"} <= known and "makes" not in known
